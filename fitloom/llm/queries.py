@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fitloom.llm import simhash
+from fitloom.llm import media, simhash
 from fitloom.llm.common import table
 
 
@@ -12,8 +12,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.stored(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op4_simhash": op4_simhash,
+    "op10_media": op10_media,
 }
 
 ORACLES: dict[str, str] = {}
