@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fitloom.llm import media, simhash
+from fitloom.llm import media, simhash, tokencount
 from fitloom.llm.common import table
 
 
@@ -12,12 +13,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.stored(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
     "op4_simhash": op4_simhash,
+    "op7_token_counts": op7_token_counts,
     "op10_media": op10_media,
 }
 
