@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fitloom.llm import media, simhash, tokencount
+from fitloom.llm import media, simhash, tokencount, toxicity
 from fitloom.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.stored(table(spark, sf_dir, "documents")))
 
@@ -24,6 +28,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_simhash": op4_simhash,
     "op7_token_counts": op7_token_counts,
+    "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
 }
 
