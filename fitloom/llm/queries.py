@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fitloom.llm import media, mixing, simhash, tokencount, toxicity
+from fitloom.llm import linededup, media, mixing, simhash, tokencount, toxicity
 from fitloom.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,8 +37,11 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op7_token_counts": op7_token_counts,
+    "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_line_dedup": linededup.ORACLE,
+}
