@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fitloom.llm import linededup, media, mixing, simhash, tokencount, toxicity
+from fitloom.llm import linededup, media, mixing, pii, simhash, tokencount, toxicity
 from fitloom.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_all(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -36,6 +40,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
+    "op6_pii": op6_pii,
     "op7_token_counts": op7_token_counts,
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
