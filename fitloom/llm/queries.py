@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fitloom.llm import linededup, media, mixing, pii, simhash, tokencount, toxicity
+from fitloom.llm import linededup, media, mixing, pii, simhash, tokencount, toxicity, vectors
 from fitloom.llm.common import table
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_pii": op6_pii,
