@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fitloom.llm import linededup, media, mixing, pii, simhash, tokencount, toxicity, vectors
+from fitloom.llm import linededup, media, mixing, mixscore, pii, simhash, tokencount, toxicity, vectors
 from fitloom.llm.common import table
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixscore.score(table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -42,6 +46,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
