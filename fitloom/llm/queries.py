@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fitloom.llm import linededup, media, mixing, mixscore, pii, simhash, tokencount, toxicity, vectors
+from fitloom.llm import linededup, media, mixing, mixscore, pii, segment, simhash, tokencount, toxicity, vectors
 from fitloom.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixscore.score(table(spark, sf_dir, "documents"))
 
 
+def op2_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.encode_samples(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -47,6 +51,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
+    "op2_segment": op2_segment,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
