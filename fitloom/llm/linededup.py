@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fitloom.llm.common import materialize
+
 SPACE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 LINES = 3
 
@@ -53,7 +55,8 @@ def windows(docs: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame) -> DataFrame:
     """``(doc_id, digest, gone)``: for each changed document the distinct indexes of the lines to remove."""
-    w = windows(docs)
+    # Written once: both sides of the join below would hash all texts again.
+    w = materialize(windows(docs), "windows")
     place = F.struct("doc_id", "digest", F.col("at")[0].alias("first"))
     repeated = w.groupBy("h1", "h2").agg(F.min(place).alias("keep"), F.max(place).alias("last")).where("keep <> last").select("h1", "h2", "keep")
     later = w.join(repeated, ["h1", "h2"]).where(place != F.col("keep"))
