@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from fitloom.plans import matching, texts
+
+QUERIES = matching.QUERIES | texts.QUERIES
+ORACLES = matching.ORACLES | texts.ORACLES
