@@ -17,6 +17,11 @@ from fitloom.functions import vocab as V
 WHITE = "[" + "".join(chr(a) + "-" + chr(b) for a, b in ((9, 13), (28, 32), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))) + "]"
 
 
+def let(col: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(col), body), F.lit(0))
+
+
 def nfc(col: Column) -> Column:
     """Unicode NFC composition, Arrow-batched."""
 

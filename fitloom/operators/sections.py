@@ -11,28 +11,30 @@ from fitloom.functions import vocab as V
 
 def heading(line: Column) -> Column:
     """(kind, title) of a heading line, null for any other."""
-    raw = T.strip(F.coalesce(line, F.lit("")))
-    title = T.strip_trailing_paren(T.clean_heading(raw))
-    fits = (
-        F.length(raw).between(1, V.HEADING_CHARS)
-        & (raw.startswith("#") | ~raw.rlike(r"^[-*•·▪◦●○◆◇■□ ]"))
-        & F.length(title).between(1, V.TITLE_CHARS)
-        & ~title.rlike("[。！？；!?;，,]")
-        & title.rlike(r"[一-鿿A-Za-z]")
-    )
-    out = F.lit(None).cast("struct<kind:string,title:string>")
-    for pattern, kind, name in reversed(V.HEADING_RULES):
-        out = F.when(title.rlike(f"^(?:{pattern})$"), F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("title"))).otherwise(out)
-    return F.when(fits, out)
+    none = F.lit(None).cast("struct<kind:string,title:string>")
+
+    def by_rule(title: Column) -> Column:
+        out = none
+        for pattern, kind, name in reversed(V.HEADING_RULES):
+            out = F.when(title.rlike(f"^(?:{pattern})$"), F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("title"))).otherwise(out)
+        return F.when(F.length(title).between(1, V.TITLE_CHARS) & ~title.rlike("[。！？；!?;，,]") & title.rlike(r"[一-鿿A-Za-z]"), out)
+
+    def of(raw: Column) -> Column:
+        fits = F.length(raw).between(1, V.HEADING_CHARS) & (raw.startswith("#") | ~raw.rlike(r"^[-*•·▪◦●○◆◇■□ ]"))
+        return F.when(fits, T.let(T.strip_trailing_paren(T.clean_heading(raw)), by_rule))
+
+    return T.let(T.strip(F.coalesce(line, F.lit(""))), of)
 
 
 def inline_heading(line: Column) -> Column:
     """(kind, title, rest) of a line like "heading: content", null for any other."""
-    t = T.strip(F.coalesce(line, F.lit("")))
     pattern = r"^([^：:\n]{2,20})\s*[：:]\s*(.+)$"
-    h = heading(T.strip(F.regexp_extract(t, pattern, 1)))
-    rest = T.strip(F.regexp_extract(t, pattern, 2))
-    return F.when(h.isNotNull() & (F.length(rest) > 0), F.struct(h["kind"].alias("kind"), h["title"].alias("title"), rest.alias("rest")))
+
+    def of(t: Column) -> Column:
+        rest = T.strip(F.regexp_extract(t, pattern, 2))
+        return F.when(F.length(rest) > 0, T.let(heading(T.strip(F.regexp_extract(t, pattern, 1))), lambda h: F.when(h.isNotNull(), F.struct(h["kind"].alias("kind"), h["title"].alias("title"), rest.alias("rest")))))
+
+    return T.let(T.strip(F.coalesce(line, F.lit(""))), of)
 
 
 def lines(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
