@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fitloom.functions import vocab as V
 from fitloom.functions.numeric import months_between
+from fitloom.functions.text import let
 
 
 def _int(col: Column) -> Column:
@@ -19,20 +20,25 @@ def date_range(text: Column, as_of_year: int, as_of_month: int) -> Column:
     Missing months count as January and December.  A reversed range gives way to the first
     span of bare years.  "Until now" ends at ``as_of``.
     """
-    g = lambda i: _int(F.regexp_extract(text, V.DATE_RANGE, i))
-    now = F.regexp_extract(text, V.DATE_RANGE, 5) != ""
-    sy, sm = g(1), g(2)
-    ey, em = F.when(now, F.lit(as_of_year)).otherwise(g(3)), F.when(now, F.lit(as_of_month)).otherwise(g(4))
+    none = F.lit(None).cast("int")
 
     def out(sy: Column, sm: Column, ey: Column, em: Column, ongoing: Column, raw: Column) -> Column:
         months = months_between(sy, F.coalesce(sm, F.lit(1)), ey, F.coalesce(em, F.lit(12)))
         return F.struct(sy.alias("start_year"), sm.alias("start_month"), ey.alias("end_year"), em.alias("end_month"), months.alias("months"), ongoing.alias("ongoing"), F.trim(raw).alias("raw"))
 
-    span = lambda i: _int(F.regexp_extract(text, V.YEAR_SPAN, i))
-    none = F.lit(None).cast("int")
-    return F.when(ey >= sy, out(sy, sm, ey, em, now, F.regexp_extract(text, V.DATE_RANGE, 0))).when(
-        span(2) >= span(1), out(span(1), none, span(2), none, F.lit(False), F.regexp_extract(text, V.YEAR_SPAN, 0))
-    )
+    def of(g: Column) -> Column:
+        now = g["now"] != ""
+        ends = F.struct(
+            _int(g["g1"]).alias("sy"), _int(g["g2"]).alias("sm"), F.when(now, F.lit(as_of_year)).otherwise(_int(g["g3"])).alias("ey"),
+            F.when(now, F.lit(as_of_month)).otherwise(_int(g["g4"])).alias("em"), _int(g["s1"]).alias("s1"), _int(g["s2"]).alias("s2"),
+        )
+        return let(
+            ends,
+            lambda x: F.when(x["ey"] >= x["sy"], out(x["sy"], x["sm"], x["ey"], x["em"], now, g["raw"])).when(x["s2"] >= x["s1"], out(x["s1"], none, x["s2"], none, F.lit(False), g["span"])),
+        )
+
+    parts = {"raw": (V.DATE_RANGE, 0), "g1": (V.DATE_RANGE, 1), "g2": (V.DATE_RANGE, 2), "g3": (V.DATE_RANGE, 3), "g4": (V.DATE_RANGE, 4), "now": (V.DATE_RANGE, 5), "span": (V.YEAR_SPAN, 0), "s1": (V.YEAR_SPAN, 1), "s2": (V.YEAR_SPAN, 2)}
+    return let(F.struct(*[F.regexp_extract(text, p, i).alias(n) for n, (p, i) in parts.items()]), of)
 
 
 def range_label(r: Column) -> Column:
