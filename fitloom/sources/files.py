@@ -39,7 +39,10 @@ def _office(data: bytes, suffix: str) -> tuple[str | None, str | None]:
 
 
 def read_uploads(spark: SparkSession, path: str, most_mb: float = 5.0) -> tuple[DataFrame, DataFrame]:
-    """(``path, text`` of readable files, ``path, reason`` of the others)."""
+    """(``path, text`` of readable files, ``path, reason`` of the others).
+
+    Spark's file listing leaves out files of no bytes: they appear in neither part.
+    """
     raw = spark.read.format("binaryFile").load(path)
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
 
@@ -51,7 +54,7 @@ def read_uploads(spark: SparkSession, path: str, most_mb: float = 5.0) -> tuple[
                 out.append((None, "empty"))
             elif k in TEXT_SUFFIXES:
                 t = decode_bytes(b)
-                out.append((t, None if t is not None else "unknown encoding"))
+                out.append((t, "unknown encoding" if t is None else None if t.strip() else "empty"))
             elif k in ("pdf", "docx"):
                 out.append(_office(b, k))
             else:

@@ -9,7 +9,7 @@ from fitloom.streaming import ingest
 
 
 def test_uploads(spark, tmp_path):
-    for name, data in {"a.txt": "你好".encode("gbk"), "b.md": "﻿x".encode(), "c.exe": b"x", "d.txt": b"", "e.txt": b"\xff\xff\xff\xff\x00", "f.json": b"{}" * 10, "g.pdf": b"nope"}.items():
+    for name, data in {"a.txt": "你好".encode("gbk"), "b.md": "﻿x".encode(), "c.exe": b"x", "d.txt": b" \n", "e.txt": b"\xff\xff\xff\xff\x00", "f.json": b"{}" * 10, "g.pdf": b"nope"}.items():
         (tmp_path / name).write_bytes(data)
     ok, bad = files.read_uploads(spark, str(tmp_path))
     assert {r.path.rsplit("/", 1)[1]: r.text for r in ok.collect()} == {"a.txt": "你好", "b.md": "x", "f.json": "{}" * 10}
