@@ -49,18 +49,18 @@ def fold(col: Column, n: int = 5) -> Column:
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n))
 
 
-def deal(df: DataFrame, key: list[str], spread: str, cap: int) -> tuple[DataFrame, DataFrame]:
+def deal(df: DataFrame, key: list[str], spread: str, cap: int, block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Split rows into those of small groups and block pairs of large groups.
 
     Groups of at most ``cap`` rows come back as they are.  A larger group is dealt into
-    ceil(rows / cap) blocks by a hash of ``spread``, and each row is sent to every pair of
+    ceil(rows / ``block``) blocks (``cap`` by default) by a hash of ``spread``, and each row is sent to every pair of
     blocks that holds its own (columns ``b1 <= b2``, ``own``), so that each pair of rows
-    meets in exactly one block pair and no task holds more than about 2 * ``cap`` rows.
+    meets in exactly one block pair and no task holds more than about 2 * ``block`` rows.
     """
     counts = df.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > cap)
     tagged = df.join(counts, key, "left")
     small = tagged.where(F.col("_n").isNull()).drop("_n")
-    nb = F.ceil(F.col("_n") / F.lit(cap)).cast("int")
+    nb = F.ceil(F.col("_n") / F.lit(block or cap)).cast("int")
     large = (
         tagged.where(F.col("_n").isNotNull())
         .withColumn("own", F.pmod(F.xxhash64(F.col(spread), F.lit(7)), nb).cast("int"))
