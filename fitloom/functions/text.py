@@ -156,7 +156,8 @@ def context_phrase(text: Column, index: Column, length: Column, left: int = 6, r
 def clause_at(text: Column, start: Column, end: Column) -> Column:
     """The clause of a line around [start, end): between the nearest borders; enumeration commas don't count."""
     borders = char_class(V.CLAUSE_BORDER + "\n")
-    before = F.regexp_extract(F.substr(text, F.lit(1), start), rf"[^{borders}]*\z", 0)
+    # Backwards from the start: a search for the clause's end would take the square of a long clause's length.
+    before = F.reverse(F.regexp_extract(F.reverse(F.substr(text, F.lit(1), start)), rf"^[^{borders}]*", 0))
     after = F.regexp_extract(F.substr(text, end + 1), rf"^[^{borders}]*", 0)
     return strip(F.concat(before, F.substr(text, start + 1, end - start), after))
 

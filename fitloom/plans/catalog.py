@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fitloom.plans import matching, texts
+from fitloom.plans import matching, texts, whole
 
-QUERIES = matching.QUERIES | texts.QUERIES
+QUERIES = matching.QUERIES | texts.QUERIES | whole.QUERIES
 ORACLES = matching.ORACLES | texts.ORACLES
