@@ -38,7 +38,8 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]*")
 #: Characters of texts that are worked on together.
-CHUNK = 2_500_000
+CHUNK = 600_000
+SLOTS = 20
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -86,17 +87,43 @@ class Vocabulary:
         self.weight = (-alpha * np.log(1.0 + rank))[order]
         if len(np.unique(h)) != len(h):
             raise ValueError("two pieces share a hash")
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.hash >> np.uint64(44)).astype(np.int64)] = True
+        # The pieces of a slot (the hash's first bits) stand together: first[slot]:first[slot + 1].
+        self.first = np.searchsorted(self.hash >> np.uint64(64 - SLOTS), np.arange((1 << SLOTS) + 1, dtype=np.uint64)).astype(np.int32)
+        # Beginnings of pieces, by a slot of their hash: where none is met, no longer piece follows.
+        self.begins = np.zeros(1 << SLOTS, bool)
+        with np.errstate(over="ignore"):
+            for i in plain:
+                x = np.uint64(0)
+                for c in self.pieces[i]:
+                    x = (x + np.uint64(ord(c) + 1)) * M1
+                    self.begins[int(x) >> 64 - SLOTS] = True
         # Texts of ids, for decoding: bytes stand for themselves.
         self.raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
 
+        self.joined = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.sizes = np.array([len(x) for x in self.raw])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The bytes of a sequence of ids."""
+        n = self.sizes[ids]
+        ends = np.cumsum(n)
+        return self.joined[np.arange(ends[-1] if len(n) else 0) + np.repeat(self.starts[ids] - ends + n, n)].tobytes()
+
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of ids, without the space that encoding puts before a text."""
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        text = self.decoded(np.asarray(ids, np.int64)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
+def sorted_by(a: np.ndarray, b: np.ndarray, c: np.ndarray, most: int) -> np.ndarray:
+    """The order by a, then b, then c (below ``most``); packed into one number where they fit, which sorts faster."""
+    bits = [int(x.max(initial=0)).bit_length() for x in (a, b)] + [(most - 1).bit_length()]
+    if sum(bits) > 63:
+        return np.lexsort((c, b, a))
+    return np.argsort((a.astype(np.int64) << (bits[1] + bits[2])) | (b.astype(np.int64) << bits[2]) | c)
+
+
 class Lattice:
     """The lattices of distinct words, laid end to end: a node per character and one at each word's end."""
 
@@ -104,69 +131,76 @@ class Lattice:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         self.first = np.cumsum(sizes + 1) - (sizes + 1)
         self.last = self.first + sizes
-        chars = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-        n = len(chars)
+        self.chars = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "replace"), np.uint32)
+        n = len(self.chars)
         left = np.repeat(self.last, sizes + 1) - np.arange(n)  # characters to the word's end
-        self.chars = chars
-        at = np.flatnonzero(left > 0)
-        # Dense: a row per node, a column per length of piece.
-        most = min(vocab.longest, int(left.max(initial=1)))
-        weight, piece = np.full((n, most), -np.inf), np.full((n, most), -1, np.int32)
-        h = np.zeros(len(at), np.uint64)
-        for length in range(1, most + 1):
-            h = (h + chars[at + length - 1] + np.uint64(1)) * M1
-            cand = np.flatnonzero(vocab.maybe[(h >> np.uint64(44)).astype(np.int64)])
-            k = np.minimum(np.searchsorted(vocab.hash, h[cand]), len(vocab.hash) - 1)
-            hit = vocab.hash[k] == h[cand]
-            cand, k = at[cand[hit]], k[hit]
-            weight[cand, length - 1], piece[cand, length - 1] = vocab.weight[k], vocab.id[k]
-            keep = left[at] > length
-            at, h = at[keep], h[keep]
-        bare = np.flatnonzero((left > 0) & np.isneginf(weight[:, 0]))
-        c = chars[bare]
-        weight[bare, 0] = vocab.byte_weight * (1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000))
-        piece[bare, 0] = np.where(c < 0x80, vocab.one_byte[np.minimum(c, 127).astype(np.int64)], -1)
-        # All words are solved together from their ends, node by node of equal distance to it.
-        beta = np.zeros(n + most)
-        order = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
-        cuts = np.flatnonzero(np.concatenate(([True], np.diff(left[order]) > 0, [True]))) if n else np.zeros(1, np.int64)
-        reach = np.arange(1, most + 1)
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if left[order[lo]] == 0:
-                continue
-            for k in range(lo, hi, 50_000):
-                nodes = order[k : min(hi, k + 50_000)]
-                x = weight[nodes] + beta[nodes[:, None] + reach]
-                top = x.max(1)
-                beta[nodes] = top + np.log(np.exp(x - top[:, None]).sum(1))
-                weight[nodes] = x - beta[nodes][:, None]  # from here on the edges' conditional log probabilities
+        start, length, k = self.match(vocab, left)
+        bare = left > 0
+        bare[start[length == 1]] = False
+        bare = np.flatnonzero(bare)
+        c = self.chars[bare]
+        weight = np.concatenate((vocab.weight[k], vocab.byte_weight * (1.0 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))))
+        piece = np.concatenate((vocab.id[k], np.where(c < 0x80, vocab.one_byte[np.minimum(c, 127)], -1))).astype(np.int32)
+        start, length = np.concatenate((start, bare)), np.concatenate((length, np.ones(len(bare), np.int64)))
+        # All words are solved together from their ends, nodes of equal distance to it at once.
+        order = sorted_by(left[start], start, length - 1, vocab.longest)
+        start, end, weight, piece = start[order], (start + length)[order], weight[order], piece[order]
+        heads = np.flatnonzero(np.concatenate(([True], start[1:] != start[:-1]))) if len(start) else np.zeros(0, np.int64)
+        nodes, beta = start[heads], np.zeros(n)
+        fan = np.diff(np.concatenate((heads, [len(start)])))
+        cuts = np.flatnonzero(np.concatenate(([True], np.diff(left[nodes]) > 0, [True]))) if len(nodes) else np.zeros(1, np.int64)
+        bounds = np.concatenate((heads, [len(start)]))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            a, b = bounds[lo], bounds[hi]
+            x = weight[a:b] + beta[end[a:b]]
+            at = heads[lo:hi] - a
+            top = np.maximum.reduceat(x, at)
+            total = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, fan[lo:hi])), at))
+            beta[nodes[lo:hi]] = total
+            weight[a:b] = x - np.repeat(total, fan[lo:hi])  # from here on the edges' conditional log probabilities
         # A node's edges stand together, the likeliest first.
-        starts, ends, ids, logqs = [], [], [], []
-        for k in range(0, n, 50_000):
-            w = weight[k : k + 50_000]
-            rank = np.argsort(-w, axis=1, kind="stable")
-            w = np.take_along_axis(w, rank, 1)
-            row, col = np.nonzero(w > -np.inf)
-            starts.append(row + k)
-            ends.append(row + k + 1 + rank[row, col])
-            ids.append(piece[row + k, rank[row, col]])
-            logqs.append(w[row, col])
-        empty = np.zeros(0, np.int64)
-        self.start, self.end = np.concatenate([empty, *starts]), np.concatenate([empty, *ends])
-        self.piece, self.logq = np.concatenate([empty, *ids]), np.concatenate([np.zeros(0), *logqs])
+        order = sorted_by(start, ((1 - np.exp(weight)) * ((1 << 32) - 1)).astype(np.int64), end - start - 1, vocab.longest)
+        self.start, self.end, self.piece, self.logq = start[order].astype(np.int32), end[order].astype(np.int32), piece[order], weight[order]
         self.q = np.exp(self.logq)
-        self.edge = np.searchsorted(self.start, np.arange(n + 1))  # a node's edges are edge[node]:edge[node + 1]
-        self.alone = np.diff(self.edge)[self.start] == 1
-        total = np.cumsum(self.q)
-        self.upto = total - (total - self.q)[self.edge[self.start]] if len(total) else total
+        self.edge = np.zeros(n + 1, np.int64)  # a node's edges are edge[node]:edge[node + 1]
+        np.cumsum(np.bincount(self.start, minlength=n), out=self.edge[1:])
+
+    def match(self, vocab: Vocabulary, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(node, length, index into the vocabulary) of all pieces in the words."""
+        at = np.flatnonzero(left > 0)
+        h, room = np.zeros(len(at), np.uint64), left[at]
+        plus = self.chars.astype(np.uint64) + np.uint64(1)
+        found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
+        for length in range(1, vocab.longest + 1):
+            h = (h + plus[at + (length - 1)]) * M1
+            slot = (h >> np.uint64(64 - SLOTS)).astype(np.int64)
+            live = np.flatnonzero(vocab.begins[slot])
+            at, h, room, slot = at[live], h[live], room[live], slot[live]
+            k, stop = vocab.first[slot], vocab.first[slot + 1]
+            look = np.flatnonzero(k < stop)
+            while len(look):
+                hit = vocab.hash[k[look]] == h[look]
+                got = look[hit]
+                for out, x in zip(found, (at[got], np.full(len(got), length), k[got].astype(np.int64)), strict=True):
+                    out.append(x)
+                look = look[~hit]
+                k[look] += 1
+                look = look[k[look] < stop[look]]
+            live = np.flatnonzero(room > length)
+            at, h, room = at[live], h[live], room[live]
+            if not len(at):
+                break
+        return tuple(np.concatenate(x) for x in found)
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node by its conditional probability."""
-        e, last = self.edge[node], self.edge[node + 1] - 1
-        live = np.flatnonzero((u > self.upto[e]) & (e < last))
+        e, stop = self.edge[node], self.edge[node + 1] - 1
+        rest = u - self.q[e]
+        live = np.flatnonzero((rest > 0) & (e < stop))
         while len(live):
             e[live] += 1
-            live = live[(u[live] > self.upto[e[live]]) & (e[live] < last[live])]
+            rest[live] -= self.q[e[live]]
+            live = live[(rest[live] > 0) & (e[live] < stop[live])]
         return e
 
 
@@ -202,8 +236,14 @@ class Search:
         heapq.heappush(self.open, (-bound, self.count, node))
 
 
-def sample(keys: list[int], texts: list[str], vocab: Vocabulary, k: int) -> list[list[tuple]]:
-    """For each text up to k tuples (edges' ids, log probability, perturbed value, inclusion score)."""
+def bounds(mass: np.ndarray, g: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """The maxima of nodes of log mass ``mass``: Gumbels truncated at ``g``."""
+    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+        return np.where(np.isneginf(mass), -np.inf, mass - np.log(np.exp(np.minimum(mass - g, 700)) - noise))
+
+
+def search(keys: list[int], texts: list[str], vocab: Vocabulary, k: int) -> tuple[Lattice, list[Search]]:
+    """The solved searches of the texts; a completed path is (edges, their words, log probability, perturbed value)."""
     index: dict[str, int] = {}
     units, sizes = [], []
     for t in texts:
@@ -214,8 +254,9 @@ def sample(keys: list[int], texts: list[str], vocab: Vocabulary, k: int) -> list
     lat = Lattice(list(index), vocab)
     searches = [Search(key, k) for key in keys]
     todo = []
+    first_g = -np.log(-np.log(uniform(np.array(keys, np.uint64), np.ones(len(keys), np.int64))))
     for i, s in enumerate(searches):
-        g = float(-np.log(-np.log(uniform(np.array([s.key], np.uint64), np.array([1]))))[0])
+        g = float(first_g[i])
         if sizes[i]:
             # Node: value, word from which it is free, edges of that word so far, the node's excluded edges, earlier path.
             todo.append((i, g, 0, [], frozenset(), None))
@@ -224,12 +265,12 @@ def sample(keys: list[int], texts: list[str], vocab: Vocabulary, k: int) -> list
     for turn in range(k):
         if not todo:
             break
-        unit, node, seed, place, fixed = [], [], [], [], []
-        for i, _, w, begun, out, _ in todo:
+        unit, node, place, fixed = [], [], [], []
+        turn_keys = mix(np.array([searches[t[0]].key + (turn + 2) * int(M1) & (1 << 64) - 1 for t in todo], np.uint64))
+        for (i, _, w, begun, out, _), key in zip(todo, turn_keys, strict=True):
             u = units[i][w:]
             first = int(lat.end[begun[-1]]) if begun else int(lat.first[u[0]])
-            start = lat.first[u].copy()
-            key = mix(np.array([searches[i].key + (turn + 2) * int(M1) & (1 << 64) - 1], np.uint64))[0]
+            start = lat.first[u]
             forced = []
             if out:
                 e = np.array([x for x in range(lat.edge[first], lat.edge[first + 1]) if x not in out])
@@ -241,76 +282,88 @@ def sample(keys: list[int], texts: list[str], vocab: Vocabulary, k: int) -> list
             fixed.append(begun + forced)
             unit.append(u)
             node.append(start)
-            seed.append(np.full(len(u), key))
             place.append(np.arange(w + 1, w + 1 + len(u)))
-        lens = [len(u) for u in unit]
+        lens = np.array([len(u) for u in unit])
         base = np.cumsum(lens) - lens
-        owner, edge = paths(lat, *(np.concatenate(x) for x in (unit, node, seed, place)))
+        owner, edge = paths(lat, np.concatenate(unit), np.concatenate(node), np.repeat(turn_keys, lens), np.concatenate(place))
         cut = np.searchsorted(owner, np.concatenate((base, [base[-1] + lens[-1]])))
-        # For all drawn steps at once: log probabilities, the mass that each step leaves behind, its noise.
-        logq_all, q_all = lat.logq[edge], lat.q[edge]
-        upto_all = np.cumsum(logq_all)
+        # For all drawn steps at once: log probabilities, the mass that each step leaves behind, its bound.
+        steps, logq = np.diff(cut), lat.logq[edge]
+        upto = np.cumsum(logq)
+        start = lat.start[edge]
         with np.errstate(divide="ignore"):
-            rest_all = np.where(lat.alone[edge], -np.inf, np.log(np.maximum(1 - q_all, 1e-300)))
-        where_all = owner - np.repeat(base, lens)[owner] + np.repeat([t[2] for t in todo], lens)[owner]
-        starts, heads = np.diff(cut), []
-        for j, (_, _, w, _, _, earlier) in enumerate(todo):
-            kept = int(np.searchsorted(earlier[1], w)) if earlier is not None else 0
-            heads.append((kept, kept + len(fixed[j])))
-        place_all = np.arange(len(edge)) - np.repeat(cut[:-1], starts) + np.repeat([h for _, h in heads], starts)
-        noise_all = np.log(uniform(np.repeat(np.array([searches[t[0]].key for t in todo], np.uint64), starts), (turn + 1 << 40) + place_all))
+            rest = np.where(lat.edge[start + 1] - lat.edge[start] == 1, -np.inf, np.log(np.maximum(1 - lat.q[edge], 1e-300)))
+        where_all = owner + np.repeat(np.array([t[2] for t in todo]) - base, lens)[owner]
+        kept = np.array([int(np.searchsorted(t[5][1], t[2])) if t[5] is not None else 0 for t in todo])
+        head = kept + np.array([len(f) for f in fixed])
+        ahead = np.array([float(lat.logq[np.concatenate((t[5][0][:n], f)).astype(np.int64)].sum()) if t[5] is not None else 0.0 for t, n, f in zip(todo, kept.tolist(), fixed, strict=True)])
+        prior = np.concatenate(([0.0], upto))[cut]
+        total = ahead + np.where(steps > 0, prior[1:] - prior[:-1], 0.0)
+        key, g = np.array([searches[t[0]].key for t in todo], np.uint64), np.array([t[1] for t in todo])
+        place_all = np.arange(len(edge)) + np.repeat(head - cut[:-1], steps)
+        noise = np.log(uniform(np.repeat(key, steps), (turn + 1 << 40) + place_all))
+        bound_all = bounds(upto - logq + np.repeat(ahead - prior[:-1], steps) + rest, np.repeat(g, steps), noise)
         nxt = []
-        for j, (i, g, w, _, out, earlier) in enumerate(todo):
-            s, lo, hi, (kept, n_head) = searches[i], cut[j], cut[j + 1], heads[j]
-            begun = np.array(fixed[j], np.int64)
-            mine = np.concatenate((earlier[0][:kept] if earlier is not None else begun[:0], begun, edge[lo:hi]))
-            where = np.concatenate((earlier[1][:kept] if earlier is not None else begun[:0], np.full(len(begun), w), where_all[lo:hi]))
-            ahead = float(lat.logq[mine[:n_head]].sum())
-            prior = upto_all[lo - 1] if lo else 0.0
-            s.done.append((mine, where, ahead + (float(upto_all[hi - 1] - prior) if hi > lo else 0.0), g))
+        for j, (i, gj, w, _, out, earlier) in enumerate(todo):
+            s, lo, hi, n_head = searches[i], int(cut[j]), int(cut[j + 1]), int(head[j])
+            mine, where = edge[lo:hi], where_all[lo:hi]
+            if n_head:
+                begun = np.array(fixed[j], np.int64)
+                mine = np.concatenate((earlier[0][: kept[j]], begun, mine))
+                where = np.concatenate((earlier[1][: kept[j]], np.full(len(begun), w), where))
+            s.done.append((mine, where, float(total[j]), gj))
             # Open nodes of this path: from the step at which it left the earlier one.
-            mass = upto_all[lo:hi] - logq_all[lo:hi] - prior + ahead + rest_all[lo:hi]
-            noise, at = noise_all[lo:hi], n_head
+            bound, at = bound_all[lo:hi], n_head
             if out:
                 at = n_head - 1
                 e = mine[at]
                 free = [x for x in range(lat.edge[lat.start[e]], lat.edge[lat.start[e] + 1]) if x != e and x not in out]
-                first = ahead - lat.logq[e] + np.log(lat.q[free].sum()) if free else -np.inf
-                mass = np.concatenate(([first], mass))
-                noise = np.concatenate((np.log(uniform(np.array([s.key], np.uint64), np.array([(turn + 1 << 40) + at]))), noise))
-            with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-                bound = np.where(np.isneginf(mass), -np.inf, mass - np.log(np.exp(np.minimum(mass - g, 700)) - noise))
+                with np.errstate(divide="ignore"):
+                    mass = ahead[j] - lat.logq[e] + np.log(lat.q[free].sum()) if free else -np.inf
+                bound = np.concatenate((bounds(np.array([mass]), gj, np.log(uniform(key[j : j + 1], np.array([(turn + 1 << 40) + at])))), bound))
             left = k - len(s.done) + 1
-            best = np.argpartition(-bound, min(left, len(bound)) - 1)[:left] if len(bound) else []
-            for b in sorted(int(x) for x in best):
+            best = () if not len(bound) else [int(bound.argmax())] if left == 1 else sorted(np.argpartition(-bound, min(left, len(bound)) - 1)[:left].tolist())
+            for b in best:
                 if bound[b] > -np.inf:
                     p = at + b
                     first = int(np.searchsorted(where, where[p]))
-                    inside = mine[first:p].tolist()
                     gone = (out if b == 0 and out else frozenset()) | {int(mine[p])}
-                    s.push(float(bound[b]), (int(where[p]), inside, gone, (mine, where)))
+                    s.push(float(bound[b]), (int(where[p]), mine[first:p].tolist(), gone, (mine, where)))
             if len(s.done) < k and s.open:
                 value, _, (w2, inside, gone, path) = heapq.heappop(s.open)
                 nxt.append((i, -value, w2, inside, gone, path))
         todo = nxt
+    return lat, searches
+
+
+def spelled(lat: Lattice, edges: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """The pieces' ids of a path, characters without a piece as their bytes."""
+    ids = lat.piece[edges]
+    bare = np.flatnonzero(ids < 0)
+    if not len(bare):
+        return ids
+    parts, at = [], 0
+    for i in bare.tolist():
+        parts += [ids[at:i], np.array([vocab.bytes[c] for c in chr(int(lat.chars[lat.start[edges[i]]])).encode("utf-8", "replace")], np.int32)]
+        at = i + 1
+    return np.concatenate([*parts, ids[at:]])
+
+
+def sampled(keys: list[int], texts: list[str], vocab: Vocabulary, k: int) -> list[list[tuple]]:
+    """For each text up to k tuples (array of ids, log probability, perturbed value, inclusion score)."""
+    lat, searches = search(keys, texts, vocab, k)
     out = []
     for s in searches:
         threshold = -s.open[0][0] if s.open else None
-        rows = []
-        for mine, _, logp, g in s.done:
-            ids = lat.piece[mine].tolist()
-            if -1 in ids:
-                at, filled = 0, []
-                for i in np.flatnonzero(lat.piece[mine] < 0).tolist():
-                    filled += ids[at:i]
-                    filled += [vocab.bytes[c] for c in chr(int(lat.chars[lat.start[mine[i]]])).encode("utf-8", "replace")]
-                    at = i + 1
-                ids = filled + ids[at:]
-            rows.append((ids, logp, g, 1.0 if threshold is None else float(-np.expm1(-np.exp(min(700.0, logp - threshold))))))
-        out.append(rows)
+        out.append([(spelled(lat, mine, vocab), logp, g, 1.0 if threshold is None else float(-np.expm1(-np.exp(min(700.0, logp - threshold))))) for mine, _, logp, g in s.done])
     return out
 
 
+def sample(keys: list[int], texts: list[str], vocab: Vocabulary, k: int) -> list[list[tuple]]:
+    """The same with lists of ids."""
+    return [[(ids.tolist(), *rest) for ids, *rest in rows] for rows in sampled(keys, texts, vocab, k)]
+
+
 _vocabularies: dict[tuple, Vocabulary] = {}
 
 
@@ -340,15 +393,17 @@ def encode_samples(docs: DataFrame, path: str, k: int = 2, alpha: float = 1.0, s
         vocab = _vocabularies.get((path, alpha)) or _vocabularies.setdefault((path, alpha), Vocabulary(path, alpha))
         for ids, texts in chunks(batches):
             keys = [int(mix(np.array([((d or 0) & (1 << 64) - 1) ^ seed << 32], np.uint64))[0]) for d in ids]
-            rows = []
-            for d, text, found in zip(ids, texts, sample(keys, texts, vocab, k), strict=True):
-                for n, (pieces, logp, g, inclusion) in enumerate(found):
-                    digest = hashlib.sha256(np.array(pieces, np.int32).tobytes()).hexdigest()
-                    rows.append((d, n, pieces if keep_ids else None, len(pieces), logp, g, inclusion, digest, vocab.decode(pieces) == text))
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
-            cols = list(zip(*rows, strict=True))
-            arrays = [pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([a for i, a in enumerate(arrays) if keep_ids or i != 2], names=[c for i, c in enumerate(COLUMNS) if keep_ids or i != 2])
+            rows, pieces = [], []
+            for d, text, found in zip(ids, texts, sampled(keys, texts, vocab, k), strict=True):
+                for n, (ids_, logp, g, inclusion) in enumerate(found):
+                    pieces.append(ids_)
+                    rows.append((d, n, len(ids_), logp, g, inclusion, hashlib.sha256(ids_.tobytes()).hexdigest(), vocab.decode(ids_) == text))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
+            arrays = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            if keep_ids:
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in pieces]))).astype(np.int32)
+                arrays.insert(2, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces))))
+            yield pa.RecordBatch.from_arrays(arrays, names=[c for i, c in enumerate(COLUMNS) if keep_ids or i != 2])
 
     types = ["long", "int", "array<int>", "int", "double", "double", "double", "string", "boolean"]
     schema = ", ".join(f"{c} {t}" for i, (c, t) in enumerate(zip(COLUMNS, types, strict=True)) if keep_ids or i != 2)
