@@ -13,7 +13,9 @@ best of those that can still be popped are kept.  The (k+1)-th value is the thre
 which each path's inclusion score 1 - exp(-exp(log p - threshold)) follows.
 
 Pieces never span a word's border (checked when the model is read), so lattices are built
-once for each distinct word of a chunk of texts and all texts of a chunk advance together.
+once for each distinct word of a chunk of texts and all texts of a chunk advance together;
+a worker keeps the solved lattices of words that come again, up to a fixed size.  A chunk
+holds about ``CHUNK`` characters, or one text if that is longer.
 Random numbers are a hash of the row key, the sample and the place, so results don't
 depend on chunks or partitions.
 
@@ -28,7 +30,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-UNIT = re.compile(f"{SPACE}*[^{SPACE}]*")
 #: Characters of texts that are worked on together.
 CHUNK = 600_000
+#: Nodes and length of words that a worker's memo keeps at most; words that it remembers having met once.
+KEPT, LONGEST, SEEN = 600_000, 64, 400_000
 SLOTS = 20
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -52,7 +54,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def uniform(key: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1), a function of key and place."""
-    return ((mix(mix(key + M1) ^ (place.astype(np.uint64) * M1 + M1)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return drawn(mix(key + M1), place)
+
+
+def drawn(mixed: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The same with keys that are mixed once for many places."""
+    return ((mix(mixed ^ (place.astype(np.uint64) * M1 + M1)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 class Vocabulary:
@@ -116,6 +123,12 @@ class Vocabulary:
         return text[1:] if text.startswith(" ") else text
 
 
+def spread(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indexes of the ranges of ``sizes`` from ``start`` on, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + sizes, sizes)
+
+
 def sorted_by(a: np.ndarray, b: np.ndarray, c: np.ndarray, most: int) -> np.ndarray:
     """The order by a, then b, then c (below ``most``); packed into one number where they fit, which sorts faster."""
     bits = [int(x.max(initial=0)).bit_length() for x in (a, b)] + [(most - 1).bit_length()]
@@ -127,12 +140,15 @@ def sorted_by(a: np.ndarray, b: np.ndarray, c: np.ndarray, most: int) -> np.ndar
 class Lattice:
     """The lattices of distinct words, laid end to end: a node per character and one at each word's end."""
 
-    def __init__(self, words: list[str], vocab: Vocabulary):
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+    def __init__(self, chars: np.ndarray, start: np.ndarray, sizes: np.ndarray, vocab: Vocabulary):
+        """Words are ``sizes`` characters of ``chars`` from ``start`` on."""
         self.first = np.cumsum(sizes + 1) - (sizes + 1)
         self.last = self.first + sizes
-        self.chars = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "replace"), np.uint32)
-        n = len(self.chars)
+        n = int((sizes + 1).sum())
+        self.chars = np.zeros(n, np.uint32)
+        inner = np.ones(n, bool)
+        inner[self.last] = False
+        self.chars[inner] = chars[spread(start, sizes)]
         left = np.repeat(self.last, sizes + 1) - np.arange(n)  # characters to the word's end
         start, length, k = self.match(vocab, left)
         bare = left > 0
@@ -163,7 +179,33 @@ class Lattice:
         self.start, self.end, self.piece, self.logq = start[order].astype(np.int32), end[order].astype(np.int32), piece[order], weight[order]
         self.q = np.exp(self.logq)
         self.edge = np.zeros(n + 1, np.int64)  # a node's edges are edge[node]:edge[node + 1]
-        np.cumsum(np.bincount(self.start, minlength=n), out=self.edge[1:])
+        fan = np.bincount(self.start, minlength=n)
+        np.cumsum(fan, out=self.edge[1:])
+        self.rest = np.where(fan[self.start] == 1, -np.inf, np.log(np.maximum(1 - self.q, 1e-300)))  # log of what the node's other edges have
+
+    def subset(self, words: np.ndarray) -> Lattice:
+        """The lattices of some of the words (by index, ascending)."""
+        out = object.__new__(Lattice)
+        size = self.last[words] - self.first[words] + 1
+        out.first = np.cumsum(size) - size
+        out.last = out.first + size - 1
+        nodes = spread(self.first[words], size)
+        fan = (self.edge[nodes + 1] - self.edge[nodes]) if len(nodes) else np.zeros(0, np.int64)
+        out.edge = np.concatenate(([0], np.cumsum(fan)))
+        edges = spread(self.edge[nodes], fan)
+        moved = np.repeat(np.repeat(out.first - self.first[words], size), fan)
+        out.start, out.end = (self.start[edges] + moved).astype(np.int32), (self.end[edges] + moved).astype(np.int32)
+        out.chars, out.piece, out.logq, out.q, out.rest = self.chars[nodes], self.piece[edges], self.logq[edges], self.q[edges], self.rest[edges]
+        return out
+
+    def followed(self, other: Lattice) -> Lattice:
+        """Both lattices, the other's words after this one's."""
+        out, n, m = object.__new__(Lattice), len(self.chars), len(self.q)
+        for name, by in (("first", n), ("last", n), ("start", n), ("end", n), ("chars", 0), ("piece", 0), ("logq", 0), ("q", 0), ("rest", 0)):
+            a, b = getattr(self, name), getattr(other, name)
+            setattr(out, name, np.concatenate((a, b + a.dtype.type(by) if by else b)))
+        out.edge = np.concatenate((self.edge, other.edge[1:] + m))
+        return out
 
     def match(self, vocab: Vocabulary, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(node, length, index into the vocabulary) of all pieces in the words."""
@@ -210,7 +252,7 @@ def paths(lat: Lattice, unit: np.ndarray, node: np.ndarray, seed: np.ndarray, pl
     live = node < lat.last[unit]
     occ, node = occ[live], node[live]
     while len(occ):
-        e = lat.draw(node, uniform(seed[occ], (place[occ] << 20) + step))
+        e = lat.draw(node, drawn(seed[occ], (place[occ] << 20) + step))
         owners.append(occ)
         edges.append(e)
         node = lat.end[e]
@@ -223,6 +265,74 @@ def paths(lat: Lattice, unit: np.ndarray, node: np.ndarray, seed: np.ndarray, pl
     return owner[order], edge[order]
 
 
+class Words:
+    """The words of texts: their characters, and each one's start and size; a word has the spaces before it, a text one more."""
+
+    def __init__(self, texts: list[str]):
+        self.chars = np.frombuffer("".join(SPACE + t.replace(" ", SPACE) for t in texts if t).encode("utf-32-le"), np.uint32)
+        lens = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        first = np.cumsum(lens) - lens
+        mark = self.chars == ord(SPACE)
+        begins = mark.copy()
+        begins[1:] &= ~mark[:-1]
+        begins[first[lens > 0]] = True
+        self.start = np.flatnonzero(begins)
+        self.sizes = np.diff(np.concatenate((self.start, [len(self.chars)])))
+        self.place = np.arange(len(self.chars)) - np.repeat(self.start, self.sizes)
+        #: Each text's words are cut[i]:cut[i + 1].
+        self.cut = np.searchsorted(self.start, np.concatenate((first, [len(self.chars)])))
+        powers = np.cumprod(np.full(int(self.sizes.max(initial=1)), M1, np.uint64))
+        sums = np.add.reduceat((self.chars + np.uint64(1)) * powers[self.place], self.start) if len(self.start) else np.zeros(0, np.uint64)
+        self.hash = mix(sums ^ self.sizes.astype(np.uint64))
+
+
+class Memo:
+    """A worker's solved lattices of words that it has met in more than one chunk, up to ``KEPT`` nodes."""
+
+    def __init__(self, vocab: Vocabulary):
+        none = np.zeros(0, np.int64)
+        self.vocab, self.lattice = vocab, Lattice(np.zeros(0, np.uint32), none, none, vocab)
+        self.hash, self.at, self.seen = none.astype(np.uint64), none, none.astype(np.uint64)
+
+    def solve(self, words: Words) -> tuple[Lattice, np.ndarray]:
+        """Lattices that hold all words, and each word's index in them."""
+        kinds, where, kind = np.unique(words.hash, return_index=True, return_inverse=True)
+        k = np.searchsorted(self.hash, kinds)
+        found = np.zeros(len(kinds), bool)
+        if len(self.hash):
+            found = self.hash[np.minimum(k, len(self.hash) - 1)] == kinds
+        new, old = np.flatnonzero(~found), len(self.lattice.first)
+        index = np.zeros(len(kinds), np.int64)
+        index[found] = self.at[k[found]]
+        index[new] = old + np.arange(len(new))
+        fresh = Lattice(words.chars, words.start[where[new]], words.sizes[where[new]], self.vocab)
+        both, unit = self.lattice.followed(fresh), index[kind]
+        # Equal hashes are checked: a word that differs from its kind gets a lattice of its own.
+        same = both.last[unit] - both.first[unit] == words.sizes
+        at = np.minimum(np.repeat(both.first[unit], words.sizes) + words.place, len(both.chars) - 1)
+        same &= np.logical_and.reduceat(both.chars[at] == words.chars, words.start) if len(words.start) else same
+        odd = np.flatnonzero(~same)
+        if len(odd):
+            unit[odd] = len(both.first) + np.arange(len(odd))
+            both = both.followed(Lattice(words.chars, words.start[odd], words.sizes[odd], self.vocab))
+        self.keep(fresh, kinds[new])
+        return both, unit
+
+    def keep(self, fresh: Lattice, hashes: np.ndarray) -> None:
+        sizes = fresh.last - fresh.first
+        k = np.searchsorted(self.seen, hashes)
+        met = self.seen[np.minimum(k, len(self.seen) - 1)] == hashes if len(self.seen) else np.zeros(len(hashes), bool)
+        again = np.flatnonzero(met & (sizes <= LONGEST))
+        again = again[np.cumsum(sizes[again] + 1) <= KEPT - len(self.lattice.chars)]
+        if len(again):
+            self.at = np.concatenate((self.at, len(self.lattice.first) + np.arange(len(again))))
+            self.hash = np.concatenate((self.hash, hashes[again]))
+            order = np.argsort(self.hash)
+            self.hash, self.at = self.hash[order], self.at[order]
+            self.lattice = self.lattice.followed(fresh.subset(again))
+        self.seen = np.sort(np.concatenate((self.seen if len(self.seen) < SEEN else self.seen[:0], hashes[~met & (sizes <= LONGEST)])))
+
+
 class Search:
     """The A* search of one text: its completed paths and its best open nodes."""
 
@@ -242,22 +352,17 @@ def bounds(mass: np.ndarray, g: np.ndarray, noise: np.ndarray) -> np.ndarray:
         return np.where(np.isneginf(mass), -np.inf, mass - np.log(np.exp(np.minimum(mass - g, 700)) - noise))
 
 
-def search(keys: list[int], texts: list[str], vocab: Vocabulary, k: int) -> tuple[Lattice, list[Search]]:
+def search(keys: list[int], texts: list[str], memo: Memo, k: int) -> tuple[Lattice, list[Search]]:
     """The solved searches of the texts; a completed path is (edges, their words, log probability, perturbed value)."""
-    index: dict[str, int] = {}
-    units, sizes = [], []
-    for t in texts:
-        # Words with the spaces before them; the text itself gets one.
-        ws = [w for w in UNIT.findall((SPACE + t).replace(" ", SPACE)) if w] if t else []
-        units.append(np.array([index.setdefault(w, len(index)) for w in ws], np.int64))
-        sizes.append(len(ws))
-    lat = Lattice(list(index), vocab)
+    words = Words(texts)
+    lat, unit_all = memo.solve(words)
+    units = [unit_all[a:b] for a, b in zip(words.cut[:-1].tolist(), words.cut[1:].tolist(), strict=True)]
     searches = [Search(key, k) for key in keys]
     todo = []
     first_g = -np.log(-np.log(uniform(np.array(keys, np.uint64), np.ones(len(keys), np.int64))))
     for i, s in enumerate(searches):
         g = float(first_g[i])
-        if sizes[i]:
+        if len(units[i]):
             # Node: value, word from which it is free, edges of that word so far, the node's excluded edges, earlier path.
             todo.append((i, g, 0, [], frozenset(), None))
         else:
@@ -285,14 +390,11 @@ def search(keys: list[int], texts: list[str], vocab: Vocabulary, k: int) -> tupl
             place.append(np.arange(w + 1, w + 1 + len(u)))
         lens = np.array([len(u) for u in unit])
         base = np.cumsum(lens) - lens
-        owner, edge = paths(lat, np.concatenate(unit), np.concatenate(node), np.repeat(turn_keys, lens), np.concatenate(place))
+        owner, edge = paths(lat, np.concatenate(unit), np.concatenate(node), np.repeat(mix(turn_keys + M1), lens), np.concatenate(place))
         cut = np.searchsorted(owner, np.concatenate((base, [base[-1] + lens[-1]])))
         # For all drawn steps at once: log probabilities, the mass that each step leaves behind, its bound.
         steps, logq = np.diff(cut), lat.logq[edge]
         upto = np.cumsum(logq)
-        start = lat.start[edge]
-        with np.errstate(divide="ignore"):
-            rest = np.where(lat.edge[start + 1] - lat.edge[start] == 1, -np.inf, np.log(np.maximum(1 - lat.q[edge], 1e-300)))
         where_all = owner + np.repeat(np.array([t[2] for t in todo]) - base, lens)[owner]
         kept = np.array([int(np.searchsorted(t[5][1], t[2])) if t[5] is not None else 0 for t in todo])
         head = kept + np.array([len(f) for f in fixed])
@@ -301,8 +403,8 @@ def search(keys: list[int], texts: list[str], vocab: Vocabulary, k: int) -> tupl
         total = ahead + np.where(steps > 0, prior[1:] - prior[:-1], 0.0)
         key, g = np.array([searches[t[0]].key for t in todo], np.uint64), np.array([t[1] for t in todo])
         place_all = np.arange(len(edge)) + np.repeat(head - cut[:-1], steps)
-        noise = np.log(uniform(np.repeat(key, steps), (turn + 1 << 40) + place_all))
-        bound_all = bounds(upto - logq + np.repeat(ahead - prior[:-1], steps) + rest, np.repeat(g, steps), noise)
+        noise = np.log(drawn(np.repeat(mix(key + M1), steps), (turn + 1 << 40) + place_all))
+        bound_all = bounds(upto - logq + np.repeat(ahead - prior[:-1], steps) + lat.rest[edge], np.repeat(g, steps), noise)
         nxt = []
         for j, (i, gj, w, _, out, earlier) in enumerate(todo):
             s, lo, hi, n_head = searches[i], int(cut[j]), int(cut[j + 1]), int(head[j])
@@ -349,22 +451,29 @@ def spelled(lat: Lattice, edges: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     return np.concatenate([*parts, ids[at:]])
 
 
-def sampled(keys: list[int], texts: list[str], vocab: Vocabulary, k: int) -> list[list[tuple]]:
+def sampled(keys: list[int], texts: list[str], memo: Memo, k: int) -> list[list[tuple]]:
     """For each text up to k tuples (array of ids, log probability, perturbed value, inclusion score)."""
-    lat, searches = search(keys, texts, vocab, k)
+    lat, searches = search(keys, texts, memo, k)
     out = []
     for s in searches:
         threshold = -s.open[0][0] if s.open else None
-        out.append([(spelled(lat, mine, vocab), logp, g, 1.0 if threshold is None else float(-np.expm1(-np.exp(min(700.0, logp - threshold))))) for mine, _, logp, g in s.done])
+        out.append([(spelled(lat, mine, memo.vocab), logp, g, 1.0 if threshold is None else float(-np.expm1(-np.exp(min(700.0, logp - threshold))))) for mine, _, logp, g in s.done])
     return out
 
 
 def sample(keys: list[int], texts: list[str], vocab: Vocabulary, k: int) -> list[list[tuple]]:
     """The same with lists of ids."""
-    return [[(ids.tolist(), *rest) for ids, *rest in rows] for rows in sampled(keys, texts, vocab, k)]
+    return [[(ids.tolist(), *rest) for ids, *rest in rows] for rows in sampled(keys, texts, Memo(vocab), k)]
+
+
+_memos: dict[tuple, Memo] = {}
 
 
-_vocabularies: dict[tuple, Vocabulary] = {}
+def memo_of(path: str, alpha: float = 1.0) -> Memo:
+    """This worker's memo for a model."""
+    if (path, alpha) not in _memos:
+        _memos[path, alpha] = Memo(Vocabulary(path, alpha))
+    return _memos[path, alpha]
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
@@ -390,11 +499,12 @@ def encode_samples(docs: DataFrame, path: str, k: int = 2, alpha: float = 1.0, s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = _vocabularies.get((path, alpha)) or _vocabularies.setdefault((path, alpha), Vocabulary(path, alpha))
+        memo = memo_of(path, alpha)
+        vocab = memo.vocab
         for ids, texts in chunks(batches):
             keys = [int(mix(np.array([((d or 0) & (1 << 64) - 1) ^ seed << 32], np.uint64))[0]) for d in ids]
             rows, pieces = [], []
-            for d, text, found in zip(ids, texts, sampled(keys, texts, vocab, k), strict=True):
+            for d, text, found in zip(ids, texts, sampled(keys, texts, memo, k), strict=True):
                 for n, (ids_, logp, g, inclusion) in enumerate(found):
                     pieces.append(ids_)
                     rows.append((d, n, len(ids_), logp, g, inclusion, hashlib.sha256(ids_.tobytes()).hexdigest(), vocab.decode(ids_) == text))
@@ -414,7 +524,7 @@ def decode_samples(samples: DataFrame, path: str) -> DataFrame:
     """``(doc_id, sample, text)`` of rows with ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = _vocabularies.get((path, 1.0)) or _vocabularies.setdefault((path, 1.0), Vocabulary(path))
+        vocab = memo_of(path).vocab
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([vocab.decode(x or []) for x in b.column(2).to_pylist()], pa.string())], names=["doc_id", "sample", "text"])
 
