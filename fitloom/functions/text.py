@@ -44,8 +44,8 @@ def normalize_text(col: Column, compose: bool = True) -> Column:
     if compose:
         t = nfc(t)
     t = F.regexp_replace(t, r"\r\n?", "\n")
-    t = F.regexp_replace(t, V.INVISIBLE, "")
-    t = F.translate(t, "".join(V.MAPPED), "".join(V.MAPPED.values()))
+    # Characters without a counterpart are dropped.
+    t = F.translate(t, "".join(V.MAPPED) + V.INVISIBLE, "".join(V.MAPPED.values()))
     t = F.regexp_replace(t, rf"(?:(?!\n){WHITE})+(?=\n|\z)", "")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
     return F.regexp_replace(t, r"^\n+|\n+\z", "")
@@ -175,9 +175,9 @@ def mask_secret(col: Column) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) == 0, F.lit("")).when(n <= 8, F.lit("****")).otherwise(F.concat(F.left(col, F.lit(4)), F.lit("****"), F.right(col, F.lit(4))))
 
 
-def find_span(text: Column, word: Column) -> Column:
-    """0-based position of a word whatever its case, -1 where it doesn't occur."""
-    return F.instr(F.lower(text), F.lower(word)) - 1 if isinstance(word, str) else F.position(F.lower(word), F.lower(text)) - 1
+def find_span(text: Column, word: Column | str) -> Column:
+    """0-based position of a word (a column or a plain string) whatever its case, -1 where it doesn't occur."""
+    return F.position(F.lower(F.lit(word) if isinstance(word, str) else word), F.lower(text)) - 1
 
 
 def clean_list(col: Column, most_chars: int = 60, most: int = 40) -> Column:

@@ -7,14 +7,20 @@ broadcasts them while they are small.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fitloom.functions import text as T
+from fitloom.functions import vocab as V
 
 OTHER = "其它"
+#: Aliases that a task compiles at most, and beginnings of aliases for which they are broadcast.
+MOST_ALIASES, MOST_HEADS = 500_000, 20_000
 CJK = r"[一-鿿]"
 
 
@@ -71,14 +77,41 @@ def boundary_ok(left: Column, right: Column, is_cjk: Column) -> Column:
     return is_cjk | (~left.rlike("[A-Za-z0-9_+#.]") & ~right.rlike("[A-Za-z_+#.]"))
 
 
+def places(size: int, heads: list[str], longest: int) -> Column:
+    """The places of ``line`` whose first ``size`` characters are among ``heads``, each with what follows it."""
+
+    def of(chars: Column) -> Column:
+        head = lambda p: F.lower(F.array_join(F.slice(chars, p, size), ""))
+        piece = lambda p: F.struct(
+            p.alias("p"), head(p).alias("_k"), F.when(p > 1, F.element_at(chars, p - 1)).otherwise("").alias("left"), F.array_join(F.slice(chars, p, longest + 1), "").alias("piece")
+        )
+        return F.transform(F.filter(F.sequence(F.lit(1), F.size(chars)), lambda p: head(p).isin(heads)), piece)
+
+    return T.let(F.split("line", ""), of)
+
+
 def candidates(lines: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:
-    """``(*keys, canonical, compile_ord, s, e, raw)``: all places of all aliases in ``line``, borders respected, overlaps kept."""
-    low = F.lower("line")
-    hit = lines.join(aliases, F.contains(low, F.col("alias")))
-    at = F.explode(F.filter(F.sequence(F.lit(1), F.length("line") - F.col("len") + 1), lambda p: F.substr(low, p, F.col("len")) == F.col("alias")))
-    pos = hit.where(F.length("line") >= F.col("len")).select("*", at.alias("_p"))
-    ok = boundary_ok(F.when(F.col("_p") > 1, F.substr("line", F.col("_p") - 1, F.lit(1))).otherwise(""), F.substr("line", F.col("_p") + F.col("len"), F.lit(1)), F.col("is_cjk"))
-    return pos.where(ok).select(*keys, "canonical", "compile_ord", (F.col("_p") - 1).alias("s"), (F.col("_p") - 1 + F.col("len")).alias("e"), F.substr("line", F.col("_p"), F.col("len")).alias("raw"))
+    """``(*keys, canonical, compile_ord, s, e, raw)``: all places of all aliases in ``line``, borders respected, overlaps kept.
+
+    A line's places that begin like some alias become rows, each with as many characters as
+    the longest alias has; they meet the aliases in a hash join on the first two characters
+    (on the first for aliases of one), so no line is compared with the whole dictionary.
+    """
+    longest = aliases.agg(F.max("len")).first()[0] or 1
+    found = []
+    for size in (1, 2):
+        own = aliases.where(F.col("len") == 1 if size == 1 else F.col("len") > 1).withColumn("_k", F.substr("alias", F.lit(1), F.lit(size)))
+        heads = [r["_k"] for r in own.select("_k").distinct().collect()]
+        if not heads:
+            continue
+        at = lines.where(F.length("line") >= size).select(*keys, F.explode(places(size, heads, longest)).alias("x")).select(*keys, "x.*")
+        found.append(at.join(F.broadcast(own) if len(heads) <= MOST_HEADS else own, "_k"))
+    if not found:
+        return lines.where("false").select(*keys, F.lit("").alias("canonical"), F.lit(0).alias("compile_ord"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("raw"))
+    hit = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    raw = F.substr("piece", F.lit(1), F.col("len"))
+    ok = (F.lower(raw) == F.col("alias")) & boundary_ok(F.col("left"), F.substr("piece", F.col("len") + 1, F.lit(1)), F.col("is_cjk"))
+    return hit.where(ok).select(*keys, "canonical", "compile_ord", (F.col("p") - 1).alias("s"), (F.col("p") - 1 + F.col("len")).alias("e"), raw.alias("raw"))
 
 
 def resolve(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -133,31 +166,51 @@ class Matcher:
         return sorted(out)
 
 
+def compiled(dim_alias: DataFrame) -> list[tuple]:
+    """The dictionary for ``Matcher``; a larger one than a task may hold is an error, ``scan_native`` has no such bound."""
+    rows = compile_aliases(dim_alias).select("alias", "canonical", "is_cjk", "compile_ord").limit(MOST_ALIASES + 1).collect()
+    if len(rows) > MOST_ALIASES:
+        raise ValueError("the dictionary is too large for a task; use scan_native")
+    return [tuple(r) for r in rows]
+
+
 def scan(docs: DataFrame, dim_alias: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``(*keys, canonical, raw, s, e)``: mentions with offsets in the whole text; one pass over the texts, no shuffle.
+    """``(*keys, canonical, raw, s, e)``: mentions with offsets in the whole text; one pass over the texts, no shuffle."""
+    return scan_around(docs, dim_alias, text, keys).select(*keys, "canonical", "raw", "s", "e")
+
+
+#: Characters kept on either side of a mention.
+AROUND = 40
+CLAUSE = re.compile(f"[{re.escape(V.CLAUSE_BORDER)}]")
+
+
+def scan_around(docs: DataFrame, dim_alias: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``scan`` with each mention's line number, its clause, and the text around it (``around`` begins ``at`` in the text).
 
-    The dictionary is compiled once a task; its size is the caller's (a few hundred
-    aliases here), so it travels with the task.
+    What later steps look at travels with the mention, so that none of them reads the text again.
     """
-    rows = compile_aliases(dim_alias).select("alias", "canonical", "is_cjk", "compile_ord").collect()
-    aliases = [tuple(r) for r in rows]
-    names = list(keys)
-    schema = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys) + ", canonical string, raw string, s int, e int"
+    aliases, names = compiled(dim_alias), list(keys)
+    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys) + ", canonical string, raw string, s int, e int, line_no int, clause string, around string, at int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(aliases)
         for b in batches:
-            at, cols = [], ([], [], [], [])
+            at, rows = [], []
             for i, t in enumerate(b.column(len(names)).to_pylist()):
-                base = 0
-                for line in (t or "").split("\n"):
-                    for s, e, canonical in m.scan(line):
+                base, t = 0, t or ""
+                for line_no, line in enumerate(t.split("\n")):
+                    found = m.scan(line)
+                    borders = [-1, *(x.start() for x in CLAUSE.finditer(line)), len(line)] if found else []
+                    for s, e, canonical in found:
+                        left, right = borders[bisect_left(borders, s) - 1] + 1, borders[bisect_left(borders, e)]
+                        low = max(0, base + s - AROUND)
                         at.append(i)
-                        for c, v in zip(cols, (canonical, line[s:e], base + s, base + e), strict=True):
-                            c.append(v)
+                        rows.append((canonical, line[s:e], base + s, base + e, line_no, line[left:right].strip(), t[low : base + e + AROUND], low))
                     base += len(line) + 1
             own = [b.column(k).take(pa.array(at, pa.int64())) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=[*names, "canonical", "raw", "s", "e"])
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32())
+            cols = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*names, "canonical", "raw", "s", "e", "line_no", "clause", "around", "at"])
 
     return docs.select(*names, text).mapInArrow(run, schema)
 

@@ -59,26 +59,23 @@ def level_of(text: Column, start: Column, end: Column) -> Column:
 def locate(docs: DataFrame, dim_alias: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """All mentions of a document with raw text, offsets, section kind, origin, clause, demand, level and evidence.
 
-    Mentions meet their lines by line number, an equi-join, rather than by offset ranges.
+    Mentions meet the kinds of their lines by line number; no text is shuffled with them.
     """
-    found = dictionary.scan(docs, dim_alias, text, keys)
-    tagged = sections.tagged_lines(docs, text, keys).select(*keys, "start_offset", "end_offset", "kind", "line_no")
-    whole = docs.select(*keys, F.col(text).alias("_t"))
-    m = found.join(whole, list(keys)).withColumn("line_no", F.length(F.substr("_t", F.lit(1), F.col("s"))) - F.length(F.replace(F.substr("_t", F.lit(1), F.col("s")), F.lit("\n"), F.lit(""))))
-    m = m.join(tagged, [*keys, "line_no"])
-    t, s, e = F.col("_t"), F.col("s"), F.col("e")
-    clause = T.clause_at(t, s, e)
+    found = dictionary.scan_around(docs, dim_alias, text, keys)
+    kinds = sections.tagged_lines(docs, text, keys).select(*keys, "line_no", "kind")
+    m = found.join(kinds, [*keys, "line_no"])
+    t, s, e = F.col("around"), F.col("s") - F.col("at"), F.col("e") - F.col("at")
     return m.select(
         *keys,
         "canonical",
         "raw",
-        s.alias("start"),
-        e.alias("end"),
+        F.col("s").alias("start"),
+        F.col("e").alias("end"),
         "line_no",
         F.col("kind").alias("section"),
         origin_of(F.col("kind")).alias("origin"),
-        clause.alias("clause"),
-        D.demand(clause, F.col("kind")).alias("demand"),
+        "clause",
+        D.demand(F.col("clause"), F.col("kind")).alias("demand"),
         level_of(t, s, e).alias("lv"),
         T.evidence_around(t, s, e).alias("evidence"),
         F.lit("dict").alias("source"),

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,19 +15,20 @@ from fitloom.functions import text as T
 from fitloom.functions import vocab as V
 
 
+#: Titles as one literal map, folded to a constant when a query is planned.
+_TITLES = json.dumps({t: {"kind": k, "title": n} for t, (k, n) in V.titles().items()}, ensure_ascii=False)
+
+
 def heading(line: Column) -> Column:
-    """(kind, title) of a heading line, null for any other."""
-    none = F.lit(None).cast("struct<kind:string,title:string>")
+    """(kind, title) of a heading line, null for any other: its cleaned text is looked up among the titles."""
 
-    def by_rule(title: Column) -> Column:
-        out = none
-        for pattern, kind, name in reversed(V.HEADING_RULES):
-            out = F.when(title.rlike(f"^(?:{pattern})$"), F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("title"))).otherwise(out)
-        return F.when(F.length(title).between(1, V.TITLE_CHARS) & ~title.rlike("[。！？；!?;，,]") & title.rlike(r"[一-鿿A-Za-z]"), out)
+    def named(title: Column) -> Column:
+        found = F.element_at(F.from_json(F.lit(_TITLES), "map<string,struct<kind:string,title:string>>"), title)
+        return F.when(F.length(title).between(1, V.TITLE_CHARS), found)
 
     def of(raw: Column) -> Column:
         fits = F.length(raw).between(1, V.HEADING_CHARS) & (raw.startswith("#") | ~raw.rlike(r"^[-*•·▪◦●○◆◇■□ ]"))
-        return F.when(fits, T.let(T.strip_trailing_paren(T.clean_heading(raw)), by_rule))
+        return F.when(fits, T.let(T.strip_trailing_paren(T.clean_heading(raw)), named))
 
     return T.let(T.strip(F.coalesce(line, F.lit(""))), of)
 
@@ -40,19 +47,29 @@ def inline_heading(line: Column) -> Column:
 def lines(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``(*keys, line_no, start_offset, end_offset, line)``, offsets in characters.
 
-    Offsets are summed within each document's own array, so no rows are shuffled.
+    A running sum within an array is what Spark's functions lack (a fold copies its result
+    for every line), so offsets are summed in Arrow batches, vectorised and without a shuffle.
     """
-    split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    placed = F.aggregate(
-        split,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start_offset:int,end_offset:int,line:string>>").alias("l")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x) + 1).alias("at"),
-            F.concat(acc["l"], F.array(F.struct(acc["at"].alias("start_offset"), (acc["at"] + F.length(x)).alias("end_offset"), x.alias("line")))).alias("l"),
-        ),
-        lambda acc: acc["l"],
-    )
-    return docs.select(*keys, F.posexplode(placed).alias("line_no", "x")).select(*keys, "line_no", "x.*")
+    names = list(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            split = pc.split_pattern(pc.fill_null(b.column(len(names)), ""), "\n")
+            flat, owner = pc.list_flatten(split), pc.list_parent_indices(split)
+            size = pc.utf8_length(flat).to_numpy().astype(np.int64)
+            first = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))[:-1]
+            ends = np.cumsum(size + 1) - 1
+            starts = ends - size
+            of = owner.to_numpy()
+            base, place = starts[first][of], np.arange(len(of)) - first[of]
+            own = [b.column(k).take(owner) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(x.astype(np.int32)) for x in (place, starts - base, ends - base)), flat], names=[*names, *LINE_COLUMNS])
+
+    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in names) + ", line_no int, start_offset int, end_offset int, line string"
+    return docs.select(*names, text).mapInArrow(run, schema)
+
+
+LINE_COLUMNS = ("line_no", "start_offset", "end_offset", "line")
 
 
 def tagged_lines(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -107,5 +124,5 @@ def text_of(secs: DataFrame, kinds: list[str], keys: tuple[str, ...] = ("doc_id"
 
 def scan_text(secs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A document's text without its self-assessment and benefit sections."""
-    kinds = [k for k in {k for _, k, _ in V.HEADING_RULES} | {"preamble"} if k not in ("summary", "benefit")]
+    kinds = [k for k in (*V.SECTION_KINDS, "preamble") if k not in ("summary", "benefit")]
     return text_of(secs, kinds, keys)
