@@ -6,11 +6,14 @@ whatever the caller joins (a blocking key, or one job with all candidates).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fitloom.functions import vocab as V
 from fitloom.functions.numeric import py_round
+from fitloom.functions.text import let
 
 DIMENSIONS = list(V.DEFAULT_WEIGHTS)
 
@@ -50,6 +53,42 @@ def matches(pairs: DataFrame, required: DataFrame, strengths: DataFrame) -> Data
     return r.select("jd_id", "resume_id", "canonical", "bucket", "pos", "v", state.alias("state"))
 
 
+def job_vectors(required: DataFrame) -> DataFrame:
+    """``(jd_id, required)``: a job's required skills in one array, so that a pair needs no join of its own."""
+    return required.groupBy("jd_id").agg(F.sort_array(F.collect_list(F.struct("canonical", "bucket", "pos"))).alias("required"))
+
+
+def candidate_vectors(features: DataFrame) -> DataFrame:
+    """``(resume_id, skills)``: a candidate's skills in one map, name to the other columns of ``features(resume_id, canonical, ...)``."""
+    rest = [c for c in features.columns if c not in ("resume_id", "canonical")]
+    return features.groupBy("resume_id").agg(F.map_from_entries(F.collect_list(F.struct("canonical", F.struct(*rest)))).alias("skills"))
+
+
+def pair_counts(required: Column, skills: Column, counts: dict[str, Callable[[Column, Column], Column]]) -> Column:
+    """For one pair the sums of ``counts`` over its required skills; each is a function of the requirement and the candidate's entry (null: absent)."""
+    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in counts])
+    step = lambda a, x: let(F.element_at(skills, x["canonical"]), lambda s: F.struct(*[(a[n] + f(x, s).cast("long")).alias(n) for n, f in counts.items()]))
+    return F.aggregate(F.coalesce(required, F.array().cast("array<struct<canonical:string,bucket:string,pos:bigint>>")), zero, step)
+
+
+def coverage_counts(bucket: str, prefix: str = "") -> dict[str, Callable[[Column, Column], Column]]:
+    """What ``coverage`` counts in a bucket, for ``pair_counts``; v is the strength in thousandths."""
+    mine = lambda x: x["bucket"] == bucket
+    v = lambda s: F.coalesce(s["v"], F.lit(0))
+    strong = int(V.STRONG * 1000)
+    return {
+        f"{prefix}n": lambda x, s: mine(x),
+        f"{prefix}n_matched": lambda x, s: mine(x) & (v(s) >= strong),
+        f"{prefix}n_weak": lambda x, s: mine(x) & (v(s) > 0) & (v(s) < strong),
+        f"{prefix}n_missing": lambda x, s: mine(x) & (v(s) == 0),
+        f"{prefix}v": lambda x, s: F.when(mine(x), v(s)).otherwise(0),
+    }
+
+
+def coverage_score(v: Column, n: Column) -> Column:
+    return F.when(n > 0, py_round(v / 1000 / n * 100, 1))
+
+
 def coverage(matched: DataFrame, bucket: str) -> DataFrame:
     """``(jd_id, resume_id, n, n_matched, n_weak, n_missing, score)`` for the pairs that have requirements of a bucket."""
     count = lambda s: F.sum((F.col("state") == s).cast("long"))
@@ -67,13 +106,14 @@ def merged_months(ranges: DataFrame, keys: list[str]) -> DataFrame:
 
     Reversed ranges and those above thirty years don't count; groups that hold nothing else give 0.
     """
-    ok = ranges.where((F.col("e") >= F.col("s")) & (F.col("e") - F.col("s") <= 360))
+    ok = (F.col("e") >= F.col("s")) & (F.col("e") - F.col("s") <= 360)
+    r = ranges.select(*keys, F.when(ok, F.col("s")).alias("s"), F.when(ok, F.col("e")).alias("e"))
     w = Window.partitionBy(*keys).orderBy("s", "e")
     before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = ok.withColumn("_new", F.coalesce(F.col("s") > before + 1, F.lit(True)).cast("int"))
+    flagged = r.withColumn("_new", F.coalesce(F.col("s") > before + 1, F.lit(True)).cast("int"))
     islands = flagged.withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    total = islands.groupBy(*keys, "_i").agg((F.max("e") - F.min("s") + 1).alias("_n")).groupBy(*keys).agg(F.sum("_n").alias("months"))
-    return ranges.select(*keys).distinct().join(total, keys, "left").withColumn("months", F.coalesce("months", F.lit(0)).cast("long"))
+    each = islands.groupBy(*keys, "_i").agg((F.max("e") - F.min("s") + 1).alias("_n"))
+    return each.groupBy(*keys).agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("months"))
 
 
 def effective_years(seniority: Column, degree_expected: Column, total_years: Column, work_years: Column, intern_months: Column) -> Column:

@@ -41,6 +41,39 @@ def matched(spark: SparkSession, d: str) -> DataFrame:
     return S.matches(star.pairs(spark, d), S.demand_buckets(star.jd_mentions(spark, d)), strengths(spark, d))
 
 
+def features(spark: SparkSession, d: str) -> DataFrame:
+    """``(resume_id, canonical, v, used, expert, n, q)``: strength, use in experiences, a mention of level 4 or more, mentions, those of level 5.
+
+    Mentions are read once: parents take over from the candidates' own sums.
+    """
+    level = F.coalesce("level_score", F.lit(0))
+    flag = lambda c: F.max(c.cast("int"))
+    own = (
+        star.mentions(spark, d)
+        .groupBy("resume_id", "canonical")
+        .agg(
+            F.max(S.mention_weight(F.col("origin"), F.col("level_score"))).alias("v"), flag(F.col("origin") == "experience").alias("used"), flag(level >= 4).alias("expert"),
+            F.count("*").alias("n"), F.sum((level == 5).cast("long")).alias("q"),
+        )
+    )
+    zero = F.lit(0)
+    up = own.join(F.broadcast(star.parents(spark)), F.col("canonical") == F.col("child")).select("resume_id", F.col("parent").alias("canonical"), "v", "used", zero.alias("expert"), zero.cast("long").alias("n"), zero.cast("long").alias("q"))
+    return own.unionByName(up).groupBy("resume_id", "canonical").agg(F.max("v").alias("v"), F.max("used").alias("used"), F.max("expert").alias("expert"), F.sum("n").alias("n"), F.sum("q").alias("q"))
+
+
+def paired(spark: SparkSession, d: str) -> DataFrame:
+    """``(jd_id, resume_id, required, skills)``: each pair with both sides' vectors, null where a side has none."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("jd_id"), F.col("s_nationkey").alias("nation"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("resume_id"), F.col("c_nationkey").alias("nation"))
+    jobs = s.join(S.job_vectors(S.demand_buckets(star.jd_mentions(spark, d))), "jd_id", "left")
+    return jobs.join(c.join(S.candidate_vectors(features(spark, d)), "resume_id", "left"), "nation").drop("nation")
+
+
+def pair_coverage(spark: SparkSession, d: str, bucket: str) -> DataFrame:
+    p = paired(spark, d).select("jd_id", "resume_id", S.pair_counts(F.col("required"), F.col("skills"), S.coverage_counts(bucket)).alias("k")).where("k.n > 0")
+    return p.select("jd_id", "resume_id", "k.n", "k.n_matched", "k.n_weak", "k.n_missing", S.coverage_score(F.col("k.v"), F.col("k.n")).alias("score"))
+
+
 @query(sql("mentions", "own") + "SELECT resume_id, canonical, v AS strength FROM own")
 def skill_strength(spark: SparkSession, d: str) -> DataFrame:
     return S.strength(star.mentions(spark, d)).withColumnRenamed("v", "strength")
@@ -61,19 +94,19 @@ _COVER = "SELECT jd_id, resume_id, count(*) AS n, count(*) FILTER (WHERE state='
 
 @query(sql(*MATCH) + _COVER.format(_r1("sum(v)::DOUBLE/1000/count(*)*100"), "must"))
 def must_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return S.coverage(matched(spark, d), "must")
+    return pair_coverage(spark, d, "must")
 
 
 @query(sql(*MATCH) + _COVER.format(_r1("sum(v)::DOUBLE/1000/count(*)*100"), "nice"))
 def nice_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return S.coverage(matched(spark, d), "nice")
+    return pair_coverage(spark, d, "nice")
 
 
 @query(sql(*MATCH) + "SELECT jd_id, resume_id, canonical FROM matches WHERE state='missing' AND bucket='must'")
 def missing_skills(spark: SparkSession, d: str) -> DataFrame:
-    required = S.demand_buckets(star.jd_mentions(spark, d)).where("bucket = 'must'")
-    asked = star.pairs(spark, d).join(required, "jd_id").select("jd_id", "resume_id", "canonical")
-    return asked.join(strengths(spark, d), ["resume_id", "canonical"], "left_anti").select("jd_id", "resume_id", "canonical")
+    held = lambda x: F.coalesce(F.map_contains_key("skills", x["canonical"]), F.lit(False))
+    gaps = F.filter("required", lambda x: (x["bucket"] == "must") & ~held(x))
+    return paired(spark, d).select("jd_id", "resume_id", F.explode(F.transform(gaps, lambda x: x["canonical"])).alias("canonical"))
 
 
 @query(sql(*MATCH) + "SELECT jd_id, resume_id, canonical, v, CAST(row_number() OVER (PARTITION BY jd_id, resume_id ORDER BY CASE bucket WHEN 'must' THEN 0 ELSE 1 END, pos, canonical) AS INTEGER) AS rank FROM matches WHERE v>0")
@@ -84,7 +117,10 @@ def matched_skills(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql(*MATCH) + "SELECT p.jd_id, p.resume_id, s.canonical, s.v, CAST(row_number() OVER (PARTITION BY p.jd_id, p.resume_id ORDER BY s.v DESC, s.canonical) AS INTEGER) AS pos FROM pairs p JOIN strength s USING (resume_id) WHERE NOT EXISTS (SELECT 1 FROM required r WHERE r.jd_id=p.jd_id AND r.canonical=s.canonical)")
 def extra_skills(spark: SparkSession, d: str) -> DataFrame:
-    return S.extra_skills(star.pairs(spark, d), S.demand_buckets(star.jd_mentions(spark, d)), strengths(spark, d)).select("jd_id", "resume_id", "canonical", "v", "pos")
+    asked = F.transform(F.coalesce("required", F.array().cast("array<struct<canonical:string,bucket:string,pos:bigint>>")), lambda x: x["canonical"])
+    extra = F.transform(F.map_entries("skills"), lambda e: F.struct((-e["value"]["v"]).alias("o"), e["key"].alias("canonical")))
+    rows = paired(spark, d).select("jd_id", "resume_id", F.posexplode(F.array_sort(F.filter(extra, lambda x: ~F.array_contains(asked, x["canonical"])))).alias("i", "x"))
+    return rows.select("jd_id", "resume_id", "x.canonical", (-F.col("x.o")).alias("v"), (F.col("i") + 1).alias("pos"))
 
 
 @query(sql(*MATCH) + "SELECT state, bucket, count(*) AS n, CAST(sum(v) AS BIGINT) AS v FROM matches GROUP BY 1,2")
@@ -107,16 +143,16 @@ eff AS (SELECT resume_id, CASE WHEN degree_expected THEN total_years ELSE """ +
 
 
 def years(spark: SparkSession, d: str) -> DataFrame:
-    r = star.ranges(spark, d)
-    total = S.merged_months(r, ["resume_id"])
+    # Dealt once by candidate, which serves both groupings.
+    r = star.ranges(spark, d).repartition("resume_id")
     kind = S.merged_months(r, ["resume_id", "kind"])
-    of = lambda k, n: kind.where(F.col("kind") == k).select("resume_id", F.col("months").alias(n))
-    y = total.join(of("F", "w"), "resume_id", "left").join(of("O", "i"), "resume_id", "left")
+    of = lambda k, n: F.sum(F.when(F.col("kind") == k, F.col("months")).otherwise(0)).alias(n)
+    y = S.merged_months(r, ["resume_id"]).join(kind.groupBy("resume_id").agg(of("F", "w"), of("O", "i")), "resume_id")
     return y.select(
         "resume_id",
         py_round(F.col("months") / 12, 1).alias("total_years"),
-        py_round(F.coalesce("w", F.lit(0)) / 12, 1).alias("work_years"),
-        F.coalesce("i", F.lit(0)).cast("long").alias("intern_months"),
+        py_round(F.col("w") / 12, 1).alias("work_years"),
+        F.col("i").cast("long").alias("intern_months"),
         (F.col("resume_id") % 5 == 0).alias("degree_expected"),
     )
 
@@ -171,12 +207,17 @@ _DOM = """SELECT p.jd_id, p.resume_id, count(*) AS n, count(r.domain) AS n_match
  FROM pairs p JOIN jdd j USING (jd_id) LEFT JOIN resd r ON r.resume_id=p.resume_id AND r.domain=j.domain LEFT JOIN (SELECT DISTINCT resume_id FROM resd) h ON h.resume_id=p.resume_id GROUP BY 1,2"""
 
 
+#: A job's domains are its skills of brand 5; a candidate has those that it masters.
+DOMAIN_COUNTS = {"n": lambda x, s: x["canonical"].endswith("5"), "n_matched": lambda x, s: x["canonical"].endswith("5") & (F.coalesce(s["expert"], F.lit(0)) == 1)}
+
+
+def any_expert(skills):
+    return F.coalesce(F.exists(F.map_values(skills), lambda s: s["expert"] == 1), F.lit(False))
+
+
 def domains(spark: SparkSession, d: str) -> DataFrame:
-    want = star.jd_mentions(spark, d).where(F.col("canonical").like("%5")).select("jd_id", F.col("canonical").alias("domain")).distinct()
-    have = star.mentions(spark, d).where("level_score >= 4").select("resume_id", F.col("canonical").alias("domain")).distinct()
-    j = star.pairs(spark, d).join(want, "jd_id").join(have.withColumn("_hit", F.lit(1)), ["resume_id", "domain"], "left").join(have.select("resume_id").distinct().withColumn("_any", F.lit(True)), "resume_id", "left")
-    g = j.groupBy("jd_id", "resume_id").agg(F.count("*").alias("n"), F.count("_hit").alias("n_matched"), F.coalesce(F.bool_or("_any"), F.lit(False)).alias("_any"))
-    return g.select("jd_id", "resume_id", "n", "n_matched", S.domain_score(F.col("n"), F.col("n_matched"), F.col("_any")).alias("score"))
+    p = paired(spark, d).select("jd_id", "resume_id", "skills", S.pair_counts(F.col("required"), F.col("skills"), DOMAIN_COUNTS).alias("k")).where("k.n > 0")
+    return p.select("jd_id", "resume_id", "k.n", "k.n_matched", S.domain_score(F.col("k.n"), F.col("k.n_matched"), any_expert(F.col("skills"))).alias("score"))
 
 
 @query(sql("mentions", "jdm", "pairs") + _DOMAINS + _DOM)
@@ -192,15 +233,17 @@ proj AS (SELECT p.jd_id, p.resume_id, """ + _r1("((CASE WHEN count(r.canonical)>
 """
 
 
+PROJECT_COUNTS = {"p_n": lambda x, s: F.lit(1), "p_h": lambda x, s: F.coalesce(s["used"], F.lit(0))}
+
+
+def bullets(skills, name: str):
+    """A candidate's sum of a feature over its skills."""
+    return F.aggregate(F.map_values(skills), F.lit(0).cast("long"), lambda a, s: a + s[name])
+
+
 def projects(spark: SparkSession, d: str) -> DataFrame:
-    m = star.mentions(spark, d)
-    used = m.where("origin = 'experience'").select("resume_id", "canonical", "start")
-    exps = DI.expand_parents(used, ["resume_id"], "canonical", "start", star.parents(spark)).select("resume_id", "canonical").distinct().withColumn("_hit", F.lit(1))
-    bullets = m.groupBy("resume_id").agg(F.count("*").alias("_b"), F.sum((F.coalesce("level_score", F.lit(0)) == 5).cast("long")).alias("_q"))
-    req = S.demand_buckets(star.jd_mentions(spark, d)).select("jd_id", "canonical")
-    j = star.pairs(spark, d).join(bullets, "resume_id").join(req, "jd_id", "left").join(exps, ["resume_id", "canonical"], "left")
-    g = j.groupBy("jd_id", "resume_id").agg(F.count("canonical").alias("n"), F.count("_hit").alias("h"), F.first("_b").alias("b"), F.first("_q").alias("q"))
-    return g.select("jd_id", "resume_id", S.project_score(F.col("n"), F.col("h"), F.col("b"), F.col("q")).alias("score"))
+    p = paired(spark, d).where("skills is not null").select("jd_id", "resume_id", "skills", S.pair_counts(F.col("required"), F.col("skills"), PROJECT_COUNTS).alias("k"))
+    return p.select("jd_id", "resume_id", S.project_score(F.col("k.p_n"), F.col("k.p_h"), bullets(F.col("skills"), "n"), bullets(F.col("skills"), "q")).alias("score"))
 
 
 @query(sql("mentions", "parents", "jdm", "required", "pairs") + _PROJ + "SELECT * FROM proj")
@@ -209,20 +252,26 @@ def project_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dimensions(spark: SparkSession, d: str) -> DataFrame:
-    """``(jd_id, resume_id, key, score, applicable)``: all six dimensions of all pairs, one row each."""
-    p = star.pairs(spark, d)
-    m = matched(spark, d)
-    # Coverage of both buckets in one pass over the matches.
-    cover = m.groupBy("jd_id", "resume_id").pivot("bucket", ["must", "nice"]).agg(py_round(F.sum("v") / 1000 / F.count(F.lit(1)) * 100, 1))
-    wide = (
-        p.join(cover.withColumnsRenamed({"must": "must_have", "nice": "nice_to_have"}), ["jd_id", "resume_id"], "left")
-        .join(needs(spark, d), "jd_id")
-        .join(have_years(spark, d), "resume_id", "left")
-        .join(levels(spark, d), "resume_id")
-        .join(domains(spark, d).select("jd_id", "resume_id", F.col("score").alias("domain")), ["jd_id", "resume_id"], "left")
-        .join(projects(spark, d).select("jd_id", "resume_id", F.col("score").alias("project")), ["jd_id", "resume_id"], "left")
-        .withColumns({"experience": S.experience_score(F.col("need"), F.coalesce("have", F.lit(0.0))), "education": S.education_score(F.col("need_level"), F.col("have_level"))})
-    )
+    """``(jd_id, resume_id, key, score, applicable)``: all six dimensions of all pairs, one row each.
+
+    Each side becomes one row per candidate or job first; a pair is then one join and one pass over its requirements.
+    """
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("jd_id"), F.col("s_nationkey").alias("nation"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("resume_id"), F.col("c_nationkey").alias("nation"))
+    jobs = s.join(S.job_vectors(S.demand_buckets(star.jd_mentions(spark, d))), "jd_id", "left").join(needs(spark, d), "jd_id")
+    vectors = S.candidate_vectors(features(spark, d)).select("resume_id", "skills", bullets(F.col("skills"), "n").alias("b"), bullets(F.col("skills"), "q").alias("q"), any_expert(F.col("skills")).alias("any"))
+    candidates = c.join(vectors, "resume_id", "left").join(have_years(spark, d), "resume_id", "left").join(levels(spark, d), "resume_id")
+    must, nice = S.coverage_counts("must", "m_"), S.coverage_counts("nice", "o_")
+    counts = {k: f for k, f in (must | nice).items() if k in ("m_n", "m_v", "o_n", "o_v")} | DOMAIN_COUNTS | PROJECT_COUNTS
+    p = jobs.join(candidates, "nation").withColumn("k", S.pair_counts(F.col("required"), F.col("skills"), counts))
+    k = lambda n: F.col(f"k.{n}")
+    wide = p.select(
+        "jd_id", "resume_id",
+        S.coverage_score(k("m_v"), k("m_n")).alias("must_have"), S.coverage_score(k("o_v"), k("o_n")).alias("nice_to_have"),
+        S.experience_score(F.col("need"), F.coalesce("have", F.lit(0.0))).alias("experience"), S.education_score(F.col("need_level"), F.col("have_level")).alias("education"),
+        S.domain_score(k("n"), k("n_matched"), F.coalesce("any", F.lit(False))).alias("domain"),
+        F.when(F.col("b").isNotNull(), S.project_score(k("p_n"), k("p_h"), F.col("b"), F.col("q"))).alias("project"),
+    )
     long = wide.unpivot(["jd_id", "resume_id"], S.DIMENSIONS, "key", "score")
     return long.select("jd_id", "resume_id", "key", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("score").isNotNull().alias("applicable"))
 

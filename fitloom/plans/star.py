@@ -2,8 +2,8 @@
 
 A customer is a candidate, a part's brand a skill, an order line a mention (origin by order
 priority, level by quantity), a supplier a job that asks for its parts' brands (must or
-nice by return flag).  Pairs are candidates and jobs of one nation, so the number of pairs
-grows with the blocks, not with the square of the tables.
+nice by return flag).  Pairs are all candidates and jobs of one nation, as the model scores
+all of a block's pairs; with 25 nations their number grows with the product of the tables.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jd_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth of a supplier's lines by part key: an analogue's rule, not a sample of the input."""
+    """A supplier's lines of small parts: the analogue's rule for what a job asks for, not a sample of the input."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
     return li.join(p, (li.l_partkey == p.p_partkey) & (p.p_size <= 10)).select(
