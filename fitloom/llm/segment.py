@@ -36,11 +36,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fitloom.llm.common import release
+
 SPACE = "▁"
 #: Characters of texts that are worked on together.
-CHUNK = 600_000
+CHUNK = 300_000
 #: Nodes and length of words that a worker's memo keeps at most; words that it remembers having met once.
-KEPT, LONGEST, SEEN = 600_000, 64, 400_000
+KEPT, LONGEST, SEEN = 300_000, 64, 300_000
 SLOTS = 20
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -514,6 +516,7 @@ def encode_samples(docs: DataFrame, path: str, k: int = 2, alpha: float = 1.0, s
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in pieces]))).astype(np.int32)
                 arrays.insert(2, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces))))
             yield pa.RecordBatch.from_arrays(arrays, names=[c for i, c in enumerate(COLUMNS) if keep_ids or i != 2])
+        release()
 
     types = ["long", "int", "array<int>", "int", "double", "double", "double", "string", "boolean"]
     schema = ", ".join(f"{c} {t}" for i, (c, t) in enumerate(zip(COLUMNS, types, strict=True)) if keep_ids or i != 2)

@@ -10,11 +10,13 @@ probability at the labels' own base rate, so that 0.5 is the calibrated threshol
 
 Labels are learned from rows whose crc32(doc_id) mod 5 isn't 0: remainders 1 to 3 train the
 dictionaries and 4 calibrates.  The fit reads a sample bounded by ``MOST_TOXIC`` and
-``MOST_ORDINARY`` rows, taken by a hash of the id; scoring reads whole texts of all rows.
+``MOST_ORDINARY`` rows, taken by a hash of the id, without texts beyond ``MOST_BYTES``;
+scoring reads whole texts of all rows.
 
 Defined cases: a null or blank text has no windows and gets the intercept's probability;
 repeated rows get equal scores; extra columns are ignored; without labels of both classes
-all scores are the share of toxic labels (0 without any); empty tables give no rows.
+all scores are the share of toxic labels (0 without any), which ``keep_clean`` follows too;
+empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import fold
+from fitloom.llm.common import fold, release
 
 FOLDS = 5
 #: Bounds of the labelled sample.
-MOST_TOXIC, MOST_ORDINARY = 1500, 3000
+MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 1500, 3000, 32_768
 #: Bytes of a window; lengths of the fragments that choose the toxic words; least rows and z-score of a fragment.
 WINDOW, FRAGMENTS, LEAST_ROWS, LEAST_Z = 64, (4, 5, 7), 4, 7.0
 #: Words in the dictionaries: common to both, and of each kind at most.
@@ -42,7 +44,7 @@ SHARED, OWN = 600, 1500
 #: Cells of the windows' histogram: shares of the length that is saved, by bytes saved.
 SHARES, SAVED = 4, 8
 CELLS = SHARES * SAVED + 1
-MEMO = 1_000_000
+MEMO = 150_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -147,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     base = total.get(1, 0) / max(1, sum(total.values()))
     sample = known.where("toxic = 1").orderBy("_h", "doc_id").limit(MOST_TOXIC).unionByName(known.where("toxic = 0").orderBy("_h", "doc_id").limit(MOST_ORDINARY))
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("_h", "doc_id", "text", "toxic").collect()
+    short = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MOST_BYTES)
+    found = short.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("_h", "doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     found.sort(key=lambda r: (r["_h"], r["doc_id"], r["text"] or ""))
     rows = [(words(r["text"]), r["toxic"], zlib.crc32(str(r["doc_id"]).encode()) % FOLDS) for r in found]
     learn, rest = [(w, y) for w, y, k in rows if k < FOLDS - 1], [(w, y) for w, y, k in rows if k == FOLDS - 1]
@@ -172,6 +175,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 texts = b.column(1)[k : k + 200].to_pylist()
                 s = [1 / (1 + math.exp(-max(-30.0, min(30.0, float(features(count, words(t)) @ weights))))) for t in texts] if count else [model.base] * len(texts)
                 yield pa.RecordBatch.from_arrays([b.column(0)[k : k + 200], pa.array(s, pa.float64())], names=["doc_id", "score"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
@@ -200,6 +204,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 part = b.slice(k, 200)
                 if count:
                     part = part.filter(pa.array([float(features(count, words(t)) @ weights) < 0 for t in part.column(at).to_pylist()]))
+                elif model.base >= 0.5:
+                    part = part.slice(0, 0)
                 yield part
+        release()
 
     return docs.mapInArrow(run, docs.schema)
