@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import Forest, components, deal, materialize
+from fitloom.llm.common import Forest, components, deal, materialize, spread_join
 
 #: Shingles whose bits are counted at once.
 CHUNK = 100_000
@@ -155,16 +155,19 @@ def near_edges(classes: DataFrame, segments: int = 4, budget: int = 3) -> DataFr
 
 
 def near_classes(fps: DataFrame, segments: int = 4, budget: int = 3) -> DataFrame:
-    """``(fp, component)`` for each distinct fp of ``fps(doc_id, fp)``: the smallest doc_id reachable over links."""
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    found = components(near_edges(classes, segments, budget))
-    return classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    """``(fp, n, component)`` for each distinct fp of ``fps(doc_id, fp)``: its rows, the smallest doc_id reachable over links."""
+    n = fps.count()
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes", n)
+    found = components(near_edges(classes, segments, budget), rows=4 * n)
+    return classes.join(found, classes.rep == found.node, "left").select("fp", "n", F.coalesce("component", "rep").alias("component"))
 
 
 def simhash_dedup(docs: DataFrame, width: int = 3, segments: int = 4, budget: int = 3) -> DataFrame:
     """One row per document: ``(doc_id, fingerprint, component_id, kept)``."""
     fps = materialize(fingerprints(docs, width), "fingerprints")
-    return fps.join(near_classes(fps, segments, budget), "fp").select(
+    n = fps.count()
+    found = materialize(near_classes(fps, segments, budget), "components", n)
+    return spread_join(fps, found, ["fp"], n).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import materialize, shared_dir
+from fitloom.llm.common import materialize, shared_dir, spread_join
 
 #: Pieces that a worker remembers at most, and the longest piece that it remembers.
 MEMO, LONGEST = 1_000_000, 64
@@ -144,13 +144,15 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     """``(doc_id, n_bytes, n_tokens, over_limit)`` for each row; new counts are appended to ``cache``."""
     spark = docs.sparkSession
     version = tokenizer_version(path)
-    cache = cache or f"{shared_dir(spark)}/fitloom/token-cache-{hashlib.sha256(os.urandom(16)).hexdigest()[:16]}"
+    cache = cache or f"{shared_dir(spark)}/token-cache-{hashlib.sha256(os.urandom(16)).hexdigest()[:16]}"
     stored = read_cache(spark, cache)
     filled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     digested = filled.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "text")
     keys = materialize(digested.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     known = stored.where(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
-    misses = keys.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(known, "digest", "left_anti")
+    n = keys.count()
+    groups = materialize(keys.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "texts", n)
+    misses = groups.select("digest", "doc_id").join(known, "digest", "left_anti")
     # Joined on id and digest, not on the digest alone: the many copies of one text stay spread out.
     texts = digested.alias("d").join(
         misses.hint("shuffle_hash").alias("m"),
@@ -160,4 +162,4 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     fresh = materialize(encode_counts(texts, path).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "fresh")
     counts = known.unionByName(fresh)
     fresh.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return spread_join(keys, groups.select("digest", "n").join(counts, "digest"), ["digest"], n).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -13,15 +13,14 @@ Links are exact (none below the threshold); pairs whose vectors share no cell ar
 which the tests measure against brute force (recall above 0.99 at cosine 0.95 to 0.97).
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components,
-and rows without an id, link with nothing (0 links, their own component); vectors of other
-lengths than the sample's commonest link with nothing as well; rows equal in id count as
-one vector if equal and each comes back; ties go to the smaller id; extra columns are
-ignored; an empty table gives no rows.
+and rows without an id, link with nothing (0 links, their own component); vectors are
+compared with those of their own length; rows equal in id count as one vector if equal and
+each comes back; ties go to the smaller id; extra columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import Forest, components, deal, materialize
+from fitloom.llm.common import Forest, components, deal, materialize, spread_join
 
 SAMPLE, PER_CELL, MOST_CELLS, ROUNDS = 20_000, 250, 2048, 8
 VISITS, MARGIN, CAP = 7, 0.16, 2000
@@ -66,37 +65,46 @@ def spherical_kmeans(x: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
     return c
 
 
-def fit(classes: DataFrame, n: int) -> np.ndarray:
-    """Centroids from a bounded sample of ``classes(rep, embedding)``; one cell for up to ``PER_CELL`` vectors."""
+def fit(classes: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+    """By length of vector: its first cell, and centroids from a bounded sample; one cell for up to ``PER_CELL`` vectors.
+
+    The driver holds one number per length and ``SAMPLE`` vectors in all; a length that isn't in the sample is one cell.
+    """
+    counts = {r["d"]: r["n"] for r in classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}
     rows = classes.select("embedding", F.xxhash64("rep", F.lit("cells")).alias("h"), "rep").orderBy("h", "rep").limit(SAMPLE).toPandas()
-    length = Counter(map(len, rows["embedding"])).most_common(1)[0][0]
-    x = unit(np.stack([v for v in rows["embedding"] if len(v) == length]))
-    return spherical_kmeans(x, max(1, min(n // PER_CELL, MOST_CELLS, len(x) // 4)))
+    lengths = rows["embedding"].map(len).to_numpy()
+    out, first = {}, 0
+    for d in sorted(counts):
+        some = rows["embedding"][lengths == d]
+        k = max(1, min(counts[d] // PER_CELL, MOST_CELLS, len(some) // 4))
+        out[d] = (first, spherical_kmeans(unit(np.stack(list(some))), k) if k > 1 else np.zeros((1, d)))
+        first += k
+    return out
 
 
-def assign(classes: DataFrame, centroids: np.ndarray) -> DataFrame:
+def assign(classes: DataFrame, cells: dict[int, tuple[int, np.ndarray]]) -> DataFrame:
     """Each class in its home cell and in those it visits: ``(cell, home, visits, rep, m, embedding)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 2000):
                 part = b.slice(k, 2000)
-                right = pa.array([len(v) == centroids.shape[1] for v in part.column(2)], pa.bool_())
-                part = part.filter(right)
-                if not part.num_rows:
-                    continue
-                x = unit(np.stack(part.column(2).to_numpy(zero_copy_only=False)))
-                s = x @ centroids.T
-                order = np.argsort(-s, axis=1, kind="stable")[:, : VISITS + 1]
-                top = np.take_along_axis(s, order, 1)
-                keep = top >= top[:, :1] - MARGIN
-                at, col = np.nonzero(keep)
-                rows = part.take(pa.array(at))
-                visits = pa.array([order[i, 1:][keep[i, 1:]].tolist() for i in at], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(order[at, col].astype(np.int32)), pa.array(order[at, 0].astype(np.int32)), visits, rows.column(0), rows.column(1), rows.column(2)],
-                    names=["cell", "home", "visits", "rep", "m", "embedding"],
-                )
+                length = np.array([len(v) for v in part.column(2)], np.int64)
+                for d in np.unique(length).tolist():
+                    first, centroids = cells[d]
+                    own = part.filter(pa.array(length == d))
+                    s = unit(np.stack(own.column(2).to_numpy(zero_copy_only=False))) @ centroids.T
+                    order = np.argsort(-s, axis=1, kind="stable")[:, : VISITS + 1]
+                    top = np.take_along_axis(s, order, 1)
+                    keep = top >= top[:, :1] - MARGIN
+                    order += first
+                    at, col = np.nonzero(keep)
+                    rows = own.take(pa.array(at))
+                    visits = pa.array([order[i, 1:][keep[i, 1:]].tolist() for i in at], pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(order[at, col].astype(np.int32)), pa.array(order[at, 0].astype(np.int32)), visits, rows.column(0), rows.column(1), rows.column(2)],
+                        names=["cell", "home", "visits", "rep", "m", "embedding"],
+                    )
 
     kind = classes.schema["embedding"].dataType.simpleString()
     return classes.select("rep", "m", "embedding").mapInArrow(run, f"cell int, home int, visits array<int>, rep long, m long, embedding {kind}")
@@ -142,11 +150,11 @@ def near_dedup(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for each row of ``vectors(vec_id, embedding)``."""
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", "embedding")
-    good = rows.where(valid() & F.col("vec_id").isNotNull()).distinct()
+    good = materialize(rows.where(valid() & F.col("vec_id").isNotNull()).distinct(), "vectors")
     classes = materialize(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "classes")
     n = classes.count()
     if n:
-        placed = materialize(assign(classes, fit(classes, n)), "cells")
+        placed = materialize(assign(classes, fit(classes)), "cells")
         small, large = deal(placed, ["cell"], "rep", CAP)
         blocks = small.withColumns({c: F.lit(0) for c in ("own", "b1", "b2")}).unionByName(large)
         found = materialize(blocks.groupBy("cell", "b1", "b2").applyInPandas(lambda pdf: compare(pdf, least), "rep long, n long, root long"), "links")
@@ -157,9 +165,10 @@ def near_dedup(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     per_class = (
         classes.join(counts, "rep", "left")
         .join(comp, F.col("rep") == F.col("node"), "left")
-        .select("embedding", "m", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component"))
+        .select("embedding", F.col("m").alias("n"), F.coalesce("n", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
     )
-    per_id = good.join(per_class, "embedding").groupBy("vec_id").agg(F.sum(F.col("m") - 1 + F.col("n")).alias("n_links"), F.min("component").alias("component_id"))
+    placed = spread_join(good, materialize(per_class, "per-class"), ["embedding"], good.count())
+    per_id = placed.groupBy("vec_id").agg(F.sum(F.col("n") - 1 + F.col("links")).alias("n_links"), F.min("component").alias("component_id"))
     return rows.select("vec_id").join(per_id, "vec_id", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
