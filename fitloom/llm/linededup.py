@@ -4,7 +4,8 @@ A text's lines are its parts between newlines; blank ones (white space alone) ar
 of the windows and always stay.  Each run of three consecutive lines, trimmed of white
 space at both ends, is hashed to 128 bits.  A window that occurs more than once in all
 documents keeps its first occurrence, by (doc_id, position); the lines that any later
-occurrence covers are removed, overlaps merged.
+occurrence covers are removed, overlaps merged.  A later occurrence that overlaps the kept
+one of the same window leaves the lines that they share: ``a,a,a,a`` becomes ``a,a,a``.
 
 Only hashes, ids and positions are shuffled and summed up on the map side, so a window
 shared by a third of all rows costs one row per task; the positions to remove are joined
@@ -57,22 +58,25 @@ def removals(docs: DataFrame) -> DataFrame:
     """``(doc_id, digest, gone)``: for each changed document the distinct indexes of the lines to remove."""
     # Written once: both sides of the join below would hash all texts again.
     w = materialize(windows(docs), "windows")
-    place = F.struct("doc_id", "digest", F.col("at")[0].alias("first"))
+    place = F.struct("doc_id", "digest", F.col("at")[0].alias("first"), "at")
     repeated = w.groupBy("h1", "h2").agg(F.min(place).alias("keep"), F.max(place).alias("last")).where("keep <> last").select("h1", "h2", "keep")
     later = w.join(repeated, ["h1", "h2"]).where(place != F.col("keep"))
-    return later.groupBy("doc_id", "digest").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
+    own = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("digest") == F.col("keep.digest"))
+    lines = F.when(own, F.array_except("at", "keep.at")).otherwise(F.col("at"))
+    return later.select("doc_id", "digest", lines.alias("at")).groupBy("doc_id", "digest").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated windows' later occurrences; same columns."""
-    # Names that no input column has, so that clashing names can't be confused.
-    r = removals(docs).toDF("__id", "__digest", "__gone").hint("shuffle_hash")
-    joined = docs.withColumn("__text", F.xxhash64("text")).join(r, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__digest")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
-    out = joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    # The columns travel in one, so that no name of theirs can clash.
+    packed = docs.select(F.xxhash64("text").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")).alias("d")
+    r = removals(docs.select("doc_id", "text")).hint("shuffle_hash").alias("r")
+    joined = packed.join(r, F.col("d.__row.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.__text") == F.col("r.digest")), "left")
+    kept = F.array_join(F.filter(F.split("d.__row.text", "\n"), lambda x, i: ~F.array_contains("r.gone", i)), "\n")
+    text = F.when(F.col("r.gone").isNull(), F.col("d.__row.text")).otherwise(kept)
+    out = joined.select(*[text.alias(c) if c == "text" else F.col(f"d.__row.`{c}`").alias(c) for c in docs.columns])
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*[F.col(f"`{c}`") for c in docs.columns])
     return out
 
 
@@ -84,9 +88,10 @@ WITH lines AS (
   SELECT doc_id, i AS i0, lead(i, 1) OVER w AS i1, lead(i, 2) OVER w AS i2, l AS l0, lead(l, 1) OVER w AS l1, lead(l, 2) OVER w AS l2
   FROM lines WHERE l <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY l0, l1, l2 ORDER BY doc_id, i0) AS n FROM win WHERE l2 IS NOT NULL
+  SELECT *, row_number() OVER o AS n, first_value(doc_id) OVER o AS d0, first_value([i0, i1, i2]) OVER o AS at0
+  FROM win WHERE l2 IS NOT NULL WINDOW o AS (PARTITION BY l0, l1, l2 ORDER BY doc_id, i0)
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest([i0, i1, i2]) AS i FROM ranked WHERE n > 1
+  SELECT DISTINCT doc_id, i FROM (SELECT doc_id, d0, at0, unnest([i0, i1, i2]) AS i FROM ranked WHERE n > 1) WHERE NOT (doc_id = d0 AND list_contains(at0, i))
 ), kept AS (
   SELECT doc_id, count(*) AS n, string_agg(raw, chr(10) ORDER BY i) AS text FROM lines ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
 )

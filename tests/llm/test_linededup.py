@@ -8,14 +8,16 @@ WHITE = " \t\n\x0b\x0c\r"
 
 
 def brute(rows):
-    seen, gone = set(), {}
+    seen, gone = {}, {}
     for doc_id, text in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
         full = [(i, x.strip(WHITE)) for i, x in enumerate(text.split("\n")) if x.strip(WHITE)]
         for k in range(len(full) - 2):
             w = tuple(x for _, x in full[k : k + 3])
-            if w in seen:
-                gone.setdefault(doc_id, set()).update(i for i, _ in full[k : k + 3])
-            seen.add(w)
+            at = [i for i, _ in full[k : k + 3]]
+            first, kept = seen.setdefault(w, (doc_id, at))
+            if kept is not at:
+                # What the kept occurrence itself covers stays.
+                gone.setdefault(doc_id, set()).update(i for i in at if first != doc_id or i not in kept)
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ())) for d, t in rows}
 
 
@@ -25,8 +27,10 @@ def test_matches_brute_force(spark):
     pool = [f"line {i}" for i in range(12)] + ["", "  ", " line 3\t"]
     rows += [(i, "\n".join(rng.choices(pool, k=rng.randrange(1, 25)))) for i in range(150)]
     rows += [(200 + i, "hot one\nhot two\n hot three \nhot four\ntail %d" % i) for i in range(60)]
+    rows += [(300, "z\nz\nz\nz\nz\nend"), (301, "z\nz\nz\nz")]
     rows.append((500, "\n".join(str(i % 900) for i in range(20_000))))
-    docs = spark.createDataFrame([(d, t, "s", "g") for d, t in rows], "doc_id long, text string, digest string, gone string")
+    assert brute([(1, "a\na\na\na\nb")]) == {1: "a\na\na\nb"}
+    docs = spark.createDataFrame([(d, t, "s", "g", "t") for d, t in rows], "doc_id long, text string, digest string, gone string, __text string")
     out = linededup.dedup_lines(docs)
     assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == brute(rows)
