@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 
 from fitloom.llm.common import WORD, materialize
 
-#: Least slots of an output shard, most shards, rows of a source that are placed together.
-SHARD_SLOTS, SHARDS, CHUNK_ROWS = 1024, 4096, 400
+#: Least slots of an output shard, most shards, rows of a source that are placed together, chunks whose starts are summed together,
+#: slots that a task draws, sources that a broadcast may hold.
+SHARD_SLOTS, SHARDS, CHUNK_ROWS, RUN_CHUNKS, TASK_SLOTS, FEW_SOURCES = 1024, 4096, 400, 1024, 20_000, 10_000
 
 
 def targets(sizes: list[int], weights: list[int], most: int = 3) -> list[float]:
@@ -127,14 +128,16 @@ class Mix:
         """Each document with its first word's index within its source (``sid, chunk, rn`` name a row)."""
         tagged = (
             self.sized.alias("d")
-            .join(F.broadcast(self.sources).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-            .select("doc_id", "digest", "size", "sid", "source_size", "target", F.pmod(F.xxhash64("doc_id", F.lit(self.seed)), F.col("chunks")).cast("int").alias("chunk"))
+            .join((F.broadcast(self.sources) if len(self.slots) <= FEW_SOURCES else self.sources).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+            .select("doc_id", "digest", "size", "sid", "source_size", "target", F.pmod(F.xxhash64("doc_id", "digest", F.lit(self.seed)), F.col("chunks")).cast("int").alias("chunk"))
         )
         own = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size", "digest")
         within = tagged.withColumns({"rn": F.row_number().over(own), "_at": F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
         # One row per source and chunk; only these are summed in order.
-        sums = tagged.groupBy("sid", "chunk").agg(F.sum("size").alias("_n"))
-        starts = sums.withColumn("_start", F.sum("_n").over(Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
+        sums = tagged.groupBy("sid", "chunk").agg(F.sum("size").alias("_n")).withColumn("_span", F.floor(F.col("chunk") / RUN_CHUNKS))
+        before = lambda name, *by: F.sum(name).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, 0)) - F.col(name)
+        spans = sums.groupBy("sid", "_span").agg(F.sum("_n").alias("_s")).withColumn("_first", before("_s", "sid", "_span")).drop("_s")
+        starts = sums.withColumn("_in", before("_n", "sid", "_span", "chunk")).join(spans, ["sid", "_span"]).select("sid", "chunk", (F.col("_first") + F.col("_in")).alias("_start"))
         return within.join(starts, ["sid", "chunk"]).withColumn("at", F.col("_start") + F.col("_at")).drop("_start", "_at")
 
     def segments(self) -> DataFrame:
@@ -166,23 +169,30 @@ class Mix:
                             out[turn == e] = permuted(i[turn == e] % blocks, blocks, f"{seed}/{sid}/{e}")
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), shard, np.int32)), pa.array(np.full(len(i), sid, np.int32)), pa.array(i), pa.array(turn), pa.array(out)], names=["shard", "sid", "slot", "pass", "block"])
 
-        return df.repartition("shard", "sid").mapInArrow(run, "shard int, sid int, slot long, pass long, block long")
+        return df.repartition(max(1, -(-sum(self.slots) // TASK_SLOTS)), "shard", "sid").mapInArrow(run, "shard int, sid int, slot long, pass long, block long")
 
     def times(self) -> DataFrame:
-        """``(sid, block, times)``: how often each block is drawn."""
-        return self.draws().groupBy("sid", "block").agg(F.count("*").alias("times"))
+        """``(sid, block, times, shard)``: how often each block is drawn, and the first shard that holds it."""
+        return self.draws().groupBy("sid", "block").agg(F.count("*").alias("times"), F.min("shard").alias("shard"))
 
     def shards(self) -> DataFrame:
         """The mix itself: for each slot the word ranges ``[first, last)`` of the documents in its block."""
         return self.draws().join(self.segments().select("sid", "block", "doc_id", "digest", "first", "last"), ["sid", "block"])
 
     def taken(self) -> DataFrame:
-        """``(doc_id, size, source_size, target, taken)`` for each row."""
+        """``(doc_id, size, source_size, target, taken, slots, first_shard)`` for each row.
+
+        slots counts the mix's slots that hold words of the document, first_shard is the first shard that does (null: none).
+        """
         rows = self.placed()
         got = (
-            self.segments().join(self.times(), ["sid", "block"]).groupBy("sid", "chunk", "rn").agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("taken"))
+            self.segments()
+            .join(self.times(), ["sid", "block"])
+            .groupBy("sid", "chunk", "rn")
+            .agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("taken"), F.sum("times").alias("slots"), F.min("shard").alias("first_shard"))
         )
-        return rows.join(got, ["sid", "chunk", "rn"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+        zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+        return rows.join(got, ["sid", "chunk", "rn"], "left").select("doc_id", "size", "source_size", "target", zero("taken"), zero("slots"), "first_shard")
 
 
 SPAN = re.compile(WORD)
@@ -208,18 +218,19 @@ def mix_documents(docs: DataFrame, block: int = 256) -> DataFrame:
     The text holds the words that the pass takes (all of them: the text as it was) and
     n_chars its length.  Rows that are equal in id and text share the first one's draws.
     """
-    m = Mix(docs, block)
+    m = Mix(docs.select("doc_id", "source", "text"), block)
     got = (
         m.segments()
         .join(m.times(), ["sid", "block"])
         .groupBy("doc_id", "digest", "size", "sid", "chunk", "rn")
-        .agg(F.sort_array(F.collect_list(F.struct("first", "last", "times"))).alias("_r"))
+        .agg(F.sort_array(F.collect_list(F.struct("first", "last", "times"))).alias("ranges"))
         .groupBy("doc_id", "digest", "size")
-        .agg(F.min_by("_r", F.struct("sid", "chunk", "rn")).alias("_r"))
-        .withColumnRenamed("doc_id", "_id")
+        .agg(F.min_by("ranges", F.struct("sid", "chunk", "rn")).alias("ranges"))
     )
-    tagged = docs.withColumn("_d", F.xxhash64("text"))
-    joined = tagged.join(got.hint("shuffle_hash"), tagged.doc_id.eqNullSafe(got._id) & (tagged._d == got.digest)).select(*docs.columns, "_r")
+    # The columns travel in one, so that no name of theirs can clash.
+    packed = docs.select(F.xxhash64("text").alias("digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).alias("d")
+    joined = packed.join(got.hint("shuffle_hash").alias("g"), F.col("d.row.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.digest") == F.col("g.digest")))
+    joined = joined.select(*[F.col(f"d.row.`{c}`").alias(c) for c in docs.columns], F.col("g.ranges").alias("__ranges"))
     names, schema = docs.columns, docs.schema
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
