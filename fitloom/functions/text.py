@@ -184,4 +184,4 @@ def clean_list(col: Column, most_chars: int = 60, most: int = 40) -> Column:
     """A separated text as names: trimmed, unquoted, without repeats whatever their case, without overlong ones."""
     parts = F.transform(F.split(F.coalesce(col, F.lit("")), r"[,，、;；\n|]"), lambda x: F.regexp_replace(F.regexp_replace(strip(x), r"""^["'“”]+|["'“”]+$""", ""), rf"{WHITE}+", " "))
     kept = F.filter(parts, lambda x: (F.length(x) > 0) & (F.length(x) <= most_chars))
-    return F.slice(F.filter(kept, lambda x, i: F.array_position(F.transform(kept, F.lower), F.lower(x)) == i + 1), 1, most)
+    return let(kept, lambda k: F.slice(F.filter(k, lambda x, i: F.array_position(F.transform(k, F.lower), F.lower(x)) == i + 1), 1, most))

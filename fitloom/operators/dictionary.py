@@ -21,6 +21,8 @@ from fitloom.functions import vocab as V
 OTHER = "其它"
 #: Aliases that a task compiles at most, and beginnings of aliases for which they are broadcast.
 MOST_ALIASES, MOST_HEADS = 500_000, 20_000
+#: Characters up to which a line's places are reached by walking.
+SHORT = 600
 CJK = r"[一-鿿]"
 
 
@@ -78,16 +80,20 @@ def boundary_ok(left: Column, right: Column, is_cjk: Column) -> Column:
 
 
 def places(size: int, heads: list[str], longest: int) -> Column:
-    """The places of ``line`` whose first ``size`` characters are among ``heads``, each with what follows it."""
+    """The places of ``line`` whose first ``size`` characters are among ``heads``, each with what follows it.
 
-    def of(chars: Column) -> Column:
-        head = lambda p: F.lower(F.array_join(F.slice(chars, p, size), ""))
-        piece = lambda p: F.struct(
-            p.alias("p"), head(p).alias("_k"), F.when(p > 1, F.element_at(chars, p - 1)).otherwise("").alias("left"), F.array_join(F.slice(chars, p, longest + 1), "").alias("piece")
-        )
-        return F.transform(F.filter(F.sequence(F.lit(1), F.size(chars)), lambda p: head(p).isin(heads)), piece)
+    A text is walked from its beginning to reach a place, so long lines are cut into characters first.
+    """
+
+    def by(piece, of: Column) -> Column:
+        head = lambda p: F.lower(piece(p, size))
+        one = lambda p: F.struct(p.alias("p"), head(p).alias("_k"), F.when(p > 1, piece(p - 1, 1)).otherwise("").alias("left"), piece(p, longest + 1).alias("piece"))
+        return F.transform(F.filter(F.sequence(F.lit(1), of), lambda p: head(p).isin(heads)), one)
 
-    return T.let(F.split("line", ""), of)
+    line = F.col("line")
+    short = by(lambda p, n: F.substr(line, p, F.lit(n)), F.length(line))
+    long = T.let(F.split(line, ""), lambda chars: by(lambda p, n: F.array_join(F.slice(chars, p, n), ""), F.size(chars)))
+    return F.when(F.length(line) <= SHORT, short).otherwise(long)
 
 
 def candidates(lines: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,18 +1,15 @@
-"""Queries of the text layer over documents, pages and literal fixtures, with their SQL."""
+"""Queries of the text layer over documents, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitloom.functions import dates as D
-from fitloom.functions import numeric as N
 from fitloom.functions import text as T
 from fitloom.operators import dictionary as DI
-from fitloom.operators import mentions as M
 from fitloom.operators import sections as SE
 from fitloom.plans.star import table, values
-from fitloom.sources import payloads, store
+from fitloom.sources import store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,16 +25,10 @@ def query(oracle: str | None = None):
     return add
 
 
-def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-#: A few words of the corpus's own vocabulary as a dictionary; no alias overlaps another one.
-WORDS = [("THE", "function", ["the"], []), ("Tion", "stem", ["tion", "tioning"], ["Stem"]), ("Which", "function", ["which", "what"], []), ("Licence", "legal", ["licensed under", "general public license"], []), ("Stem", "stem", ["stem"], [])]
+#: A few words of the corpus's own vocabulary as a dictionary; shorter aliases stand within longer ones, which go first.
+WORDS = [("THE", "function", ["the"], []), ("GPL", "legal", ["general public license"], []), ("Public", "legal", ["public license"], []), ("License", "legal", ["license"], []), ("Tion", "stem", ["tion", "tioning"], ["Stem"]), ("Which", "function", ["which", "what"], []), ("Licence", "legal", ["licensed under", "under the"], []), ("Stem", "stem", ["stem"], [])]
 _ALIASES = [(a, c) for c, _, al, _ in WORDS for a in dict.fromkeys([*al, c.lower()])]
 
-_W = r"[ \t\r\f\v]"
-
 
 @query(r"""SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), '[ \t\f\v]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10)||chr(10), 'g'), '^\n+|\n+$', '', 'g') AS t FROM documents)""")
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
@@ -45,23 +36,6 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", F.length("t").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
-_HEADINGS = [(1, "## 教育背景"), (2, "**专业技能**"), (3, "【项目经历】"), (4, "一、工作经历："), (5, "第二部分：自我评价"), (6, "  plain "), (7, "__证书__"), (8, "（基本信息）"), (9, "")]
-
-
-@query(f"""SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(line),'^#{{1,6}}\\s*',''),'^\\*\\*(.+?)\\*\\*$','\\1'),'^__(.+?)__$','\\1'),'^[【\\[（(](.+?)[】\\]）)]$','\\1'),'^[一二三四五六七八九十]{{1,3}}\\s*[、.．]\\s*',''),'^第[一二三四五六七八九十]{{1,3}}部分\\s*[：:]?\\s*',''),'[：:]\\s*$','')) AS title FROM (VALUES {values(_HEADINGS)}) t(id, line)""")
-def clean_heading(spark: SparkSession, d: str) -> DataFrame:
-    return literal(spark, _HEADINGS, "id int, line string").select("id", T.clean_heading(F.col("line")).alias("title"))
-
-
-_BULLETS = [(1, "- one"), (2, "  1. two"), (3, "2、三"), (4, "（3）four"), (5, "① five"), (6, "（一）six"), (7, "plain"), (8, "* "), (9, "12) x"), (10, "2024 year")]
-_BULLET_SQL = r"^\s*([-*•·▪◦●○◆◇■□→➢➤‣]|\(?\d{1,2}\)?[.、)）]|[（(]\d{1,2}[)）]|[①-⑳]|[（(][一二三四五六七八九十]{1,3}[)）])\s*"
-
-
-@query(f"SELECT id, regexp_matches(line, '{_BULLET_SQL}') AS bullet, trim(regexp_replace(line, '{_BULLET_SQL}', '')) AS body FROM (VALUES {values(_BULLETS)}) t(id, line)")
-def strip_bullet(spark: SparkSession, d: str) -> DataFrame:
-    return literal(spark, _BULLETS, "id int, line string").select("id", T.is_bullet(F.col("line")).alias("bullet"), T.strip_bullet(F.col("line")).alias("body"))
-
-
 @query(r"""SELECT doc_id, i - 1 AS pos, s AS sentence FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (
  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\.(\s|$)', chr(10)||'\1', 'g'), '[。！？；!?;]|\n+'), lambda x: regexp_replace(regexp_replace(x, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g'), '^[ \t·•-]+|[ \t·•-]+$', '', 'g')), lambda x: length(x) > 0) AS l FROM documents))""")
 def split_sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -79,28 +53,18 @@ def line_offsets(spark: SparkSession, d: str) -> DataFrame:
     return SE.lines(table(spark, d, "documents")).select("doc_id", "line_no", "start_offset", F.length("line").cast("long").alias("n"))
 
 
-RESUME = "张三\n电话 123\n教育背景：某某大学 软件工程 本科\n专业技能\n- 精通 Python，了解 Docker\n- 熟悉 FAISS\n工作经历（2 段）\n2020.03 - 2022.06 某公司 工程师\n- 把延迟从 800ms 降到 120ms\n自我评价\n会用 Rust"
-JD = "后端工程师\n岗位职责\n负责平台开发\n任职要求：\n1. 必须熟悉 Python，3-5 年经验\n2. 本科及以上学历\n加分项\n了解 Docker 者优先"
-DOCS = [(1, RESUME), (2, JD), (3, "no headings at all"), (4, "")]
-_HEADS = [("教育背景", "education"), ("专业技能", "skill"), ("工作经历", "work"), ("自我评价", "summary"), ("岗位职责", "duty"), ("任职要求", "requirement"), ("加分项", "bonus")]
-_TAGGED = f"""WITH docs AS (SELECT * FROM (VALUES {values(DOCS)}) t(doc_id, text)), heads AS (SELECT * FROM (VALUES {values(_HEADS)}) h(title, kind)),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)),1)-1 AS line_no FROM docs),
-k AS (SELECT l.*, h.kind AS hk, h.title AS ht, CASE WHEN line LIKE h.title||'：_%' THEN substr(line, length(h.title)+2) END AS rest FROM l LEFT JOIN heads h ON line=h.title OR line LIKE h.title||'：%' OR line LIKE h.title||'（%）'),
-s AS (SELECT *, sum(CASE WHEN hk IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS sec_no FROM k)
-"""
-
-
-@query(_TAGGED + """SELECT doc_id, CAST(sec_no AS BIGINT) AS sec_no, coalesce(max(hk),'preamble') AS kind, CAST(min(line_no) AS INTEGER) AS start_line, CAST(max(line_no) AS INTEGER) AS end_line,
- trim(coalesce(string_agg(CASE WHEN hk IS NULL THEN line ELSE rest END, chr(10) ORDER BY line_no),''), chr(10)||' ') AS body FROM s GROUP BY 1,2""")
-def sections(spark: SparkSession, d: str) -> DataFrame:
-    return SE.sections(literal(spark, DOCS, "doc_id int, text string")).select("doc_id", "sec_no", "kind", "start_line", "end_line", "body")
-
-
-_SCAN = f"""WITH a AS (SELECT * FROM (VALUES {values(_ALIASES)}) t(alias, canonical)),
+_OVER = "y.doc_id=x.doc_id AND y.line_no=x.line_no AND y.s<x.e AND x.s<y.e"
+_FIRST = "(y.e-y.s>x.e-x.s OR (y.e-y.s=x.e-x.s AND (y.ord<x.ord OR (y.ord=x.ord AND y.s<x.s))))"
+#: What no earlier place overlaps is taken; what is left beside that is looked at again, three times for chains of aliases.
+_ROUNDS = "".join(
+    f"k{i} AS (SELECT * FROM r{i} x WHERE NOT EXISTS (SELECT 1 FROM r{i} y WHERE {_OVER} AND {_FIRST})),\n r{i + 1} AS (SELECT * FROM r{i} x WHERE NOT EXISTS (SELECT 1 FROM k{i} y WHERE {_OVER})),\n" for i in range(3)
+)
+_SCAN = f"""WITH a AS (SELECT * FROM (VALUES {values([(a, c, i) for i, (a, c) in enumerate(_ALIASES)])}) t(alias, canonical, ord)),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)),1)-1 AS line_no FROM documents),
 c AS (SELECT l.*, a.*, unnest(range(1, length(line)-length(alias)+2)) AS p FROM l JOIN a ON contains(lower(line), alias)),
-h AS (SELECT doc_id, line_no, canonical, p-1 AS s, p-1+length(alias) AS e FROM c WHERE substr(lower(line), p, length(alias))=alias
- AND (p=1 OR NOT regexp_matches(substr(line,p-1,1),'[A-Za-z0-9_+#.]')) AND NOT regexp_matches(substr(line,p+length(alias),1),'[A-Za-z_+#.]'))
+r0 AS (SELECT doc_id, line_no, canonical, ord, p-1 AS s, p-1+length(alias) AS e FROM c WHERE substr(lower(line), p, length(alias))=alias
+ AND (p=1 OR NOT regexp_matches(substr(line,p-1,1),'[A-Za-z0-9_+#.]')) AND NOT regexp_matches(substr(line,p+length(alias),1),'[A-Za-z_+#.]')),
+{_ROUNDS}h AS (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2)
 """
 
 
@@ -118,75 +82,6 @@ def dict_scan_arrow(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("canonical").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
 
-SKILLS = [("Python", "language", ["python", "py3"], []), ("FAISS", "retrieval", ["faiss"], ["向量检索"]), ("向量检索", "retrieval", ["向量检索"], []), ("Docker", "tool", ["docker"], []), ("Rust", "language", ["rust"], []), ("检索增强生成", "ai", ["检索增强生成", "rag"], [])]
-_SKILL_ALIASES = [(a, c) for c, _, al, _ in SKILLS for a in dict.fromkeys([*al, c.lower()])]
-_TERMS = [(1, " PY3 "), (1, "python"), (1, "Unknown X"), (2, "rag"), (2, ""), (2, "Docker"), (2, "unknown x")]
-
-
-@query(f"SELECT id, term, canonical FROM (VALUES {values(_TERMS)}) t(id, term) LEFT JOIN (VALUES {values(_SKILL_ALIASES)}) a(alias, canonical) ON lower(trim(term))=alias")
-def canonical_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return DI.canonical_of(literal(spark, _TERMS, "id int, term string"), "term", DI.from_rows(spark, SKILLS)[1])
-
-
-_LISTS = [(i, i * 10 + k, t) for k, (i, t) in enumerate(_TERMS)]
-
-
-@query(f"SELECT id, coalesce(canonical, trim(term)) AS name, CAST(min(pos) - id*10 - CASE id WHEN 1 THEN 0 ELSE 3 END AS INTEGER) AS pos FROM (VALUES {values(_LISTS)}) t(id, pos, term) LEFT JOIN (VALUES {values(_SKILL_ALIASES)}) a(alias, canonical) ON lower(trim(term))=alias WHERE trim(term)<>'' GROUP BY 1, 2")
-def normalize_list(spark: SparkSession, d: str) -> DataFrame:
-    lists = literal(spark, [(1, [t for i, t in _TERMS if i == 1]), (2, [t for i, t in _TERMS if i == 2])], "id int, terms array<string>")
-    return DI.normalize_list(lists, ["id"], "terms", DI.from_rows(spark, SKILLS)[1])
-
-
-_CLAUSES = [(1, "必须熟悉 Python，熟练者优先", "bonus"), (2, "熟悉 Kubernetes 者优先", "requirement"), (3, "熟悉 Java", "bonus"), (4, "了解 Go", "duty"), (5, "Rust", "benefit"), (6, "Rust", "requirement"), (7, "", "summary"), (8, None, "duty")]
-
-
-@query(f"""SELECT id, CASE WHEN regexp_matches(coalesce(c,''),'必须|必需|要求|精通|深入|扎实') THEN 'must' WHEN regexp_matches(coalesce(c,''),'加分|优先|更佳') THEN 'nice' WHEN regexp_matches(coalesce(c,''),'熟悉|掌握|熟练|具备|负责') THEN 'must'
- WHEN regexp_matches(coalesce(c,''),'有所了解|了解|有经验|锦上添花') THEN 'nice' WHEN k IN ('bonus','summary','benefit') THEN 'nice' ELSE 'must' END AS demand FROM (VALUES {values(_CLAUSES)}) t(id, c, k)""")
-def judge_demand(spark: SparkSession, d: str) -> DataFrame:
-    return literal(spark, _CLAUSES, "id int, c string, k string").select("id", D.demand(F.col("c"), F.col("k")).alias("demand"))
-
-
-_CLAUSE_AT = [(1, "甲，熟悉 Python；乙", 5, 11), (2, "Python", 0, 6), (3, "a：b、Go 、c。d", 4, 6)]
-
-
-@query(f"SELECT id, trim(regexp_extract(substr(t,1,s),'[^，,；;。！？!?：:]*$') || substr(t,s+1,e-s) || regexp_extract(substr(t,e+1),'^[^，,；;。！？!?：:]*')) AS clause FROM (VALUES {values(_CLAUSE_AT)}) x(id, t, s, e)")
-def clause_at(spark: SparkSession, d: str) -> DataFrame:
-    return literal(spark, _CLAUSE_AT, "id int, t string, s int, e int").select("id", T.clause_at(F.col("t"), F.col("s"), F.col("e")).alias("clause"))
-
-
-_LEVELS = [(1, "熟悉 Java，精通 Python", "精通", 5), (2, "Python（熟练）", "熟练", 4), (3, "plain Python", None, None), (4, "有所了解 Python", "了解", 2), (5, "精通业务很多很多很多很多很多很多很多 Python", None, None)]
-
-
-@query(f"SELECT id, level, level_score FROM (VALUES {values(_LEVELS)}) t(id, text, level, level_score)")
-def level_detect(spark: SparkSession, d: str) -> DataFrame:
-    at = (F.instr("text", "Python") - 1).cast("int")
-    return literal(spark, [(i, t) for i, t, _, _ in _LEVELS], "id int, text string").select("id", M.level_of(F.col("text"), at, at + 6).alias("x")).select("id", "x.level", "x.level_score")
-
-
-_RANGES = [(1, "2024.03 - 2024.09"), (2, "2023年9月至2024年6月"), (3, "2022/07-至今"), (4, "2019-2023"), (5, "2024-2019"), (6, "none"), (7, "2020.1 ~ now"), (8, "2021 到 2022.05 x")]
-_RANGE_SQL = r"(?i)((?:19|20)\d{2})\s*(?:[.\-/年]\s*(0?[1-9]|1[0-2]))?\s*(?:月)?\s*(?:[-~至到]|—|–)+\s*(?:((?:19|20)\d{2})\s*(?:[.\-/年]\s*(0?[1-9]|1[0-2]))?|(至今|现在|今|now|present))"
-
-
-@query(f"""SELECT id, CASE WHEN ey>=sy THEN CAST(sy AS INTEGER) END AS start_year, CASE WHEN ey>=sy THEN CAST(ey AS INTEGER) END AS end_year, CASE WHEN ey>=sy THEN CAST(greatest(1,(ey-sy)*12+coalesce(em,12)-coalesce(sm,1)+1) AS INTEGER) END AS months, CASE WHEN ey>=sy THEN now END AS ongoing FROM (
- SELECT id, try_cast(g[1] AS INT) AS sy, try_cast(g[2] AS INT) AS sm, CASE WHEN g[5]<>'' THEN 2025 ELSE try_cast(g[3] AS INT) END AS ey, CASE WHEN g[5]<>'' THEN 6 ELSE try_cast(g[4] AS INT) END AS em, g[5]<>'' AS now
- FROM (SELECT id, [regexp_extract(t,'{_RANGE_SQL}',1),regexp_extract(t,'{_RANGE_SQL}',2),regexp_extract(t,'{_RANGE_SQL}',3),regexp_extract(t,'{_RANGE_SQL}',4),regexp_extract(t,'{_RANGE_SQL}',5)] AS g FROM (VALUES {values(_RANGES)}) x(id, t)))""")
-def date_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return literal(spark, _RANGES, "id int, t string").select("id", D.date_range(F.col("t"), 2025, 6).alias("r")).select("id", "r.start_year", "r.end_year", "r.months", "r.ongoing")
-
-
-@query("SELECT doc_id, CAST(y AS INTEGER) AS year FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(regexp_replace(text,'[^0-9]+',' ','g')||' ', '(?:^| )((?:19|20)[0-9][0-9])(?: |$)', 1)) AS y FROM (SELECT doc_id, replace(regexp_replace(text,'[^0-9]+','  ','g'),'','') AS text FROM documents)) WHERE CAST(y AS INTEGER) BETWEEN 1990 AND 2033")
-def find_years(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.explode(D.find_years(F.col("text"), 2025)).alias("year"))
-
-
-_NEED = [(1, "3 年以上后端经验", 3, None), (2, "3-5 年", 3, 5), (3, "5-3 年", 3, 5), (4, "应届生", 0, None), (5, "开发经验不少于 2 年", 2, None), (6, "none", None, None), (7, "10年工作经验", 10, None)]
-
-
-@query(f"SELECT id, lo AS min_years, hi AS max_years FROM (VALUES {values(_NEED)}) t(id, text, lo, hi)")
-def years_requirement(spark: SparkSession, d: str) -> DataFrame:
-    return literal(spark, [(i, t) for i, t, _, _ in _NEED], "id int, text string").select("id", D.years_needed(F.col("text")).alias("y")).select("id", "y.min_years", "y.max_years")
-
-
 _QUANT_SQL = r"[0-9]+(\.[0-9]+)?\s*%|(?i)[0-9]+(\.[0-9]+)?\s*(万|亿|千|百|k|w)?\s*(人|用户|客户|次|条|个|台|套|种|篇|份|轮|页|行|所|家|qps|tps|uv|pv|dau|mau|ms|毫秒|秒|分钟|小时|天|周|月|年|倍|分|元|美元|GB|MB|TB|KB)|(qps|tps|uv|pv|dau|mau)[^0-9]{0,6}[0-9]+"
 
 
@@ -196,54 +91,11 @@ def quantified_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(T.has_quantified(F.col("line")).cast("long")).alias("n_quantified"))
 
 
-_EDU = [(1, "本科及以上学历", 2, 2), (2, "硕士优先，本科亦可", 2, 3), (3, "博士", 4, 4), (4, "none", None, None), (5, "大专、本科、博士", 1, 4), (6, "Master", None, None)]
-
-
-@query(f"SELECT id, lo AS min_level, hi AS max_level FROM (VALUES {values(_EDU)}) t(id, text, lo, hi)")
-def education_detect(spark: SparkSession, d: str) -> DataFrame:
-    t = literal(spark, [(i, x) for i, x, _, _ in _EDU], "id int, text string")
-    return t.select("id", D.education(F.col("text"), False)["level"].alias("min_level"), D.education(F.col("text"), True)["level"].alias("max_level"))
-
-
-_SENIOR = [(1, "Java 实习生"), (2, "2026 届校招"), (3, "Senior Engineer"), (4, "技术专家"), (5, "junior dev"), (6, "工程师"), (7, "x" * 400 + "实习")]
-
-
-@query(f"""SELECT id, CASE WHEN regexp_matches(s,'(?i)实习|intern') THEN '实习' WHEN regexp_matches(s,'(?i)校招|校园招聘|应届|毕业生|20[0-9][0-9]\\s*届') THEN '校招' WHEN regexp_matches(s,'(?i)专家|架构师|architect') THEN '专家'
- WHEN regexp_matches(s,'(?i)资深|高级|senior|sr\\.|sr ') THEN '高级' WHEN regexp_matches(s,'(?i)中级|intermediate') THEN '中级' WHEN regexp_matches(s,'(?i)初级|junior|entry') THEN '初级' ELSE '' END AS seniority FROM (SELECT id, substr(t,1,400) AS s FROM (VALUES {values(_SENIOR)}) x(id, t))""")
-def seniority_detect(spark: SparkSession, d: str) -> DataFrame:
-    return literal(spark, _SENIOR, "id int, text string").select("id", D.seniority(F.col("text")).alias("seniority"))
-
-
-_NUMS = [(i, v) for i, v in enumerate([0.25, 0.35, 2.675, 0.125, 66.25, 1e6 + 0.05, -0.35, 0.0])]
-
-
-@query(f"SELECT id, CAST(format('{{:.1f}}', CAST(x AS DOUBLE)) AS DOUBLE) AS r1, CAST(format('{{:.2f}}', CAST(x AS DOUBLE)) AS DOUBLE) AS r2 FROM (VALUES {values(_NUMS)}) t(id, x)")
-def rounding(spark: SparkSession, d: str) -> DataFrame:
-    return literal(spark, _NUMS, "id int, x double").select("id", N.py_round(F.col("x"), 1).alias("r1"), N.py_round(F.col("x"), 2).alias("r2"))
-
-
 @query("SELECT doc_id, CASE WHEN length(t)<=60 THEN t ELSE substr(t,1,57)||'...' END AS short, contains(lower(t), 'license') AS licensed FROM (SELECT doc_id, trim(text, ' '||chr(9)||chr(10)||chr(13)) AS t FROM documents)")
 def shorten_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.shorten(F.col("text")).alias("short"), F.contains(F.lower("text"), F.lit("license")).alias("licensed"))
 
 
-_PAYLOADS = [
-    (1, '{"title": " Dev ", "skills": ["Python", "python", "Go"], "bonus": "Go，Rust", "min_years": "3 years"}'),
-    (2, 'text ```json\n{"title": "X", "min_years": true, "skills": "A、B"}\n``` end'),
-    (3, "no json"),
-    (4, 'so: {"title": "a {b} \\"c\\"", "bonus": null} tail }'),
-    (5, '[{"title": "first"}, {"title": "second"}]'),
-    (6, None),
-]
-_CLEAN = [(1, "Dev", "Python,Go", "Rust", 3.0), (2, "X", "A,B", "", None), (3, None, None, None, None), (4, 'a {b} "c"', "", "", None), (5, "first", "", "", None), (6, None, None, None, None)]
-
-
-@query(f"SELECT id, title, skills, bonus, CAST(min_years AS DOUBLE) AS min_years FROM (VALUES {values(_CLEAN)}) t(id, title, skills, bonus, min_years)")
-def llm_sanitize(spark: SparkSession, d: str) -> DataFrame:
-    p = payloads.sanitize_jd(literal(spark, _PAYLOADS, "id int, payload string"), "payload")
-    return p.select("id", "title", F.array_join("skills", ",").alias("skills"), F.array_join("bonus", ",").alias("bonus"), "min_years")
-
-
 @query("SELECT doc_id, text AS body, CAST(length(text) AS BIGINT) AS char_count FROM documents ORDER BY doc_id DESC LIMIT 20")
 def store_latest(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("body"), F.length("text").cast("long").alias("char_count"), F.col("doc_id").alias("seq"))
@@ -257,9 +109,3 @@ def id_filter(spark: SparkSession, d: str) -> DataFrame:
     return accepted.where(store.valid_id(F.col("id"))).select(F.col("_k").alias("doc_id"), "id")
 
 
-_FIXTURE = [(1, "python", "skill_section"), (1, "rust", "summary")]
-
-
-@query("SELECT * FROM (VALUES (1,'Docker','skill_section','nice',2), (1,'FAISS','skill_section','must',4), (1,'Python','skill_section','must',2), (1,'Rust','summary','nice',3), (2,'Docker','other','nice',2), (2,'Python','other','must',4)) t(doc_id, canonical, origin, demand, level_score)")
-def locate_mentions(spark: SparkSession, d: str) -> DataFrame:
-    return M.locate(literal(spark, DOCS, "doc_id int, text string"), DI.from_rows(spark, SKILLS)[1]).select("doc_id", "canonical", "origin", "demand", "level_score")

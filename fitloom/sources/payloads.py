@@ -9,10 +9,14 @@ from fitloom.functions import numeric as N
 from fitloom.functions import text as T
 
 
+#: Characters from the first brace on within which an object must end.
+MOST_CHARS = 20_000
+
+
 def balanced_object(col: Column) -> Column:
     """The first balanced {...} of a text, braces within strings left out; null without one."""
     start = F.instr(col, "{")
-    tail = F.when(start > 0, F.substr(col, start))
+    tail = F.when(start > 0, F.substr(col, start, F.lit(MOST_CHARS)))
     state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("n"), F.lit(0).alias("end"))
 
     def step(a: Column, c: Column) -> Column:
@@ -78,6 +82,8 @@ def sanitize_jd(df: DataFrame, payload: str) -> DataFrame:
             "majors": as_list(c, "$.majors"),
             "domains": as_list(c, "$.domains", most=12),
             "education": as_text(c, "$.education", 40),
+            "seniority": as_text(c, "$.seniority", 20),
+            "soft_skills": as_list(c, "$.soft_skills"),
             "min_years": as_number(c, "$.min_years", 0, 50),
             "max_years": as_number(c, "$.max_years", 0, 50),
         }
@@ -100,5 +106,6 @@ def sanitize_resume(df: DataFrame, payload: str) -> DataFrame:
             "skills": as_list(c, "$.skills"),
             "domains": as_list(c, "$.domains", most=12),
             "highlights": as_list(c, "$.highlights", most_chars=120, most=10),
+            "total_years": as_number(c, "$.total_years", 0, 60),
         }
     ).drop("_v")

@@ -6,6 +6,7 @@ import pytest
 
 from fitloom.functions import vocab as V
 from fitloom.plans import texts, whole
+from tests import rows as typed
 
 A = re.ASCII
 BULLET = r"^\s*([-*•·▪◦●○◆◇■□→➢➤‣]|\(?\d{1,2}\)?[.、)）]|[（(]\d{1,2}[)）]|[①-⑳]|[（(][一二三四五六七八九十]{1,3}[)）])\s*"
@@ -21,9 +22,9 @@ ALIASES = texts._ALIASES
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     """A folder with documents (those of sf0.001 and planted ones), and their texts by id."""
-    planted = [texts.RESUME, texts.JD, "no headings at all", "", None, "x" * 30_000 + " which the stem", "a\n" * 300 + "the end"]
-    planted += [t for _, t in texts._HEADINGS + texts._BULLETS + texts._RANGES + texts._SENIOR] + [c for _, c, _ in texts._CLAUSES]
-    planted += [r[1] for r in texts._NEED + texts._EDU + texts._PAYLOADS + texts._CLAUSE_AT] + ["熟悉 the，精通 which 优先", "licensed under the tioning"]
+    planted = [typed.RESUME, typed.JD, "no headings at all", "", None, "x" * 30_000 + " which the stem", "a\n" * 300 + "the end"]
+    planted += [t for _, t in typed._HEADINGS + typed._BULLETS + typed._RANGES + typed._SENIOR] + [c for _, c, _ in typed._CLAUSES]
+    planted += [r[1] for r in typed._NEED + typed._EDU + typed._PAYLOADS + typed._CLAUSE_AT] + ["熟悉 the，精通 which 优先", "licensed under the tioning"]
     rows = [(10_000_000 + i, t) for i, t in enumerate(planted)]
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
     folder = tmp_path_factory.mktemp("whole")
@@ -43,12 +44,19 @@ def lines(corpus):
 
 
 def mentions(corpus):
+    """Longer aliases first, then the dictionary's order, then from the left; what overlaps a taken place is left out."""
+    ordered = sorted(enumerate(ALIASES), key=lambda x: (-len(x[1][0]), x[0]))
     for d, t in corpus[1].items():
-        for alias, canonical in ALIASES:
-            for m in re.finditer(f"(?={re.escape(alias)})", (t or "").lower()):
-                s, e = m.start(), m.start() + len(alias)
-                if not re.match("[A-Za-z0-9_+#.]", t[s - 1 : s]) and not re.match("[A-Za-z_+#.]", t[e : e + 1]):
-                    yield d, canonical, s, e
+        base = 0
+        for line in (t or "").split("\n"):
+            taken = set()
+            for _, (alias, canonical) in ordered:
+                for m in re.finditer(f"(?={re.escape(alias)})", line.lower()):
+                    s, e = m.start(), m.start() + len(alias)
+                    if not re.match("[A-Za-z0-9_+#.]", line[s - 1 : s] if s else "") and not re.match("[A-Za-z_+#.]", line[e : e + 1]) and not taken & set(range(s, e)):
+                        taken |= set(range(s, e))
+                        yield d, canonical, base + s, base + e
+            base += len(line) + 1
 
 
 def test_lines(spark, corpus):
@@ -89,7 +97,7 @@ def test_dates_and_years(spark, corpus):
     ls = lines(corpus)
     got, need = run(spark, corpus, "whole_date_ranges", "doc_id", "line_no"), run(spark, corpus, "whole_years_requirement", "doc_id", "line_no")
     assert set(got) == set(need) == set(ls)
-    rx = re.compile(texts._RANGE_SQL, A)
+    rx = re.compile(typed._RANGE_SQL, A)
     for k, x in ls.items():
         m = rx.search(x)
         if not m:
@@ -99,7 +107,7 @@ def test_dates_and_years(spark, corpus):
         sy, ey, em = int(sy), 2025 if now else int(ey), 6 if now else int(em or 12)
         if ey >= sy:
             assert got[k] == (sy, ey, max(1, (ey - sy) * 12 + em - int(sm or 1) + 1), bool(now))
-    for _, t, lo, hi in texts._NEED:
+    for _, t, lo, hi in typed._NEED:
         assert {need[k] for k, x in ls.items() if x == t} == {(lo, hi)}
     assert all(need[k] == (None, None) for k, x in ls.items() if not re.search(r"\d|[一二三四五六七八九十两]", x) and not re.search(V.NO_EXPERIENCE, x))
 
@@ -133,6 +141,6 @@ def test_mentions(spark, corpus):
 def test_payloads(spark, corpus):
     got = run(spark, corpus, "whole_llm_sanitize", "doc_id")
     assert set(got) == {(d,) for d in corpus[1]}
-    for (_, payload), (_, *want) in zip(texts._PAYLOADS, texts._CLEAN, strict=True):
+    for (_, payload), (_, *want) in zip(typed._PAYLOADS, typed._CLEAN, strict=True):
         if payload is not None:
             assert {got[d,] for d, t in corpus[1].items() if t == payload} == {tuple(want)}
