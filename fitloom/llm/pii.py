@@ -9,8 +9,11 @@ words of a base span are held to its kind, and words that reach ``LEAST`` are ad
 spans.  The repeats of a word form a path rather than a clique, so a text with a million
 equal numbers costs a million edges.
 
-Unary and chain weights are trained here, on the base labels of at most ``SAMPLE`` texts
-that hold a digit or at sign (a documented bound; finding spans reads every whole text).
+All weights are trained here, on the base labels of at most ``SAMPLE`` texts of up to
+``MOST_BYTES`` that hold a digit or at sign (a documented bound; finding spans reads every
+whole text): unary ones by logistic regression on the words' shapes, chain and skip ones as
+smoothed log ratios of the labels that meet on an edge, for words with the same core and for
+words with the same digits apart.
 
 Defined cases: null or empty texts have no spans; positions are code points, end
 exclusive; repeated rows get equal results; extra columns are ignored; an empty table
@@ -38,8 +41,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT, TELLING, NODE = re.compile("[0-9]"), re.compile("[0-9@]"), re.compile(r"[^\x20\x09-\x0D]+")
 NOT_DIGIT, EDGE = re.compile("[^0-9]+"), re.compile(r"^[^A-Za-z0-9+(]+|[^A-Za-z0-9)]+$")
-#: Texts of the training sample; potentials of equal and of similar words; probability from which a word is added; sweeps at most.
-SAMPLE, EQUAL, SIMILAR, LEAST, SWEEPS = 2000, 2.5, 1.5, 0.8, 30
+#: Texts of the training sample and their bytes; kinds of skip edges; probability from which a word is added; sweeps at most.
+SAMPLE, MOST_BYTES, EQUAL, SIMILAR, LEAST, SWEEPS = 2000, 32_768, 0, 1, 0.8, 30
+#: Pseudo pairs of equal labels on skip edges, so that edges say something before they are met, and the bound of a log ratio.
+PRIOR, MOST_RATIO = 8.0, 4.0
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -87,7 +92,7 @@ class Graph:
     spans: list[tuple[int, int]] = field(default_factory=list)
     features: list[list[int]] = field(default_factory=list)
     chain: list[tuple[int, int]] = field(default_factory=list)
-    skip: list[tuple[int, int, float]] = field(default_factory=list)
+    skip: list[tuple[int, int, int]] = field(default_factory=list)  # and the kind of edge
 
 
 #: Shape features by index, "always" first.
@@ -139,11 +144,10 @@ def graph(text: str) -> Graph:
         g.features.append(shape(core, digits, phone and not core.startswith("+")))
         if near:
             g.chain.append((i - 1, i))
-        for key, weight in (("=" + core.lower(), EQUAL), ("#" + digits, SIMILAR) if len(digits) >= 6 else ("", 0.0)):
-            if weight and key in last_of and (not g.skip or g.skip[-1][:2] != (last_of[key], i)):
-                g.skip.append((last_of[key], i, weight))
-            if weight:
-                last_of[key] = i
+        for key, kind in (("=" + core.lower(), EQUAL), *((("#" + digits, SIMILAR),) if len(digits) >= 6 else ())):
+            if key in last_of and (not g.skip or g.skip[-1][:2] != (last_of[key], i)):
+                g.skip.append((last_of[key], i, kind))
+            last_of[key] = i
         before = k
     return g
 
@@ -152,6 +156,13 @@ def graph(text: str) -> Graph:
 class Weights:
     unary: np.ndarray  # features x labels
     chain: np.ndarray  # labels x labels
+    skip: tuple[np.ndarray, np.ndarray]  # the same for each kind of skip edge
+
+
+def ratios(pairs: np.ndarray, most: float) -> np.ndarray:
+    """Log ratios of pairs of labels to what chance would give."""
+    joint = pairs / pairs.sum()
+    return np.clip(np.log(joint / np.outer(joint.sum(1), joint.sum(0))), -most, most)
 
 
 def held(g: Graph, spans: list[Span]) -> list[int]:
@@ -168,9 +179,10 @@ def held(g: Graph, spans: list[Span]) -> list[int]:
 
 
 def train(texts: list[str]) -> Weights:
-    """Unary weights by multinomial logistic regression and chain weights by smoothed log ratios, on base labels."""
+    """Unary weights by multinomial logistic regression, chain and skip weights by smoothed log ratios, on base labels."""
     labels = len(KINDS) + 1
     rows, y, pairs = [], [], np.ones((labels, labels))
+    repeats = [np.full((labels, labels), 0.5) + PRIOR * np.eye(labels) for _ in range(2)]
     for t in texts:
         g = graph(t)
         lab = held(g, base_spans(t))
@@ -178,6 +190,8 @@ def train(texts: list[str]) -> Weights:
         y += lab
         for i, j in g.chain:
             pairs[lab[i], lab[j]] += 1
+        for i, j, kind in g.skip:
+            repeats[kind][lab[i], lab[j]] += 1
     x = np.zeros((len(rows), len(FEATURES)))
     for i, f in enumerate(rows):
         x[i, f] = 1
@@ -193,8 +207,7 @@ def train(texts: list[str]) -> Weights:
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             w -= 0.5 * (fx.T @ ((p - target) * weight[:, None]) + 0.02 * w) / weight.sum()
-    joint = pairs / pairs.sum()
-    return Weights(w, np.clip(np.log(joint / np.outer(joint.sum(1), joint.sum(0))), -2, 2))
+    return Weights(w, ratios(pairs, 2), (ratios(repeats[EQUAL], MOST_RATIO), ratios(repeats[SIMILAR], MOST_RATIO)))
 
 
 def marginals(g: Graph, base: list[int], w: Weights) -> np.ndarray:
@@ -208,7 +221,7 @@ def marginals(g: Graph, base: list[int], w: Weights) -> np.ndarray:
     b = np.array([j for _, j in g.chain] + [j for _, j, _ in g.skip], np.int64)
     belief = unary
     if len(a):
-        pots = np.array([w.chain] * len(g.chain) + [np.eye(labels) * k for _, _, k in g.skip])
+        pots = np.array([w.chain] * len(g.chain) + [w.skip[k] for _, _, k in g.skip])
         src, dst = np.concatenate((a, b)), np.concatenate((b, a))
         pot = np.exp(np.concatenate((pots, pots.transpose(0, 2, 1))))
         back = np.concatenate((np.arange(len(a), 2 * len(a)), np.arange(len(a))))
@@ -260,6 +273,7 @@ def joined(spans: list[Span]) -> str:
 def train_on(docs: DataFrame) -> Weights:
     """Weights from a bounded sample of texts that hold a digit or at sign, chosen by a hash of the text."""
     digest = F.xxhash64("text", F.lit("pii"))
+    docs = docs.where(F.octet_length("text") <= MOST_BYTES)
     rows = docs.where(F.col("text").rlike("[0-9@]")).select(digest.alias("h"), F.col("doc_id")).orderBy("h", "doc_id").limit(SAMPLE)
     found = docs.select("text", digest.alias("h")).join(F.broadcast(rows.select("h").distinct()), "h", "left_semi").dropDuplicates(["h"]).collect()
     return train([r["text"] for r in sorted(found, key=lambda r: (r["h"], r["text"] or "")) if r["text"]])
