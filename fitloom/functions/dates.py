@@ -111,6 +111,20 @@ def school(text: Column) -> Column:
     return F.coalesce(F.get(F.filter(hits, lambda x: ~x.rlike("|".join(V.SCHOOL_STOP))), F.lit(0)), F.lit(""))
 
 
+def majors(text: Column, most: int = 6) -> Column:
+    """All majors of the vocabulary in their order in the text; longer names first take their place, shorter ones within them don't count.
+
+    A name that is found gives way to a mark of its own length, so that it isn't seen again.
+    """
+    ordered = sorted(V.MAJORS, key=len, reverse=True)
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\ue000-\uf8ff]", " ")
+    for i, name in enumerate(ordered):
+        t = F.replace(t, F.lit(name), F.lit(chr(0xE000 + i) + "\uf8ff" * (len(name) - 1)))
+    marks = F.regexp_extract_all(t, F.lit("[\ue000-\ue0ff]"), F.lit(0))
+    names = F.array(*map(F.lit, ordered))
+    return F.slice(F.transform(marks, lambda m: F.element_at(names, (F.ascii(m) - 0xE000 + 1).cast("int"))), 1, most)
+
+
 def major(text: Column) -> Column:
     """A labelled major, else the first of the vocabulary in its own order."""
     label = F.nullif(F.regexp_extract(text, V.MAJOR_LABEL, 1), F.lit(""))

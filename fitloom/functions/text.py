@@ -59,6 +59,11 @@ def strip_bullet(col: Column) -> Column:
     return strip(F.regexp_replace(col, V.BULLET, ""))
 
 
+def strip_list_prefix(col: Column) -> Column:
+    """A phrase without the number that a list gave it."""
+    return strip(F.regexp_replace(F.coalesce(col, F.lit("")), r"^\(?\d{1,2}\)?\s*[.、)）]?\s*", ""))
+
+
 def indentation(col: Column) -> Column:
     """Width of the leading blanks, a tab counting four."""
     lead = F.regexp_extract(col, r"^[ \t]*", 0)

@@ -100,7 +100,7 @@ def educated(rule: Column, level: Column, model: Column, highest: bool) -> tuple
     """(words, level) of education: the model's words go through the same rules."""
     found = D.education(model, highest)
     open_ = F.coalesce(rule, F.lit("")) == ""
-    words = found["word"] if highest else T.context_phrase(model, found["at"], F.length(found["word"]))
+    words = found["word"] if highest else F.nullif(T.strip_list_prefix(T.context_phrase(model, found["at"], F.length(found["word"]))), F.lit(""))
     return F.when(open_, F.coalesce(words, model, F.lit(""))).otherwise(rule), F.when(open_ & model.isNotNull(), F.coalesce(found["level"], F.lit(0))).otherwise(level)
 
 

@@ -78,7 +78,7 @@ JOB = {
 }
 JOB_TEXT = lines_of(
     "title", "'公司：' || company", "'岗位职责'", "'1. 负责 ' || s3 || ' 平台开发'", "'任职要求：'", "'1. 必须熟悉 ' || s1 || '，' || CAST(years AS STRING) || ' 年以上经验'",
-    "'2. ' || degree || '及以上学历'", "'加分项'", "'了解 ' || s2 || ' 者优先' || CASE WHEN nd = 1 THEN chr(10) || '熟悉金融科技' ELSE '' END",
+    "'2. ' || degree || '及以上学历' || CASE WHEN nd = 1 THEN '' ELSE '，软件工程优先' END", "'加分项'", "'了解 ' || s2 || ' 者优先' || CASE WHEN nd = 1 THEN chr(10) || '熟悉金融科技' ELSE '' END",
 )
 
 _FACTS = "candidates AS (SELECT " + ", ".join(f"{x} AS {n}" for n, x in CANDIDATE.items()) + " FROM customer), jobs AS (SELECT " + ", ".join(f"{x} AS {n}" for n, x in JOB.items()) + " FROM supplier)"
@@ -270,16 +270,16 @@ def normalize_list(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-@query(WITH + """SELECT doc_id AS jd_id, title, company, seniority, CAST(years AS DOUBLE) AS min_years, NULL::DOUBLE AS max_years, level AS education_level, '2. ' || degree || '及以上学历' AS education,
+@query(WITH + """SELECT doc_id AS jd_id, title, company, seniority, CAST(years AS DOUBLE) AS min_years, NULL::DOUBLE AS max_years, level AS education_level, degree || '及以上学历' AS education, CASE WHEN nd = 1 THEN '' ELSE '软件工程' END AS majors,
  c3 || ',' || c1 || CASE WHEN nd = 1 THEN ',金融科技' ELSE '' END AS must_have, c2 AS nice_to_have, CASE WHEN nd = 1 THEN '金融科技' ELSE '' END AS domains, '负责 ' || s3 || ' 平台开发' AS responsibilities, CAST(length(text) AS INTEGER) AS char_count FROM jd""")
 def parse_jd(spark: SparkSession, d: str) -> DataFrame:
     j = parsing.parse_jd(jobs(spark, d), skills.default_dictionary(spark))["jobs"]
-    lists = ("must_have", "nice_to_have", "domains", "responsibilities")
+    lists = ("must_have", "nice_to_have", "domains", "responsibilities", "majors")
     return j.select(*[F.array_join(c, ",").alias(c) if c in lists else F.col(c) for c in j.columns])
 
 
 @query(WITH + """SELECT doc_id, '必须熟悉 ' || s1 || '，' || CAST(years AS STRING) || ' 年以上经验' AS text, 'must' AS kind, '经验' AS category, c1 AS skills FROM jd
- UNION ALL SELECT doc_id, degree || '及以上学历', 'must', '学历', '' FROM jd UNION ALL SELECT doc_id, '了解 ' || s2 || ' 者优先', 'nice', '技能', c2 FROM jd
+ UNION ALL SELECT doc_id, degree || '及以上学历' || CASE WHEN nd = 1 THEN '' ELSE '，软件工程优先' END, CASE WHEN nd = 1 THEN 'must' ELSE 'nice' END, '学历', '' FROM jd UNION ALL SELECT doc_id, '了解 ' || s2 || ' 者优先', 'nice', '技能', c2 FROM jd
  UNION ALL SELECT doc_id, '熟悉金融科技', 'must', '技能', '金融科技' FROM jd WHERE nd = 1""")
 def requirements(spark: SparkSession, d: str) -> DataFrame:
     r = parsing.parse_jd(jobs(spark, d), skills.default_dictionary(spark))["requirements"]
@@ -299,6 +299,12 @@ def parse_resume(spark: SparkSession, d: str) -> DataFrame:
     return r.select(*[F.array_join(c, ",").alias(c) if c in lists else F.col(c) for c in r.columns])
 
 
+@query(WITH + "SELECT doc_id, name FROM cv UNION ALL SELECT 10000000000 + doc_id, '未命名简历' FROM jd")
+def display_name(spark: SparkSession, d: str) -> DataFrame:
+    untitled = jobs(spark, d).select((F.col("doc_id") + 10_000_000_000).alias("doc_id"), F.concat(F.lit("1. "), "text").alias("text"))
+    return parsing.display_names(candidates(spark, d).unionByName(untitled))
+
+
 @query(WITH + f"""SELECT doc_id, 0 AS entry_no, kind, '某某科技公司' AS org, '后端工程师' AS title, CAST(y1 AS STRING) || '.03-' || CAST(y1 + 2 AS STRING) || '.06' AS period, 28 AS duration_months, false AS ongoing, {_B1} || '|负责平台开发' AS bullets, 1 AS quantified, c1 AS skills FROM cv
  UNION ALL SELECT doc_id, 1, kind, '另一家公司', '高级开发', '2022.07-至今', 36, true, '维护服务', 0, '' FROM cv WHERE n2 = 2""")
 def experience_items(spark: SparkSession, d: str) -> DataFrame:
@@ -399,7 +405,7 @@ def llm_merge_skills(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(WITH + """, p AS (SELECT *, doc_id % 5 <> 4 AS ok FROM jd)
- SELECT doc_id AS jd_id, title, company, CASE WHEN seniority <> '' THEN seniority WHEN ok THEN '专家' ELSE '' END AS seniority, CAST(years AS DOUBLE) AS min_years, '2. ' || degree || '及以上学历' AS education, level AS education_level,
+ SELECT doc_id AS jd_id, title, company, CASE WHEN seniority <> '' THEN seniority WHEN ok THEN '专家' ELSE '' END AS seniority, CAST(years AS DOUBLE) AS min_years, degree || '及以上学历' AS education, level AS education_level,
  CASE WHEN nd = 1 THEN '金融科技' ELSE '' END || CASE WHEN nd = 1 AND ok THEN ',' ELSE '' END || CASE WHEN ok THEN '保险' ELSE '' END AS domains, CASE WHEN ok THEN '沟通' ELSE '' END AS soft FROM p""")
 def llm_merge_job(spark: SparkSession, d: str) -> DataFrame:
     j = parsing.parse_jd(jobs(spark, d), skills.default_dictionary(spark))["jobs"]
