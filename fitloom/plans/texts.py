@@ -42,7 +42,22 @@ def split_sentences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence")).select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")
 
 
-@query()
+_W = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_BULLET = r"^\s*([-*•·▪◦●○◆◇■□→➢➤‣]|\(?\d{1,2}\)?[.、)）]|[（(]\d{1,2}[)）]|[①-⑳]|[（(][一二三四五六七八九十]{1,3}[)）])\s*"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_W}+', ''), '{_W}+$', '')"
+
+
+_SENTENCES = f"""list_filter(list_transform(regexp_split_to_array(regexp_replace(l, '\\.(\\s|$)', chr(10)||'\\1', 'g'), '[。！？；!?;]|\\n+'), lambda x: regexp_replace({_strip("x")}, '^[ \\t·•-]+|[ \\t·•-]+$', '', 'g')), lambda x: length(x) > 0)"""
+
+
+@query(f"""WITH l AS (SELECT doc_id, i, {_strip(f"regexp_replace({_strip('l')}, '{_BULLET}', '')")} AS l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+ b AS (SELECT doc_id, i, CASE WHEN length(l) <= 220 THEN [l] ELSE list_reduce(list_transform({_SENTENCES}, lambda x: [x]),
+   lambda a, b: CASE WHEN length(a[-1]) + length(b[1]) > 220 THEN list_concat(a, b) ELSE list_concat(a[:-2], [a[-1] || ' ' || b[1]]) END) END AS bs FROM l WHERE length(l) > 0),
+ u AS (SELECT doc_id, i, unnest(bs) AS block, generate_subscripts(bs, 1) AS j FROM b)
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS INTEGER) AS pos, block FROM u""")
 def split_blocks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(T.split_blocks(F.col("text"))).alias("pos", "block"))
 
