@@ -33,7 +33,7 @@ def trimmed(col: Column) -> Column:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """``(doc_id, digest, at, h1, h2)``: the three-line windows; at holds the indexes of the window's lines."""
+    """``(doc_id, digest, k, at, h1, h2)``: the three-line windows in order; at holds the indexes of the window's lines."""
     lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("digest"), F.split("text", "\n").alias("lines"))
     hashed = lines.select(
         "doc_id",
@@ -46,23 +46,26 @@ def windows(docs: DataFrame) -> DataFrame:
     cut = F.transform(
         F.sequence(F.lit(0), F.size("l") - LINES),
         lambda k: F.struct(
+            k.alias("k"),
             F.array(*[F.col("l")[k + j]["i"] for j in range(LINES)]).alias("at"),
             F.xxhash64(*[F.col("l")[k + j]["h"] for j in range(LINES)], *[F.col("l")[k + j]["g"] for j in range(LINES)]).alias("h1"),
             F.xxhash64(F.lit(1), *[F.col("l")[k + j][c] for c in ("g", "h") for j in range(LINES)]).alias("h2"),
         ),
     )
-    return hashed.select("doc_id", "digest", F.explode(cut).alias("w")).select("doc_id", "digest", "w.at", "w.h1", "w.h2")
+    return hashed.select("doc_id", "digest", F.explode(cut).alias("w")).select("doc_id", "digest", "w.k", "w.at", "w.h1", "w.h2")
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """``(doc_id, digest, gone)``: for each changed document the distinct indexes of the lines to remove."""
     # Written once: both sides of the join below would hash all texts again.
     w = materialize(windows(docs), "windows")
-    place = F.struct("doc_id", "digest", F.col("at")[0].alias("first"), "at")
+    place = F.struct("doc_id", "digest", "k")
     repeated = w.groupBy("h1", "h2").agg(F.min(place).alias("keep"), F.max(place).alias("last")).where("keep <> last").select("h1", "h2", "keep")
     later = w.join(repeated, ["h1", "h2"]).where(place != F.col("keep"))
     own = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("digest") == F.col("keep.digest"))
-    lines = F.when(own, F.array_except("at", "keep.at")).otherwise(F.col("at"))
+    # A window that begins d windows after its kept one shares all but its last d lines with it.
+    behind = F.least(F.lit(LINES), F.when(own, F.col("k") - F.col("keep.k")).otherwise(LINES))
+    lines = F.slice("at", F.lit(LINES + 1) - behind, behind)
     return later.select("doc_id", "digest", lines.alias("at")).groupBy("doc_id", "digest").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
 
 
