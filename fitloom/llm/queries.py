@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fitloom.llm import linededup, media, mixing, mixscore, pii, segment, simhash, tokencount, toxicity, vectors
+from fitloom.llm import linededup, media, mixing, mixscore, namejoin, pii, segment, simhash, tokencount, toxicity, vectors
 from fitloom.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.stored(table(spark, sf_dir, "documents")))
 
 
+def op13_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return namejoin.vendor_clients(table(spark, sf_dir, "clients"), table(spark, sf_dir, "vendors"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_segment": op2_segment,
@@ -60,6 +64,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
+    "op13_name_join": op13_name_join,
 }
 
 ORACLES: dict[str, str] = {
