@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fitloom.llm import linededup, media, mixing, mixscore, namejoin, pii, segment, simhash, tokencount, toxicity, vectors
+from fitloom.llm import kmeans, linededup, media, mixing, mixscore, namejoin, pii, secretscan, segment, simhash, tokencount, toxicity, vectors
 from fitloom.llm.common import table
 
 
@@ -49,6 +49,14 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.stored(table(spark, sf_dir, "documents")))
 
 
+def op11_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.summary(table(spark, sf_dir, "embeddings"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.find_all(table(spark, sf_dir, "documents"))
+
+
 def op13_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return namejoin.vendor_clients(table(spark, sf_dir, "clients"), table(spark, sf_dir, "vendors"))
 
@@ -64,9 +72,12 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
+    "op11_kmeans": op11_kmeans,
+    "op12_secret_scan": op12_secret_scan,
     "op13_name_join": op13_name_join,
 }
 
 ORACLES: dict[str, str] = {
     "op8_line_dedup": linededup.ORACLE,
+    "op11_kmeans": kmeans.ORACLE,
 }
