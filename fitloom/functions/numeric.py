@@ -10,9 +10,14 @@ def py_round(col: Column, n: int) -> Column:
     """Round a double at ``n`` decimals by its exact binary value, ties to even.
 
     Spark's ``round`` works on the shortest decimal and ``bround`` on that as well;
-    ``format_number`` rounds the exact value.
+    ``format_number`` rounds the exact value, but as a text.  So only values next to a tie
+    (or too large for the test) go that way: for all others the nearest whole number of
+    units is beyond doubt, and its quotient is the double nearest to the decimal.
     """
-    return F.replace(F.format_number(col.cast("double"), n), F.lit(","), F.lit("")).cast("double")
+    x, unit = col.cast("double"), float(10**n)
+    exact = F.replace(F.format_number(x, n), F.lit(","), F.lit("")).cast("double")
+    near_tie = (F.abs(x * unit - F.floor(x * unit) - 0.5) < 1e-6) | ~(F.abs(x) < 1e8)
+    return F.when(near_tie, exact).otherwise(F.rint(x * unit) / unit)
 
 
 def short_number(col: Column) -> Column:

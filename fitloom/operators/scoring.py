@@ -6,14 +6,11 @@ whatever the caller joins (a blocking key, or one job with all candidates).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fitloom.functions import vocab as V
 from fitloom.functions.numeric import py_round
-from fitloom.functions.text import let
 
 DIMENSIONS = list(V.DEFAULT_WEIGHTS)
 
@@ -53,38 +50,6 @@ def matches(pairs: DataFrame, required: DataFrame, strengths: DataFrame) -> Data
     return r.select("jd_id", "resume_id", "canonical", "bucket", "pos", "v", state.alias("state"))
 
 
-def job_vectors(required: DataFrame) -> DataFrame:
-    """``(jd_id, required)``: a job's required skills in one array, so that a pair needs no join of its own."""
-    return required.groupBy("jd_id").agg(F.sort_array(F.collect_list(F.struct("canonical", "bucket", "pos"))).alias("required"))
-
-
-def candidate_vectors(features: DataFrame) -> DataFrame:
-    """``(resume_id, skills)``: a candidate's skills in one map, name to the other columns of ``features(resume_id, canonical, ...)``."""
-    rest = [c for c in features.columns if c not in ("resume_id", "canonical")]
-    return features.groupBy("resume_id").agg(F.map_from_entries(F.collect_list(F.struct("canonical", F.struct(*rest)))).alias("skills"))
-
-
-def pair_counts(required: Column, skills: Column, counts: dict[str, Callable[[Column, Column], Column]]) -> Column:
-    """For one pair the sums of ``counts`` over its required skills; each is a function of the requirement and the candidate's entry (null: absent)."""
-    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in counts])
-    step = lambda a, x: let(F.element_at(skills, x["canonical"]), lambda s: F.struct(*[(a[n] + f(x, s).cast("long")).alias(n) for n, f in counts.items()]))
-    return F.aggregate(F.coalesce(required, F.array().cast("array<struct<canonical:string,bucket:string,pos:bigint>>")), zero, step)
-
-
-def coverage_counts(bucket: str, prefix: str = "") -> dict[str, Callable[[Column, Column], Column]]:
-    """What ``coverage`` counts in a bucket, for ``pair_counts``; v is the strength in thousandths."""
-    mine = lambda x: x["bucket"] == bucket
-    v = lambda s: F.coalesce(s["v"], F.lit(0))
-    strong = int(V.STRONG * 1000)
-    return {
-        f"{prefix}n": lambda x, s: mine(x),
-        f"{prefix}n_matched": lambda x, s: mine(x) & (v(s) >= strong),
-        f"{prefix}n_weak": lambda x, s: mine(x) & (v(s) > 0) & (v(s) < strong),
-        f"{prefix}n_missing": lambda x, s: mine(x) & (v(s) == 0),
-        f"{prefix}v": lambda x, s: F.when(mine(x), v(s)).otherwise(0),
-    }
-
-
 def coverage_score(v: Column, n: Column) -> Column:
     return F.when(n > 0, py_round(v / 1000 / n * 100, 1))
 
@@ -155,13 +120,14 @@ def default_weights(spark: SparkSession) -> DataFrame:
 def normalize_weights(dims: DataFrame, weights: DataFrame | None = None, keys: tuple[str, ...] = ("jd_id", "resume_id")) -> DataFrame:
     """``dims(*keys, key, score, applicable)`` with weights that sum to 1 over the applicable dimensions.
 
-    ``weights(key, weight)`` overrides defaults; unusable numbers fall back, negative ones
-    count 0.  If all active weights are 0 the defaults share; with no dimension applicable
+    ``weights(key, weight)`` overrides defaults; unusable numbers (texts, infinity) fall back,
+    negative ones and those that are not a number count 0.  If all active weights are 0 the defaults share; with no dimension applicable
     all are 0.
     """
     w = default_weights(dims.sparkSession)
     if weights is not None:
-        w = w.join(weights.select("key", F.col("weight").cast("string").try_cast("double").alias("_w")), "key", "left").withColumn("_w", F.coalesce("_w", "default_weight"))
+        given = F.col("weight").cast("string").try_cast("double")
+        w = w.join(weights.select("key", F.when(given != float("inf"), F.nanvl(given, F.lit(0.0))).alias("_w")), "key", "left").withColumn("_w", F.coalesce("_w", "default_weight"))
     else:
         w = w.withColumn("_w", F.col("default_weight"))
     d = dims.join(F.broadcast(w.withColumn("_w", F.greatest(F.lit(0.0), "_w"))), "key")
@@ -172,6 +138,50 @@ def normalize_weights(dims: DataFrame, weights: DataFrame | None = None, keys: t
     return d.withColumn("weight", F.when(F.col("applicable"), share).otherwise(0.0)).drop("_w", "default_weight")
 
 
+def weight_values(weights: dict | None = None) -> dict[str, float]:
+    """A weight for each dimension by the rules of ``normalize_weights``, before they are made to sum to 1."""
+    out = {}
+    for key, default in V.DEFAULT_WEIGHTS.items():
+        try:
+            value = float((weights or {}).get(key, default))
+        except (TypeError, ValueError):
+            value = default
+        out[key] = default if value == float("inf") else value if value > 0 else 0.0
+    return out
+
+
+def shares(weights: dict | None = None) -> list[list[float]]:
+    """For each set of applicable dimensions (bit i: the i-th) all dimensions' weights, summing to 1 but where none applies."""
+    w, out = weight_values(weights), []
+    for which in range(1 << len(DIMENSIONS)):
+        on = [k for i, k in enumerate(DIMENSIONS) if which >> i & 1]
+        use = w if sum(w[k] for k in on) > 0 else V.DEFAULT_WEIGHTS
+        total = sum(use[k] for k in on)
+        out.append([use[k] / total if k in on and total > 0 else 0.0 for k in DIMENSIONS])
+    return out
+
+
+def _which() -> Column:
+    """The set of a wide row's applicable dimensions, as its place in ``shares``."""
+    return sum((F.when(F.col(k).isNotNull(), 1 << i).otherwise(0) for i, k in enumerate(DIMENSIONS)), F.lit(1))
+
+
+def wide_weights(wide: DataFrame, weights: dict | None = None) -> DataFrame:
+    """``wide`` (a column for each dimension, null where it doesn't apply) with ``w_*``: weights at four decimals, looked up by the set of applicable dimensions."""
+    table = shares(weights)
+    w = {f"w_{k}": F.element_at(F.array(*[F.lit(round(row[i], 4)) for row in table]), F.col("_which")) for i, k in enumerate(DIMENSIONS)}
+    return wide.withColumn("_which", _which()).withColumns(w).drop("_which")
+
+
+def overall_of(wide: DataFrame, weights: dict | None = None) -> DataFrame:
+    """``(jd_id, resume_id, overall, assessable, verdict)`` from wide dimension scores, row by row: no join, no window, no shuffle."""
+    parts = wide_weights(wide, weights).select("jd_id", "resume_id", *DIMENSIONS, *[(F.coalesce(k, F.lit(0.0)) * F.col(f"w_{k}")).alias(f"p_{k}") for k in DIMENSIONS])
+    cents = sum((F.rint(py_round(F.col(f"p_{k}"), 2) * 100).cast("long") for k in DIMENSIONS), F.lit(0).cast("long"))
+    some = F.coalesce(*DIMENSIONS).isNotNull()
+    total = parts.select("jd_id", "resume_id", (cents / 100).alias("_t"), some.alias("assessable")).select("jd_id", "resume_id", py_round(F.col("_t"), 1).alias("overall"), "assessable")
+    return total.withColumn("verdict", verdict(F.col("overall")))
+
+
 def weighted(dims: DataFrame) -> DataFrame:
     """The contribution of each dimension: score times its weight at four decimals, at two decimals."""
     return dims.withColumn("weight", py_round(F.col("weight"), 4)).withColumn("weighted", py_round(F.coalesce("score", F.lit(0.0)) * F.col("weight"), 2))

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from fitloom.functions.numeric import py_round
 from fitloom.operators import dictionary as DI
+from fitloom.operators import pairing as P
 from fitloom.operators import scoring as S
 from fitloom.plans import star
 from fitloom.plans.star import sql, table
+from fitloom.sources import shared
+from fitloom.sources.scores import ScoreStore
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,36 +45,57 @@ def matched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
-    """``(resume_id, canonical, v, used, expert, n, q)``: strength, use in experiences, a mention of level 4 or more, mentions, those of level 5.
+    """``(resume_id, canonical, v, used, area, n, q)``: strength, use in experiences, a mention of level 4 or more, mentions, those of level 5.
 
-    Mentions are read once: parents take over from the candidates' own sums.
+    Mentions are read once: each gives a row for its skill and one for each parent, which takes over strength and use alone.
     """
-    level = F.coalesce("level_score", F.lit(0))
-    flag = lambda c: F.max(c.cast("int"))
-    own = (
-        star.mentions(spark, d)
-        .groupBy("resume_id", "canonical")
-        .agg(
-            F.max(S.mention_weight(F.col("origin"), F.col("level_score"))).alias("v"), flag(F.col("origin") == "experience").alias("used"), flag(level >= 4).alias("expert"),
-            F.count("*").alias("n"), F.sum((level == 5).cast("long")).alias("q"),
-        )
+    up = star.parents(spark).groupBy("child").agg(F.collect_list("parent").alias("up"))
+    m = star.mentions(spark, d).join(F.broadcast(up), F.col("canonical") == F.col("child"), "left")
+    level, none = F.coalesce("level_score", F.lit(0)), F.array().cast("array<string>")
+    rows = m.select(
+        "resume_id", F.posexplode(F.concat(F.array("canonical"), F.coalesce("up", none))).alias("i", "canonical"), S.mention_weight(F.col("origin"), F.col("level_score")).alias("v"),
+        (F.col("origin") == "experience").alias("used"), level.alias("level"),
     )
-    zero = F.lit(0)
-    up = own.join(F.broadcast(star.parents(spark)), F.col("canonical") == F.col("child")).select("resume_id", F.col("parent").alias("canonical"), "v", "used", zero.alias("expert"), zero.cast("long").alias("n"), zero.cast("long").alias("q"))
-    return own.unionByName(up).groupBy("resume_id", "canonical").agg(F.max("v").alias("v"), F.max("used").alias("used"), F.max("expert").alias("expert"), F.sum("n").alias("n"), F.sum("q").alias("q"))
+    own = F.col("i") == 0
+    return rows.groupBy("resume_id", "canonical").agg(
+        F.max("v").alias("v"), F.bool_or("used").alias("used"), F.bool_or(own & (F.col("level") >= 4)).alias("area"), F.sum(own.cast("long")).alias("n"), F.sum((own & (F.col("level") == 5)).cast("long")).alias("q")
+    )
+
+
+def codes(spark: SparkSession, d: str) -> P.Codes:
+    """The dictionary: all brands and the parents that are none."""
+    return P.Codes(table(spark, d, "part").select(F.col("p_brand").alias("canonical")).unionByName(star.parents(spark).select(F.col("parent").alias("canonical"))))
+
 
+def required(spark: SparkSession, d: str) -> DataFrame:
+    """What jobs ask for; their domains are skills of brand 5."""
+    return S.demand_buckets(star.jd_mentions(spark, d)).withColumn("area", F.col("canonical").endswith("5"))
 
-def paired(spark: SparkSession, d: str) -> DataFrame:
-    """``(jd_id, resume_id, required, skills)``: each pair with both sides' vectors, null where a side has none."""
+
+def jobs(spark: SparkSession, d: str, c: P.Codes) -> DataFrame:
+    """A row for each job: nation, skills as bits."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("jd_id"), F.col("s_nationkey").alias("nation"))
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("resume_id"), F.col("c_nationkey").alias("nation"))
-    jobs = s.join(S.job_vectors(S.demand_buckets(star.jd_mentions(spark, d))), "jd_id", "left")
-    return jobs.join(c.join(S.candidate_vectors(features(spark, d)), "resume_id", "left"), "nation").drop("nation")
+    return s.join(P.job_masks(required(spark, d), c), "jd_id", "left")
+
+
+def candidates(spark: SparkSession, d: str, c: P.Codes) -> DataFrame:
+    """A row for each candidate: nation, skills as bits, bullets ``b`` and quantified ones ``q`` (null without any mention)."""
+    n = table(spark, d, "customer").select(F.col("c_custkey").alias("resume_id"), F.col("c_nationkey").alias("nation"))
+    return n.join(P.candidate_masks(features(spark, d), c, ("n", "q")).withColumnRenamed("n", "b"), "resume_id", "left")
+
+
+def masked(spark: SparkSession, d: str) -> tuple[DataFrame, P.Codes]:
+    """All pairs of a nation with both sides' bits, null where a side has none."""
+    c = codes(spark, d)
+    return jobs(spark, d, c).join(candidates(spark, d, c), "nation"), c
 
 
 def pair_coverage(spark: SparkSession, d: str, bucket: str) -> DataFrame:
-    p = paired(spark, d).select("jd_id", "resume_id", S.pair_counts(F.col("required"), F.col("skills"), S.coverage_counts(bucket)).alias("k")).where("k.n > 0")
-    return p.select("jd_id", "resume_id", "k.n", "k.n_matched", "k.n_weak", "k.n_missing", S.coverage_score(F.col("k.v"), F.col("k.n")).alias("score"))
+    p, c = masked(spark, d)
+    held = c.count(bucket, "held")
+    k = p.fillna(0).select("jd_id", "resume_id", c.size(bucket).alias("n"), c.count(bucket, "strong").alias("m"), held.alias("h"), c.strength(bucket).alias("v")).where("n > 0")
+    n = lambda x: x.cast("long")
+    return k.select("jd_id", "resume_id", n(F.col("n")).alias("n"), n(F.col("m")).alias("n_matched"), n(F.col("h") - F.col("m")).alias("n_weak"), n(F.col("n") - F.col("h")).alias("n_missing"), S.coverage_score(F.col("v"), F.col("n")).alias("score"))
 
 
 @query(sql("mentions", "own") + "SELECT resume_id, canonical, v AS strength FROM own")
@@ -104,9 +128,9 @@ def nice_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql(*MATCH) + "SELECT jd_id, resume_id, canonical FROM matches WHERE state='missing' AND bucket='must'")
 def missing_skills(spark: SparkSession, d: str) -> DataFrame:
-    held = lambda x: F.coalesce(F.map_contains_key("skills", x["canonical"]), F.lit(False))
-    gaps = F.filter("required", lambda x: (x["bucket"] == "must") & ~held(x))
-    return paired(spark, d).select("jd_id", "resume_id", F.explode(F.transform(gaps, lambda x: x["canonical"])).alias("canonical"))
+    p, c = masked(spark, d)
+    gaps = {w: F.col(f"must{w}").bitwiseAND(F.bitwise_not(F.col(f"held{w}"))) for w in range(c.words)}
+    return c.named(p.fillna(0).select("jd_id", "resume_id", F.explode(c.listed(gaps)).alias("code"))).select("jd_id", "resume_id", "canonical")
 
 
 @query(sql(*MATCH) + "SELECT jd_id, resume_id, canonical, v, CAST(row_number() OVER (PARTITION BY jd_id, resume_id ORDER BY CASE bucket WHEN 'must' THEN 0 ELSE 1 END, pos, canonical) AS INTEGER) AS rank FROM matches WHERE v>0")
@@ -117,10 +141,15 @@ def matched_skills(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql(*MATCH) + "SELECT p.jd_id, p.resume_id, s.canonical, s.v, CAST(row_number() OVER (PARTITION BY p.jd_id, p.resume_id ORDER BY s.v DESC, s.canonical) AS INTEGER) AS pos FROM pairs p JOIN strength s USING (resume_id) WHERE NOT EXISTS (SELECT 1 FROM required r WHERE r.jd_id=p.jd_id AND r.canonical=s.canonical)")
 def extra_skills(spark: SparkSession, d: str) -> DataFrame:
-    asked = F.transform(F.coalesce("required", F.array().cast("array<struct<canonical:string,bucket:string,pos:bigint>>")), lambda x: x["canonical"])
-    extra = F.transform(F.map_entries("skills"), lambda e: F.struct((-e["value"]["v"]).alias("o"), e["key"].alias("canonical")))
-    rows = paired(spark, d).select("jd_id", "resume_id", F.posexplode(F.array_sort(F.filter(extra, lambda x: ~F.array_contains(asked, x["canonical"])))).alias("i", "x"))
-    return rows.select("jd_id", "resume_id", "x.canonical", (-F.col("x.o")).alias("v"), (F.col("i") + 1).alias("pos"))
+    c = codes(spark, d)
+    # A candidate's skills in order, once; a pair leaves out what the job asks for.
+    held = P.listed_skills(features(spark, d), c)
+    n = table(spark, d, "customer").select(F.col("c_custkey").alias("resume_id"), F.col("c_nationkey").alias("nation")).join(held, "resume_id")
+    p = jobs(spark, d, c).fillna(0).join(n, "nation")
+    asked = F.array(*c.columns("all"))
+    extra = F.filter("skills", lambda x: F.getbit(F.get(asked, F.floor(x["code"] / 64).cast("int")), x["code"] % 64) == 0)
+    rows = p.select("jd_id", "resume_id", F.posexplode(extra).alias("i", "x"))
+    return c.named(rows.select("jd_id", "resume_id", "x.code", (-F.col("x.o")).alias("v"), (F.col("i") + 1).alias("pos"))).select("jd_id", "resume_id", "canonical", "v", "pos")
 
 
 @query(sql(*MATCH) + "SELECT state, bucket, count(*) AS n, CAST(sum(v) AS BIGINT) AS v FROM matches GROUP BY 1,2")
@@ -207,17 +236,10 @@ _DOM = """SELECT p.jd_id, p.resume_id, count(*) AS n, count(r.domain) AS n_match
  FROM pairs p JOIN jdd j USING (jd_id) LEFT JOIN resd r ON r.resume_id=p.resume_id AND r.domain=j.domain LEFT JOIN (SELECT DISTINCT resume_id FROM resd) h ON h.resume_id=p.resume_id GROUP BY 1,2"""
 
 
-#: A job's domains are its skills of brand 5; a candidate has those that it masters.
-DOMAIN_COUNTS = {"n": lambda x, s: x["canonical"].endswith("5"), "n_matched": lambda x, s: x["canonical"].endswith("5") & (F.coalesce(s["expert"], F.lit(0)) == 1)}
-
-
-def any_expert(skills):
-    return F.coalesce(F.exists(F.map_values(skills), lambda s: s["expert"] == 1), F.lit(False))
-
-
 def domains(spark: SparkSession, d: str) -> DataFrame:
-    p = paired(spark, d).select("jd_id", "resume_id", "skills", S.pair_counts(F.col("required"), F.col("skills"), DOMAIN_COUNTS).alias("k")).where("k.n > 0")
-    return p.select("jd_id", "resume_id", "k.n", "k.n_matched", S.domain_score(F.col("k.n"), F.col("k.n_matched"), any_expert(F.col("skills"))).alias("score"))
+    p, c = masked(spark, d)
+    k = p.fillna(0).select("jd_id", "resume_id", c.size("area").cast("long").alias("n"), c.count("area", "has").cast("long").alias("n_matched"), F.coalesce("any_area", F.lit(False)).alias("any")).where("n > 0")
+    return k.select("jd_id", "resume_id", "n", "n_matched", S.domain_score(F.col("n"), F.col("n_matched"), F.col("any")).alias("score"))
 
 
 @query(sql("mentions", "jdm", "pairs") + _DOMAINS + _DOM)
@@ -233,17 +255,10 @@ proj AS (SELECT p.jd_id, p.resume_id, """ + _r1("((CASE WHEN count(r.canonical)>
 """
 
 
-PROJECT_COUNTS = {"p_n": lambda x, s: F.lit(1), "p_h": lambda x, s: F.coalesce(s["used"], F.lit(0))}
-
-
-def bullets(skills, name: str):
-    """A candidate's sum of a feature over its skills."""
-    return F.aggregate(F.map_values(skills), F.lit(0).cast("long"), lambda a, s: a + s[name])
-
-
 def projects(spark: SparkSession, d: str) -> DataFrame:
-    p = paired(spark, d).where("skills is not null").select("jd_id", "resume_id", "skills", S.pair_counts(F.col("required"), F.col("skills"), PROJECT_COUNTS).alias("k"))
-    return p.select("jd_id", "resume_id", S.project_score(F.col("k.p_n"), F.col("k.p_h"), bullets(F.col("skills"), "n"), bullets(F.col("skills"), "q")).alias("score"))
+    p, c = masked(spark, d)
+    k = p.where("b is not null").fillna(0).select("jd_id", "resume_id", c.size("all").alias("n"), c.count("all", "used").alias("h"), "b", "q")
+    return k.select("jd_id", "resume_id", S.project_score(F.col("n"), F.col("h"), F.col("b"), F.col("q")).alias("score"))
 
 
 @query(sql("mentions", "parents", "jdm", "required", "pairs") + _PROJ + "SELECT * FROM proj")
@@ -251,29 +266,17 @@ def project_score(spark: SparkSession, d: str) -> DataFrame:
     return projects(spark, d)
 
 
-def dimensions(spark: SparkSession, d: str) -> DataFrame:
-    """``(jd_id, resume_id, key, score, applicable)``: all six dimensions of all pairs, one row each.
+def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, P.Codes]:
+    """(jobs, candidates, codes) with all that the six dimensions look at."""
+    c = codes(spark, d)
+    people = candidates(spark, d, c).join(have_years(spark, d), "resume_id", "left").join(levels(spark, d), "resume_id", "left")
+    return jobs(spark, d, c).join(needs(spark, d), "jd_id"), people, c
 
-    Each side becomes one row per candidate or job first; a pair is then one join and one pass over its requirements.
-    """
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("jd_id"), F.col("s_nationkey").alias("nation"))
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("resume_id"), F.col("c_nationkey").alias("nation"))
-    jobs = s.join(S.job_vectors(S.demand_buckets(star.jd_mentions(spark, d))), "jd_id", "left").join(needs(spark, d), "jd_id")
-    vectors = S.candidate_vectors(features(spark, d)).select("resume_id", "skills", bullets(F.col("skills"), "n").alias("b"), bullets(F.col("skills"), "q").alias("q"), any_expert(F.col("skills")).alias("any"))
-    candidates = c.join(vectors, "resume_id", "left").join(have_years(spark, d), "resume_id", "left").join(levels(spark, d), "resume_id")
-    must, nice = S.coverage_counts("must", "m_"), S.coverage_counts("nice", "o_")
-    counts = {k: f for k, f in (must | nice).items() if k in ("m_n", "m_v", "o_n", "o_v")} | DOMAIN_COUNTS | PROJECT_COUNTS
-    p = jobs.join(candidates, "nation").withColumn("k", S.pair_counts(F.col("required"), F.col("skills"), counts))
-    k = lambda n: F.col(f"k.{n}")
-    wide = p.select(
-        "jd_id", "resume_id",
-        S.coverage_score(k("m_v"), k("m_n")).alias("must_have"), S.coverage_score(k("o_v"), k("o_n")).alias("nice_to_have"),
-        S.experience_score(F.col("need"), F.coalesce("have", F.lit(0.0))).alias("experience"), S.education_score(F.col("need_level"), F.col("have_level")).alias("education"),
-        S.domain_score(k("n"), k("n_matched"), F.coalesce("any", F.lit(False))).alias("domain"),
-        F.when(F.col("b").isNotNull(), S.project_score(k("p_n"), k("p_h"), F.col("b"), F.col("q"))).alias("project"),
-    )
-    long = wide.unpivot(["jd_id", "resume_id"], S.DIMENSIONS, "key", "score")
-    return long.select("jd_id", "resume_id", "key", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("score").isNotNull().alias("applicable"))
+
+def dimensions(spark: SparkSession, d: str) -> DataFrame:
+    """``(jd_id, resume_id, *dimensions)``: all six dimensions of all pairs, null where one isn't applicable."""
+    j, r, c = sides(spark, d)
+    return P.all_pairs(j, r, "nation", c)
 
 
 _DIMS = _YEARS + _NEEDS + _DOMAINS + ", dom AS (" + _DOM + ")" + _PROJ + f""", dims AS (
@@ -295,17 +298,20 @@ _ALL = ("mentions", "own", "parents", "strength", "jdm", "required", "pairs", "m
 
 @query(sql(*_ALL) + _DIMS + "SELECT jd_id, resume_id, key, score, applicable, weight FROM norm")
 def weight_renorm(spark: SparkSession, d: str) -> DataFrame:
-    return S.weighted(S.normalize_weights(dimensions(spark, d))).select("jd_id", "resume_id", "key", "score", "applicable", "weight")
+    w = S.wide_weights(dimensions(spark, d))
+    rows = F.array(*[F.struct(F.lit(k).alias("key"), F.coalesce(k, F.lit(0.0)).alias("score"), F.col(k).isNotNull().alias("applicable"), F.col(f"w_{k}").alias("weight")) for k in S.DIMENSIONS])
+    return w.select("jd_id", "resume_id", F.inline(rows))
 
 
 @query(sql(*_ALL) + _DIMS + "SELECT jd_id, resume_id, overall, assessable, verdict, rank FROM ranked")
 def overall_rank(spark: SparkSession, d: str) -> DataFrame:
-    return S.rank(S.recompute(dimensions(spark, d))).select("jd_id", "resume_id", "overall", "assessable", "verdict", "rank")
+    return S.rank(S.overall_of(dimensions(spark, d))).select("jd_id", "resume_id", "overall", "assessable", "verdict", "rank")
 
 
 @query(sql(*_ALL) + _DIMS + "SELECT jd_id, resume_id, overall, verdict, rank FROM ranked WHERE rank<=5")
 def batch_topk(spark: SparkSession, d: str) -> DataFrame:
-    return S.rank(S.recompute(dimensions(spark, d)), 5).select("jd_id", "resume_id", "overall", "verdict", "rank")
+    j, r, c = sides(spark, d)
+    return P.best(shared.stored(j, "jobs"), shared.stored(r, "candidates"), "nation", c, 5).select("jd_id", "resume_id", "overall", "verdict", "rank")
 
 
 _CUSTOM = [("must_have", "0.5"), ("nice_to_have", "0"), ("experience", "-1"), ("education", "oops"), ("project", "0.3")]
@@ -313,8 +319,16 @@ _CUSTOM = [("must_have", "0.5"), ("nice_to_have", "0"), ("experience", "-1"), ("
 
 @query(sql(*_ALL) + _DIMS.replace("('must_have',0.35::DOUBLE),('nice_to_have',0.12),('experience',0.18),('education',0.12),('domain',0.13),('project',0.10)", "('must_have',0.5::DOUBLE),('nice_to_have',0),('experience',0),('education',0.12),('domain',0.13),('project',0.3)").replace("ELSE 0 END AS weight FROM dims", "ELSE 0 END AS weight FROM dims") + "SELECT jd_id, resume_id, overall, verdict FROM ranked")
 def recompute_weights(spark: SparkSession, d: str) -> DataFrame:
-    w = spark.createDataFrame(_CUSTOM, "key string, weight string")
-    return S.recompute(dimensions(spark, d), w).select("jd_id", "resume_id", "overall", "verdict")
+    """Other weights over the stored scores; nothing but that table is read once it is there."""
+    return S.overall_of(stored_scores(spark, d).read(), dict(_CUSTOM)).select("jd_id", "resume_id", "overall", "verdict")
+
+
+def stored_scores(spark: SparkSession, d: str) -> ScoreStore:
+    """The application's table of the pairs' dimension scores, written at the first call."""
+    store = ScoreStore(spark, f"{shared.folder(spark)}/{shared.name_for(d)}-scores", 16)
+    if not store.exists():
+        store.save(dimensions(spark, d))
+    return store
 
 
 @query(sql("mentions") + """SELECT resume_id, canonical, origin||':'||canonical||':'||coalesce(CAST(level_score AS VARCHAR),'') AS evidence, pos FROM (
