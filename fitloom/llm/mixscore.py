@@ -15,11 +15,13 @@ with the languages, so they reach over words; their counts are of occurrences.
 bits have the contexts of that language with 1, 2, 3 and 4 earlier bytes, and of 6 earlier
 bytes; they learn from every distinct training word.
 
-Learning is online: each task goes through its training texts once, predicts a step of
-tokens from what it has counted so far, moves the weights along the error's gradient
-(AdaGrad; in every step at first, in every ``THIN``-th once ``SETTLED`` bits are seen), and
-adds the step's bits to the counts.  Counts and maps of all tasks are summed,
-weights averaged by the bits that they have seen, in rounds of ``TREE`` partial sums.  To
+Learning is online: each shard of the training texts is gone through once; a step of tokens
+is predicted from what has been counted so far, weights move along the error's gradient
+(AdaGrad), and the step's bits are added to the counts.  Counts and maps of all shards are
+summed, weights averaged by the bits that they have seen, in rounds of ``TREE`` partial sums.
+A text's shard and its place there follow from a hash of its id and text, and the number of
+shards from the number of tokens, so that scores are the same however the input is
+partitioned; the number grows with the root of the input, as each shard hands on a table.  To
 learn what a rare word looks like, a training word's own occurrence is left out: words that
 occur once are learned as new ones.  Scoring holds the sums fixed, so that it doesn't depend
 on the order of texts.
@@ -42,6 +44,7 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import batched, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -61,8 +64,8 @@ FIRST_STEP, STEP, SPELL = 256, 8192, 24_000
 #: Entries that a task counts before it hands them on; slots of a piece of a table; partial sums added at once.
 FLUSH, PIECE, TREE = 400_000, 1 << 15, 32
 SUPPORT, BUCKETS, RATE, LOGIT = 5, 33, 0.06, np.float32(10)
-#: Bits after which weights and map learn from every THIN-th step only; counts always take all.
-SETTLED, THIN = 1_500_000, 8
+#: There are as many shards as the root of the tokens (words, for spellings) over these.
+SHARD_TOKENS, SHARD_WORDS = 150_000, 50_000
 #: Scores travel as whole millionths of a decimal digit and base terms as billionths, so that sums don't depend on their order.
 UNIT, FINE = 1_000_000, 1_000_000_000
 #: Weights are summed as whole numbers too.
@@ -136,7 +139,7 @@ class Learner:
         self.w = [np.full((k, SUPPORT * SUPPORT), 0.3), np.zeros((k, layout.sides))]
         self.sq = [np.full(w.shape, 1.0) for w in self.w]
         self.map = [np.zeros(layout.sides * BUCKETS), np.zeros(layout.sides * BUCKETS)]  # ones, all
-        self.seen = self.steps = 0
+        self.seen = 0
 
     def predict(self, slots: list[np.ndarray], side: np.ndarray) -> tuple:
         """Inputs, gates and the mixed logit of each bit."""
@@ -151,10 +154,9 @@ class Learner:
             z += v * (a[m][gate] + b[m][side])
         return x, gate, np.clip(z, -11, 11, out=z)
 
-    def learn(self, bit: np.ndarray, slots: list[np.ndarray], side: np.ndarray) -> np.ndarray | None:
-        """Predict the bits, move the weights, count; the probabilities of a one before the map (None in a step that only counts)."""
-        self.steps += 1
-        p = self.move(bit, slots, side) if self.seen < SETTLED or self.steps % THIN == 0 else None
+    def learn(self, bit: np.ndarray, slots: list[np.ndarray], side: np.ndarray) -> np.ndarray:
+        """Predict the bits, move the weights, count; the probabilities of a one before the map."""
+        p = self.move(bit, slots, side)
         for s in slots:
             np.add.at(self.counts, 2 * s + bit, np.float32(1))
         self.seen += len(bit)
@@ -256,21 +258,41 @@ def add_pieces(parts: DataFrame, tasks: int) -> Iterator[tuple[int, np.ndarray]]
         yield r["piece"], unpacked(r["data"]) if r["piece"] >= 0 else np.frombuffer(r["data"], np.int64)
 
 
-def learned(rows: DataFrame, layout: Layout, feed: Callable[[Learner, Iterator[pa.RecordBatch]], None]) -> Mixer:
-    """The mixer that all tasks over ``rows`` learn together."""
+def sharded(rows: DataFrame, what: str, by: list[str], shards: int) -> DataFrame:
+    """``(what, shard)``: rows dealt to shards by a hash of ``by``, each shard in one partition and in the order of that hash."""
+    spark = rows.sparkSession
+    # For each shard a number that Spark deals to a partition of its own.
+    dealt = spark.range(32 * shards).select(F.pmod(F.hash("id"), F.lit(shards)).alias("p"), "id").groupBy("p").agg(F.min("id").alias("id"))
+    keys = {r["p"]: r["id"] for r in dealt.collect()}
+    numbers = F.array(*[F.lit(keys.get(i, i)).cast("long") for i in range(shards)])
+    h = F.xxhash64(*by)
+    r = rows.select(what, h.alias("h")).withColumn("shard", F.pmod(F.col("h"), F.lit(shards)).cast("int")).withColumn("key", F.get(numbers, F.col("shard")))
+    return r.repartition(shards, "key").sortWithinPartitions("shard", "h").select(what, "shard")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        learner, task = Learner(layout), TaskContext.get().partitionId()
-        feed(learner, batches)
-        for piece, data in learner.pieces():
-            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([piece], pa.int32()), pa.array([data], pa.binary())], names=["task", "piece", "data"])
-        del learner
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for b in batches:
+        shard = b.column(1).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if y > x:
+                yield int(shard[x]), b.slice(x, y - x)
+
+
+def learned(rows: DataFrame, shards: int, layout: Layout, feed: Callable[[Learner, Iterator[pa.RecordBatch]], None]) -> Mixer:
+    """The mixer that all shards of ``rows(what, shard)`` learn together, each from the beginning."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, parts in groupby(by_shard(batches), key=lambda x: x[0]):
+            learner = Learner(layout)
+            feed(learner, (b for _, b in parts))
+            for piece, data in learner.pieces():
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([piece], pa.int32()), pa.array([data], pa.binary())], names=["task", "piece", "data"])
+            del learner
         release()
 
     counts, tail = np.zeros(2 * layout.offsets[-1], np.float32), None
-    for piece, data in add_pieces(rows.mapInArrow(run, "task int, piece int, data binary"), rows.rdd.getNumPartitions()):
+    for piece, data in add_pieces(rows.mapInArrow(run, "task int, piece int, data binary"), shards):
         if piece < 0:
             tail = data
         else:
@@ -698,11 +720,14 @@ def score(docs: DataFrame) -> DataFrame:
         learn_codes(learner, Reader(shared.value), (tokens(t) for b in batches for t in b.column(0).to_pylist()))
 
     def feed_words(learner: Learner, batches: Iterator[pa.RecordBatch]) -> None:
-        for b in batches:
-            learn_spelling(learner, b.column(0).to_pylist(), guess)
-
-    codes = spark.sparkContext.broadcast(learned(tagged.where("train").select("text"), head.layout, feed_texts))
-    speller = spark.sparkContext.broadcast(learned(vocab.where("c > 0").select("word"), spell_layout(types), feed_words))
+        for some in batched((w for b in batches for w in b.column(0).to_pylist()), 10_000):
+            learn_spelling(learner, list(some), guess)
+
+    shards = lambda n, each: max(1, math.isqrt(n // each))
+    n = shards(total, SHARD_TOKENS)
+    codes = spark.sparkContext.broadcast(learned(sharded(tagged.where("train"), "text", ["doc_id", "text"], n), n, head.layout, feed_texts))
+    n = shards(types, SHARD_WORDS)
+    speller = spark.sparkContext.broadcast(learned(sharded(vocab.where("c > 0"), "word", ["word"], n), n, spell_layout(types), feed_words))
 
     def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

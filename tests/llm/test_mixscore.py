@@ -193,6 +193,20 @@ def test_spelling_is_a_probability():
     assert (first > 0).all() and first.sum() < 1 and (10 ** -mixscore.spell_costs(m, stems, guess)).sum() < 1
 
 
+def test_partitions_do_not_matter(spark, monkeypatch):
+    """Several shards: the same scores from 3 and from 7 partitions, with other batches and another order."""
+    monkeypatch.setattr(mixscore, "SHARD_TOKENS", 20_000)
+    monkeypatch.setattr(mixscore, "SHARD_WORDS", 500)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    scores = []
+    for n, batch in ((3, 10_000), (7, 37)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        rows = mixscore.score(docs.repartition(n, "n_chars")).select("doc_id", "score").collect()
+        scores.append(sorted(map(tuple, rows)))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert scores[0] == scores[1]
+
+
 @pytest.mark.parametrize(("sf", "least"), [("sf0.01", 0.05), ("sf0.1", 0.3)])
 def test_held_out_gain(spark, sf, least):
     docs = table(spark, "/root/testdata/" + sf, "documents")
