@@ -7,10 +7,12 @@ broadcasts them while they are small.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,14 +26,15 @@ MOST_ALIASES, MOST_HEADS = 500_000, 20_000
 #: Characters up to which a line's places are reached by walking.
 SHORT = 600
 CJK = r"[一-鿿]"
+ORDER = "struct<n:int,ord:bigint,alias:string>"
 
 
 def compile_aliases(dim_alias: DataFrame) -> DataFrame:
-    """Lower-cased aliases with length, script and compile order (longest first, then the dictionary's order)."""
+    """Lower-cased aliases with length, script and what orders them (longest first, then the dictionary's order)."""
     a = dim_alias.select(F.lower(F.trim("alias")).alias("alias"), "canonical", "ord").where(F.length("alias") > 0)
-    first = Window.partitionBy("alias").orderBy("ord", "canonical")
-    a = a.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return a.withColumns({"len": F.length("alias"), "is_cjk": F.col("alias").rlike(CJK)}).withColumn("compile_ord", F.row_number().over(Window.orderBy(F.desc("len"), "ord", "alias")))
+    a = a.groupBy("alias").agg(F.min(F.struct("ord", "canonical")).alias("_m")).select("alias", "_m.canonical", "_m.ord")
+    order = F.struct((-F.length("alias")).alias("n"), F.col("ord").cast("long").alias("ord"), F.col("alias"))
+    return a.withColumns({"len": F.length("alias"), "is_cjk": F.col("alias").rlike(CJK), "compile_ord": order})
 
 
 def canonical_of(df: DataFrame, column: str, dim_alias: DataFrame) -> DataFrame:
@@ -113,7 +116,7 @@ def candidates(lines: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFra
         at = lines.where(F.length("line") >= size).select(*keys, F.explode(places(size, heads, longest)).alias("x")).select(*keys, "x.*")
         found.append(at.join(F.broadcast(own) if len(heads) <= MOST_HEADS else own, "_k"))
     if not found:
-        return lines.where("false").select(*keys, F.lit("").alias("canonical"), F.lit(0).alias("compile_ord"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("raw"))
+        return lines.where("false").select(*keys, F.lit("").alias("canonical"), F.lit(None).cast(ORDER).alias("compile_ord"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("raw"))
     hit = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     raw = F.substr("piece", F.lit(1), F.col("len"))
     ok = (F.lower(raw) == F.col("alias")) & boundary_ok(F.col("left"), F.substr("piece", F.col("len") + 1, F.lit(1)), F.col("is_cjk"))
@@ -132,7 +135,7 @@ def resolve(found: DataFrame, keys: list[str]) -> DataFrame:
     ranked = islands.groupBy(*keys, "_i").agg(F.array_sort(F.collect_list(F.struct("compile_ord", "s", "e", "canonical", "raw"))).alias("c"))
     kept = F.aggregate(
         "c",
-        F.array().cast("array<struct<compile_ord:int,s:int,e:int,canonical:string,raw:string>>"),
+        F.array().cast(f"array<struct<compile_ord:{ORDER},s:int,e:int,canonical:string,raw:string>>"),
         lambda acc, x: F.when(F.exists(acc, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])), acc).otherwise(F.concat(acc, F.array(x))),
     )
     return ranked.select(*keys, F.explode(kept).alias("k")).select(*keys, "k.canonical", "k.s", "k.e", "k.raw")
@@ -144,27 +147,31 @@ def scan_native(lines: DataFrame, dim_alias: DataFrame, keys: list[str]) -> Data
 
 
 class Matcher:
-    """The dictionary compiled for one worker: aliases by first character, longest first."""
-
-    def __init__(self, aliases: list[tuple[str, str, bool, int]]):
-        self.by: dict[str, dict[int, dict[str, tuple[str, bool, int]]]] = {}
-        for alias, canonical, is_cjk, order in aliases:
-            self.by.setdefault(alias[0], {}).setdefault(len(alias), {})[alias] = (canonical, is_cjk, order)
-
-    def scan(self, line: str) -> list[tuple[int, int, str]]:
-        low = line.lower()
-        if len(low) != len(line):  # a few letters change length when lowered
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in line)
+    """The dictionary compiled for one worker: an Aho-Corasick automaton over all aliases, one pass over a text whatever their number and length."""
+
+    def __init__(self, aliases: list[tuple[str, str, bool]]):
+        """``aliases``: (alias, name, whether in Chinese), in the order of precedence."""
+        self.automaton = ahocorasick.Automaton()
+        for order, (alias, canonical, is_cjk) in enumerate(aliases):
+            self.automaton.add_word(alias, (order, len(alias), canonical, is_cjk))
+        if aliases:
+            self.automaton.make_automaton()
+
+    def scan(self, text: str) -> list[tuple[int, int, str]]:
+        """(start, end, name) of a text's mentions: longer aliases first, then from the left, none overlapping."""
+        if not len(self.automaton):
+            return []
+        low = text.lower()
+        if len(low) != len(text):  # a few letters change length when lowered
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         found = []
-        for i, c in enumerate(low):
-            for n, names in self.by.get(c, {}).items():
-                hit = names.get(low[i : i + n])
-                if hit is None:
-                    continue
-                canonical, is_cjk, order = hit
-                if is_cjk or not ((i and line[i - 1] in LEFT) or (i + n < len(line) and line[i + n] in RIGHT)):
-                    found.append((order, i, i + n, canonical))
-        taken, out = bytearray(len(line)), []
+        for last, (order, n, canonical, is_cjk) in self.automaton.iter(low):
+            s, e = last + 1 - n, last + 1
+            if is_cjk or not ((s and text[s - 1] in LEFT) or (e < len(text) and text[e] in RIGHT)):
+                found.append((order, s, e, canonical))
+        if len(found) < 2:
+            return [x[1:] for x in found]
+        taken, out = bytearray(len(text)), []
         for _, s, e, canonical in sorted(found):
             if not any(taken[s:e]):
                 taken[s:e] = b"\x01" * (e - s)
@@ -172,12 +179,27 @@ class Matcher:
         return sorted(out)
 
 
-def compiled(dim_alias: DataFrame) -> list[tuple]:
-    """The dictionary for ``Matcher``; a larger one than a task may hold is an error, ``scan_native`` has no such bound."""
-    rows = compile_aliases(dim_alias).select("alias", "canonical", "is_cjk", "compile_ord").limit(MOST_ALIASES + 1).collect()
-    if len(rows) > MOST_ALIASES:
-        raise ValueError("the dictionary is too large for a task; use scan_native")
-    return [tuple(r) for r in rows]
+#: The automata of the last dictionaries that this worker met.
+_MATCHERS: dict[str, Matcher] = {}
+
+
+class Compiled:
+    """A dictionary on its way to the workers: broadcast once (``MOST_ALIASES`` bound it), built once by each worker and not by each task."""
+
+    def __init__(self, dim_alias: DataFrame):
+        rows = compile_aliases(dim_alias).select("compile_ord", "alias", "canonical", "is_cjk").limit(MOST_ALIASES + 1).collect()
+        if len(rows) > MOST_ALIASES:
+            raise ValueError("the dictionary is too large for a task; use scan_native")
+        ordered = [tuple(r)[1:] for r in sorted(rows)]
+        self.key = hashlib.sha256(repr(ordered).encode()).hexdigest()
+        self.rows = dim_alias.sparkSession.sparkContext.broadcast(ordered)
+
+    def matcher(self) -> Matcher:
+        if self.key not in _MATCHERS:
+            while len(_MATCHERS) > 1:
+                _MATCHERS.pop(next(iter(_MATCHERS)))
+            _MATCHERS[self.key] = Matcher(self.rows.value)
+        return _MATCHERS[self.key]
 
 
 def scan(docs: DataFrame, dim_alias: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -187,7 +209,7 @@ def scan(docs: DataFrame, dim_alias: DataFrame, text: str = "text", keys: tuple[
 
 #: Characters kept on either side of a mention.
 AROUND = 40
-CLAUSE = re.compile(f"[{re.escape(V.CLAUSE_BORDER)}]")
+CLAUSE, NEWLINE = re.compile(f"[{re.escape(V.CLAUSE_BORDER)}]"), re.compile("\n")
 
 
 def scan_around(docs: DataFrame, dim_alias: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -195,24 +217,29 @@ def scan_around(docs: DataFrame, dim_alias: DataFrame, text: str = "text", keys:
 
     What later steps look at travels with the mention, so that none of them reads the text again.
     """
-    aliases, names = compiled(dim_alias), list(keys)
+    compiled, names = Compiled(dim_alias), list(keys)
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys) + ", canonical string, raw string, s int, e int, line_no int, clause string, around string, at int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Matcher(aliases)
+        m = compiled.matcher()
         for b in batches:
             at, rows = [], []
             for i, t in enumerate(b.column(len(names)).to_pylist()):
-                base, t = 0, t or ""
-                for line_no, line in enumerate(t.split("\n")):
-                    found = m.scan(line)
-                    borders = [-1, *(x.start() for x in CLAUSE.finditer(line)), len(line)] if found else []
-                    for s, e, canonical in found:
-                        left, right = borders[bisect_left(borders, s) - 1] + 1, borders[bisect_left(borders, e)]
-                        low = max(0, base + s - AROUND)
-                        at.append(i)
-                        rows.append((canonical, line[s:e], base + s, base + e, line_no, line[left:right].strip(), t[low : base + e + AROUND], low))
-                    base += len(line) + 1
+                found = m.scan(t or "")
+                if not found:
+                    continue
+                starts = [0, *(x.end() for x in NEWLINE.finditer(t))]
+                line_no, borders = -1, []
+                for s, e, canonical in found:
+                    now = bisect_right(starts, s) - 1
+                    if now != line_no:
+                        line_no, base = now, starts[now]
+                        line = t[base : starts[now + 1] - 1 if now + 1 < len(starts) else len(t)]
+                        borders = [-1, *(x.start() for x in CLAUSE.finditer(line)), len(line)]
+                    left, right = borders[bisect_left(borders, s - base) - 1] + 1, borders[bisect_left(borders, e - base)]
+                    low = max(0, s - AROUND)
+                    at.append(i)
+                    rows.append((canonical, t[s:e], s, e, line_no, line[left:right].strip(), t[low : e + AROUND], low))
             own = [b.column(k).take(pa.array(at, pa.int64())) for k in range(len(names))]
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32())
             cols = zip(*rows, strict=True) if rows else [()] * len(kinds)

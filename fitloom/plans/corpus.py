@@ -15,7 +15,7 @@ from fitloom.functions import dates as D
 from fitloom.functions import numeric as N
 from fitloom.functions import text as T
 from fitloom.operators import dictionary as DI
-from fitloom.operators import experience, merging, mentions, parsing, report
+from fitloom.operators import compilation, experience, merging, mentions, parsing, report
 from fitloom.operators import sections as SE
 from fitloom.plans.star import table, values
 from fitloom.sources import payloads, skills
@@ -342,8 +342,12 @@ _GOT = f"(CASE WHEN grad >= 2025 THEN {_TENTH} WHEN kind = 'work' THEN {_TENTH}
 _SCORES = f""", cover AS (SELECT jd_id, resume_id, {_tenths("sum(v) FILTER (WHERE bucket = 'must') / 1000.0::DOUBLE / count(*) FILTER (WHERE bucket = 'must') * 100")} AS must_have,
   {_tenths("sum(v) FILTER (WHERE bucket = 'nice') / 1000.0::DOUBLE / count(*) FILTER (WHERE bucket = 'nice') * 100")} AS nice_to_have,
   CAST(count(*) FILTER (WHERE bucket = 'must' AND v > 0) AS STRING) || '/' || CAST(count(*) FILTER (WHERE bucket = 'must') AS STRING) AS must_ratio,
+  count(*) FILTER (WHERE bucket = 'must' AND v = 0) AS n_missing, string_agg(canonical, '、' ORDER BY v < 800, pos) FILTER (WHERE bucket = 'must' AND v > 0) AS must_names,
+  string_agg(canonical, '、' ORDER BY v < 800, pos) FILTER (WHERE bucket = 'nice' AND v > 0) AS nice_names, string_agg('缺失硬性技能：' || canonical, '|' ORDER BY pos) FILTER (WHERE bucket = 'must' AND v = 0) AS gaps,
+  string_agg('仅见于低可信位置：' || canonical, '|' ORDER BY pos) FILTER (WHERE bucket = 'must' AND v BETWEEN 1 AND 799) AS doubts, string_agg(canonical, '、' ORDER BY pos) FILTER (WHERE bucket = 'must') AS wanted,
+  string_agg(canonical, '、' ORDER BY pos) FILTER (WHERE bucket = 'must' AND v = 0) AS lacking, list(canonical ORDER BY canonical) AS every,
   coalesce(string_agg(canonical, ',' ORDER BY pos) FILTER (WHERE bucket = 'must' AND v = 0), '') AS missing, coalesce(string_agg(canonical, ',' ORDER BY bucket, pos) FILTER (WHERE v > 0), '') AS matched FROM found GROUP BY 1, 2),
- got AS (SELECT p.*, {_GOT} AS y, c.must_have, c.nice_to_have, c.must_ratio, c.missing, c.matched FROM pairs p JOIN cover c USING (jd_id, resume_id)),
+ got AS (SELECT p.*, {_GOT} AS y, c.* EXCLUDE (jd_id, resume_id) FROM pairs p JOIN cover c USING (jd_id, resume_id)),
  wide AS (SELECT *, CASE WHEN y >= years THEN 100.0 WHEN y >= years * 0.5 THEN {_tenths("50 + (y - years * 0.5) / (years * 0.5) * 50")} ELSE {_tenths("y / (years * 0.5) * 50")} END AS experience,
   CASE WHEN have >= need THEN 100.0 WHEN have = need - 1 THEN 55.0 ELSE 20.0 END AS education, CASE WHEN nd = 1 THEN 55.0 END AS domain,
   {_tenths("(CASE WHEN j1 = r1 THEN 1.0::DOUBLE / (3 + nd) ELSE 0 END * 0.8 + 1.0::DOUBLE / CASE WHEN n2 = 2 THEN 3 ELSE 2 END * 0.2) * 100")} AS project FROM got)
@@ -363,11 +367,92 @@ _PART = lambda n, w: f"CAST(round(CAST(format('{{:.2f}}', coalesce({n}, 0) * CAS
 _OVERALL = _tenths("(" + " + ".join(_PART(n, w) for n, w in _WEIGHTS.items()) + ") / 100.0::DOUBLE")
 
 
-@query(WITH + ", " + _HELD + _SCORES + f", r AS (SELECT *, {_OVERALL} AS overall FROM wide) SELECT jd_id, resume_id, overall, CASE WHEN overall >= 85 THEN 'A' WHEN overall >= 70 THEN 'B' WHEN overall >= 55 THEN 'C' ELSE 'D' END AS verdict, must_ratio, matched AS matched_skills, missing AS missing_skills FROM r")
+_NAME = {1: "大专", 2: "本科", 3: "硕士", 4: "博士"}
+_LEVEL = lambda x: f"CASE {x} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _NAME.items()) + " END"
+#: What explains a pair: texts of several parts are joined by bars, parts that don't apply left out.
+_SAYS = {
+    "strengths": "concat_ws('|', CASE WHEN must_have >= 80 THEN '硬性技能覆盖度高：' || must_names END, CASE WHEN nice_to_have >= 80 THEN '加分项覆盖不错：' || nice_names END, CASE WHEN experience >= 80 THEN '经验年限达标' END, CASE WHEN education >= 80 THEN '学历达标' END)",
+    "risks": "concat_ws('|', CASE WHEN n_missing > 0 THEN '硬性技能缺口 ' || n_missing || ' 项' END, CASE WHEN experience < 70 THEN '经验年限不足' END, CASE WHEN education < 70 THEN '学历未达门槛' END, CASE WHEN nd = 1 THEN '行业方向不一致' END, CASE WHEN project < 60 THEN '经历与技术栈重合度不足' END)",
+    "advice": "concat_ws('|', CASE WHEN n_missing > 0 THEN '补充硬性技能的凭证：' || lacking END, CASE WHEN doubts IS NOT NULL THEN '把只在自我评价里出现的技能写进技能清单或经历' END, CASE WHEN nd = 1 THEN '在经历里写明业务场景：金融科技' END, '技能用词与岗位一致：' || wanted)",
+    "must_gaps": "concat_ws('|', gaps, doubts)",
+    "experience_gap": f"CASE WHEN experience < 100 THEN '经验年限差 ' || CAST({_tenths('years - y')} AS VARCHAR) || ' 年' ELSE '' END",
+    "experience_band": "CASE WHEN y >= years THEN '达标' WHEN y >= years * 0.5 THEN '接近' ELSE '差距大' END || CASE WHEN grad >= 2025 THEN '，校招口径' ELSE '，社招口径' END",
+    "education_gap": f"CASE WHEN have >= need THEN '' ELSE '要求' || {_LEVEL('need')} || '，简历' || {_LEVEL('have')} END",
+    "domain_missing": "CASE WHEN nd = 1 THEN '金融科技' ELSE '' END",
+    "project_overlap": "CASE WHEN j1 = r1 THEN j1 ELSE '' END",
+    "project_gap": "len(list_filter(every, lambda x: x <> j1 OR j1 <> r1)) || ' 项未在经历中使用：' || array_to_string(list_filter(every, lambda x: x <> j1 OR j1 <> r1), '、')",
+}
+
+
+@query(WITH + ", " + _HELD + _SCORES + f", r AS (SELECT *, {_OVERALL} AS overall FROM wide) SELECT jd_id, resume_id, overall, CASE WHEN overall >= 85 THEN 'A' WHEN overall >= 70 THEN 'B' WHEN overall >= 55 THEN 'C' ELSE 'D' END AS verdict, must_ratio, matched AS matched_skills, missing AS missing_skills, " + ", ".join(f"{x} AS {n}" for n, x in _SAYS.items()) + " FROM r")
 def match_report(spark: SparkSession, d: str) -> DataFrame:
     pairs, jd, cv, dims = parsed(spark, d)
     m = report.match(pairs, jd, cv, dims[2])
-    return m.select("jd_id", "resume_id", "overall", "verdict", "must_ratio", F.array_join("matched_skills", ",").alias("matched_skills"), F.array_join("missing_skills", ",").alias("missing_skills"))
+    of = lambda i, part: F.array_join(F.get("dimensions", F.lit(i))[part], "|")
+    return m.select(
+        "jd_id", "resume_id", "overall", "verdict", "must_ratio", F.array_join("matched_skills", ",").alias("matched_skills"), F.array_join("missing_skills", ",").alias("missing_skills"),
+        *[F.array_join(c, "|").alias(c) for c in ("strengths", "risks", "advice")], of(0, "gaps").alias("must_gaps"), of(2, "gaps").alias("experience_gap"), F.get("dimensions", F.lit(2))["band"].alias("experience_band"),
+        of(3, "gaps").alias("education_gap"), of(4, "missing").alias("domain_missing"), of(5, "matched").alias("project_overlap"), of(5, "gaps").alias("project_gap"),
+    )
+
+
+def _asks(kind: str, texts: tuple[str, ...], at: str) -> str:
+    return f"WHEN kind = '{kind}' THEN replace(CASE {at} % 2 WHEN 0 THEN '{texts[0]}' ELSE '{texts[1]}' END, '%s', skill)"
+
+
+@query(WITH + ", " + _HELD + f""", often AS (SELECT doc_id AS resume_id, canonical, count(*) AS hits, arg_min(clause, line_no) AS clause FROM said GROUP BY 1, 2),
+ must AS (SELECT f.*, coalesce(o.hits, 0) AS hits, o.clause FROM found f LEFT JOIN often o USING (resume_id, canonical) WHERE bucket = 'must'),
+ asked_in AS (SELECT doc_id AS jd_id, c1 AS canonical, '必须熟悉 ' || s1 || '，' || years || ' 年以上经验' AS text FROM jd UNION ALL SELECT doc_id, '金融科技', '熟悉金融科技' FROM jd WHERE nd = 1),
+ q AS (SELECT jd_id, resume_id, 'verify' AS kind, 0 AS k, canonical AS skill, clause AS anchor, hits, row_number() OVER (PARTITION BY jd_id, resume_id ORDER BY hits DESC, m.pos) - 1 AS n FROM must m WHERE v > 0
+  UNION ALL SELECT p.jd_id, p.resume_id, 'project', 1, '某某科技公司', '某某科技公司（' || c.y1 || '.03-' || (c.y1 + 2) || '.06）', CASE WHEN j1 = r1 THEN 1 ELSE 0 END, 0 FROM pairs p JOIN cv c ON c.doc_id = p.resume_id
+  UNION ALL SELECT jd_id, resume_id, 'project', 1, '另一家公司', '另一家公司（2022.07-至今）', 0, 1 FROM pairs WHERE n2 = 2
+  UNION ALL SELECT m.jd_id, resume_id, 'gap', 2, m.canonical, coalesce(a.text, ''), 0, row_number() OVER (PARTITION BY m.jd_id, resume_id ORDER BY m.pos) - 1 FROM must m LEFT JOIN asked_in a ON a.jd_id = m.jd_id AND a.canonical = m.canonical WHERE v = 0),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY jd_id, resume_id ORDER BY k, n) AS INTEGER) AS pos FROM q WHERE kind <> 'verify' OR n < 2)
+ SELECT jd_id, resume_id, pos, kind, skill, CASE {_asks('verify', report.VERIFY, 'n')} {_asks('project', report.PROJECT, 'n')} {_asks('gap', report.GAP, '(pos - 1)')} END AS question, anchor, hits FROM r WHERE pos <= 4""")
+def interview_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Four questions for each pair: the limit is the feature."""
+    pairs, jd, cv, _ = parsed(spark, d)
+    return report.questions(pairs, jd, cv, 4)
+
+
+# ---------------------------------------------------------------------------
+# Dictionaries
+# ---------------------------------------------------------------------------
+
+#: A dictionary made of the parts: names, aliases by type and container that several parts share, parents by key; every fiftieth ten of parts is a circle.
+_ENTRY = """p_partkey AS ord, 'Part ' || p_partkey AS canonical, p_brand AS category"""
+_OTHER = "CASE WHEN p_partkey % 10 < 9 THEN 'Part ' || (p_partkey + 1) WHEN (p_partkey - 9) % 500 = 0 THEN 'Part ' || (p_partkey - 9) END"
+
+
+def entries(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "part").selectExpr(*[x.strip() for x in _ENTRY.split(",")], "array(concat(' ', p_type, p_partkey % 7), p_name) AS aliases", f"array_compact(array({_OTHER})) AS parents", "p_partkey % 3 <> 0 AS auto_alias")
+    known = e.select(F.col("canonical").alias("known"))
+    # The last ten may lack some: parents that are no parts are left out.
+    up = e.select("canonical", F.explode("parents").alias("known")).join(known, "known").groupBy("canonical").agg(F.collect_list("known").alias("up"))
+    return e.join(up, "canonical", "left").withColumn("parents", F.coalesce("up", F.array().cast("array<string>"))).drop("up")
+
+
+_ALIAS_ROWS = f"""WITH e AS (SELECT {_ENTRY}, p_type, p_name, p_partkey FROM part), rows AS (
+ SELECT lower(trim(' ' || p_type || p_partkey % 7)) AS alias, canonical, ord, 0 AS pos, false AS auto FROM e UNION ALL SELECT lower(trim(p_name)), canonical, ord, 1, false FROM e
+ UNION ALL SELECT lower(canonical), canonical, ord, 2, true FROM e WHERE p_partkey % 3 <> 0)
+"""
+
+
+@query(_ALIAS_ROWS + """, r AS (SELECT alias, coalesce(arg_max(canonical, ord * 10 + pos) FILTER (WHERE NOT auto), arg_min(canonical, ord * 10 + pos)) AS l, arg_min(canonical, ord * 10 + pos) AS s, count(DISTINCT canonical) AS n FROM rows GROUP BY 1)
+ SELECT DISTINCT alias, canonical, canonical = l AS looked_up, canonical = s AS scanned FROM rows JOIN r USING (alias) WHERE n > 1""")
+def alias_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return compilation.conflicts(entries(spark, d))
+
+
+@query("SELECT 'Part ' || p_partkey AS name, CAST(min('Part ' || p_partkey) OVER (PARTITION BY p_partkey // 10) AS VARCHAR) AS cycle FROM part WHERE p_partkey // 10 % 50 = 0 AND p_partkey // 10 * 10 + 9 <= (SELECT max(p_partkey) FROM part) AND p_partkey >= 10")
+def dictionary_cycles(spark: SparkSession, d: str) -> DataFrame:
+    return compilation.cycles(compilation.edges(entries(spark, d)))
+
+
+@query(_ALIAS_ROWS + """, once AS (SELECT canonical, alias, min(pos) AS pos FROM rows GROUP BY 1, 2)
+ SELECT e.canonical, e.category, string_agg(alias, '|' ORDER BY o.pos) AS aliases, CAST(count(*) AS INTEGER) AS alias_count FROM e JOIN once o USING (canonical) GROUP BY 1, 2""")
+def dictionary_inventory(spark: SparkSession, d: str) -> DataFrame:
+    return compilation.inventory(entries(spark, d)).select("canonical", "category", F.array_join("aliases", "|").alias("aliases"), "alias_count")
 
 
 # ---------------------------------------------------------------------------

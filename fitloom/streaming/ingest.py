@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fitloom.sources import store
+from fitloom.sources import metrics, store
 
 INPUT = "text string, name string, source string, uploaded_at timestamp"
 
@@ -17,7 +17,12 @@ def stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def accepted(records: DataFrame, late: str = "1 day") -> DataFrame:
-    """Acceptable records, each text once within the watermark; works on streams and on tables."""
+    """Acceptable records, each text once within the watermark; works on streams and on tables.
+
+    On a stream the counters of ``metrics`` are observed as "ingest", for a ``metrics.RunMetrics`` listener.
+    """
+    if records.isStreaming:
+        records = store.judged(records).observe("ingest", *metrics.counters()).drop("reason")
     ok, _ = store.accept(records)
     if ok.isStreaming:
         return ok.withWatermark("uploaded_at", late).dropDuplicatesWithinWatermark(["id"])
