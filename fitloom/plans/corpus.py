@@ -444,7 +444,7 @@ def alias_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return compilation.conflicts(entries(spark, d))
 
 
-@query("SELECT 'Part ' || p_partkey AS name, CAST(min('Part ' || p_partkey) OVER (PARTITION BY p_partkey // 10) AS VARCHAR) AS cycle FROM part WHERE p_partkey // 10 % 50 = 0 AND p_partkey // 10 * 10 + 9 <= (SELECT max(p_partkey) FROM part) AND p_partkey >= 10")
+@query("SELECT 'Part ' || p_partkey AS name, CAST(min('Part ' || p_partkey) OVER (PARTITION BY p_partkey // 10) AS VARCHAR) AS cycle FROM part WHERE p_partkey // 10 % 50 = 0 AND p_partkey // 10 * 10 + 9 <= (SELECT max(p_partkey) FROM part)")
 def dictionary_cycles(spark: SparkSession, d: str) -> DataFrame:
     return compilation.cycles(compilation.edges(entries(spark, d)))
 
