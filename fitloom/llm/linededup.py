@@ -75,9 +75,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     packed = docs.select(F.xxhash64("text").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")).alias("d")
     r = removals(docs.select("doc_id", "text")).hint("shuffle_hash").alias("r")
     joined = packed.join(r, F.col("d.__row.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.__text") == F.col("r.digest")), "left")
-    kept = F.array_join(F.filter(F.split("d.__row.text", "\n"), lambda x, i: ~F.array_contains("r.gone", i)), "\n")
-    text = F.when(F.col("r.gone").isNull(), F.col("d.__row.text")).otherwise(kept)
-    out = joined.select(*[text.alias(c) if c == "text" else F.col(f"d.__row.`{c}`").alias(c) for c in docs.columns])
+    lines = F.when(F.col("r.gone").isNotNull(), F.split("d.__row.text", "\n"))
+    split = joined.select(F.col("d.__row").alias("__row"), lines.alias("__lines"), F.col("r.gone").alias("__gone"))
+    # The places that stay, by a hash set: looking for each line among those that go would take time with their product.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
+    kept = F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")
+    text = F.when(F.col("__gone").isNull(), F.col("__row.text")).otherwise(kept)
+    out = split.select(*[text.alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*[F.col(f"`{c}`") for c in docs.columns])
     return out

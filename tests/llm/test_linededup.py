@@ -1,6 +1,7 @@
 """Line dedup: brute force, merged overlaps, odd inputs."""
 
 import random
+import time
 
 from fitloom.llm import linededup
 
@@ -42,3 +43,12 @@ def test_repeated_rows_and_empty(spark):
     assert sorted(t for d, t, _ in got if d == "1") in (["", ""], ["a\nb\nc"] * 2)
     assert ("2", "d", 1) in got and len(got) == 4
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_many_lines(spark):
+    """100,000 lines of one document, nearly all of them repeated, take time in proportion."""
+    text = "\n".join(f"line {i % 20_000}" for i in range(100_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    kept = linededup.dedup_lines(df).first().text
+    assert time.time() - began < 60 and kept == "\n".join(f"line {i}" for i in range(20_000))
