@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fitloom.functions import patterns as PT
 from fitloom.functions import vocab as V
 from fitloom.functions.numeric import months_between
 from fitloom.functions.text import let
@@ -37,7 +38,7 @@ def date_range(text: Column, as_of_year: int, as_of_month: int) -> Column:
             lambda x: F.when(x["ey"] >= x["sy"], out(x["sy"], x["sm"], x["ey"], x["em"], now, g["raw"])).when(x["s2"] >= x["s1"], out(x["s1"], none, x["s2"], none, F.lit(False), g["span"])),
         )
 
-    parts = {"raw": (V.DATE_RANGE, 0), "g1": (V.DATE_RANGE, 1), "g2": (V.DATE_RANGE, 2), "g3": (V.DATE_RANGE, 3), "g4": (V.DATE_RANGE, 4), "now": (V.DATE_RANGE, 5), "span": (V.YEAR_SPAN, 0), "s1": (V.YEAR_SPAN, 1), "s2": (V.YEAR_SPAN, 2)}
+    parts = {"raw": (PT.DATE_RANGE, 0), "g1": (PT.DATE_RANGE, 1), "g2": (PT.DATE_RANGE, 2), "g3": (PT.DATE_RANGE, 3), "g4": (PT.DATE_RANGE, 4), "now": (PT.DATE_RANGE, 5), "span": (PT.YEAR_SPAN, 0), "s1": (PT.YEAR_SPAN, 1), "s2": (PT.YEAR_SPAN, 2)}
     return let(F.struct(*[F.regexp_extract(text, p, i).alias(n) for n, (p, i) in parts.items()]), of)
 
 
@@ -54,25 +55,26 @@ def find_years(text: Column, as_of_year: int) -> Column:
 
 
 def single_date(text: Column) -> Column:
-    y = _int(F.regexp_extract(text, V.SINGLE_DATE, 1))
-    return F.when(y.isNotNull(), F.struct(y.alias("year"), _int(F.regexp_extract(text, V.SINGLE_DATE, 2)).alias("month")))
+    y = _int(F.regexp_extract(text, PT.SINGLE_DATE, 1))
+    return F.when(y.isNotNull(), F.struct(y.alias("year"), _int(F.regexp_extract(text, PT.SINGLE_DATE, 2)).alias("month")))
 
 
 def years_needed(text: Column) -> Column:
     """(min_years, max_years) by ordered patterns; "no experience" words give (0, null)."""
     pair = F.lit(None).cast("struct<min_years:int,max_years:int>")
-    for pattern, groups in reversed(V.YEARS_NEEDED):
+    for i, pattern in reversed(list(enumerate(PT.YEARS_NEEDED))):
+        groups = 2 if i == 0 else 1
         a = _int(F.regexp_extract(text, pattern, 1))
         b = _int(F.regexp_extract(text, pattern, 2)) if groups == 2 else F.lit(None).cast("int")
         low, high = (F.least(a, b), F.greatest(a, b)) if groups == 2 else (a, b)
         pair = F.when(a.isNotNull(), F.struct(low.alias("min_years"), high.alias("max_years"))).otherwise(pair)
-    return F.coalesce(pair, F.when(text.rlike(V.NO_EXPERIENCE), F.struct(F.lit(0).alias("min_years"), F.lit(None).cast("int").alias("max_years"))))
+    return F.coalesce(pair, F.when(text.rlike(PT.NO_EXPERIENCE), F.struct(F.lit(0).alias("min_years"), F.lit(None).cast("int").alias("max_years"))))
 
 
 def seniority(text: Column) -> Column:
     head, out = F.left(F.coalesce(text, F.lit("")), F.lit(400)), F.lit("")
-    for pattern, label in reversed(V.SENIORITY_RULES):
-        out = F.when(head.rlike("(?i)" + pattern), F.lit(label)).otherwise(out)
+    for label, pattern in reversed(PT.SENIORITY.items()):
+        out = F.when(head.rlike(pattern), F.lit(label)).otherwise(out)
     return out
 
 
@@ -87,7 +89,7 @@ def education(text: Column, highest: bool) -> Column:
 
 
 def graduation_year(text: Column, education_text: Column, as_of_year: int) -> Column:
-    return F.coalesce(_int(F.regexp_extract(text, V.GRADUATION, 1)), F.array_max(find_years(education_text, as_of_year)), single_date(education_text)["year"])
+    return F.coalesce(_int(F.regexp_extract(text, PT.GRADUATION, 1)), F.array_max(find_years(education_text, as_of_year)), single_date(education_text)["year"])
 
 
 def demand(clause: Column, section: Column) -> Column:
@@ -99,7 +101,7 @@ def demand(clause: Column, section: Column) -> Column:
 
 
 def requirement_class(text: Column, has_skills: Column) -> Column:
-    c = dict(V.REQUIREMENT_CLASSES)
+    c = PT.REQUIREMENT
     return (
         F.when(text.rlike(c["学历"]), F.lit("学历")).when(text.rlike(c["经验"]), F.lit("经验")).when(has_skills, F.lit("技能"))
         .when(text.rlike(c["软技能"]), F.lit("软技能")).when(text.rlike(c["项目"]), F.lit("项目")).otherwise(F.lit("其他"))
@@ -107,7 +109,7 @@ def requirement_class(text: Column, has_skills: Column) -> Column:
 
 
 def school(text: Column) -> Column:
-    hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(V.SCHOOL), F.lit(0))
+    hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PT.SCHOOL), F.lit(0))
     return F.coalesce(F.get(F.filter(hits, lambda x: ~x.rlike("|".join(V.SCHOOL_STOP))), F.lit(0)), F.lit(""))
 
 
@@ -127,5 +129,5 @@ def majors(text: Column, most: int = 6) -> Column:
 
 def major(text: Column) -> Column:
     """A labelled major, else the first of the vocabulary in its own order."""
-    label = F.nullif(F.regexp_extract(text, V.MAJOR_LABEL, 1), F.lit(""))
+    label = F.nullif(F.regexp_extract(text, PT.labelled("major"), 1), F.lit(""))
     return F.coalesce(label, F.get(F.filter(F.array(*map(F.lit, V.MAJORS)), lambda w: F.contains(text, w)), F.lit(0)), F.lit(""))

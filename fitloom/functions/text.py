@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fitloom.functions import patterns as PT
 from fitloom.functions import vocab as V
 
 #: White space of any script, as Unicode ranges.
@@ -52,11 +53,11 @@ def normalize_text(col: Column, compose: bool = True) -> Column:
 
 
 def is_bullet(col: Column) -> Column:
-    return col.rlike(V.BULLET)
+    return col.rlike(PT.BULLET)
 
 
 def strip_bullet(col: Column) -> Column:
-    return strip(F.regexp_replace(col, V.BULLET, ""))
+    return strip(F.regexp_replace(col, PT.BULLET, ""))
 
 
 def strip_list_prefix(col: Column) -> Column:
@@ -126,7 +127,7 @@ def shorten(col: Column, most: int = 60, suffix: str = "...") -> Column:
 def has_quantified(col: Column) -> Column:
     """Whether a text holds a percentage, a number with a unit or a metric with a number."""
     found = F.lit(False)
-    for p in V.QUANTITIES:
+    for p in PT.QUANTITIES:
         found = found | col.rlike(p)
     return F.coalesce(found, F.lit(False))
 

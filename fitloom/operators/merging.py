@@ -109,7 +109,7 @@ def merge_job(jobs: DataFrame, clean: DataFrame) -> DataFrame:
     p = clean.select("jd_id", *[F.col(c).alias(f"_{c}") for c in ("title", "company", "education", "min_years", "domains", "soft_skills", "seniority")])
     j = jobs.join(p, "jd_id", "left")
     education, level = educated(F.col("education"), F.col("education_level"), F.col("_education"), False)
-    named_level = F.when(F.col("_seniority").isin(*[x for _, x in V.SENIORITY_RULES]), F.col("_seniority"))
+    named_level = F.when(F.col("_seniority").isin(*V.SENIORITY), F.col("_seniority"))
     new = {
         "title": filled(F.col("title"), F.col("_title")),
         "company": filled(F.col("company"), F.col("_company")),
