@@ -44,7 +44,7 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import batched, groupby
+from itertools import batched, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -147,7 +147,7 @@ class Learner:
         n = [pairs[s].view(np.float32).reshape(-1, 2) for s in slots]
         x = [np.log((c[:, 1] + np.float32(0.4)) / (c[:, 0] + np.float32(0.4))) for c in n]
         i, j = self.layout.watched
-        gate = support_of(n[i].sum(1)).astype(np.int64) * SUPPORT + support_of(n[j].sum(1))
+        gate = support_of(n[i][:, 0] + n[i][:, 1]).astype(np.int64) * SUPPORT + support_of(n[j][:, 0] + n[j][:, 1])
         a, b = (w.astype(np.float32) for w in self.w)
         z = np.zeros(len(side), np.float32)
         for m, v in enumerate(x):
@@ -157,8 +157,9 @@ class Learner:
     def learn(self, bit: np.ndarray, slots: list[np.ndarray], side: np.ndarray) -> np.ndarray:
         """Predict the bits, move the weights, count; the probabilities of a one before the map."""
         p = self.move(bit, slots, side)
+        one = np.float32(1)
         for s in slots:
-            np.add.at(self.counts, 2 * s + bit, np.float32(1))
+            np.add.at(self.counts, (s << 1) + bit, one)
         self.seen += len(bit)
         return p
 
@@ -419,7 +420,7 @@ class Reader:
     def look_up(self, words: list[bytes | None], ends: list[int]) -> np.ndarray:
         """Each word's index in the head, -1 - its guessed language, or ``END`` for ends."""
         get, guess = self.index.get, self.head.guess
-        found = np.array([get(w, -1) for w in words], np.int64)
+        found = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         found[ends] = END
         rare = np.flatnonzero(found == -1)
         found[rare] = [-1 - guess[suffix(words[i])] for i in rare.tolist()]
