@@ -35,9 +35,18 @@ def query(oracle: str | None = None):
     return add
 
 
-def pick(key: str, *options: str) -> str:
-    """SQL of one of some texts, by key."""
-    return f"CASE {key} % {len(options)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(options[:-1])) + f" ELSE '{options[-1]}' END"
+#: What is chosen for a text, each choice by a multiplier of its own, so that choices don't go together.
+CHOICES = ("s1", "s2", "s3", "name", "head", "edu", "school", "major", "degree", "grad", "skill_head", "n3", "kind", "y1", "n2", "title", "years", "nd")
+
+
+def mixed(key: str, about: str) -> str:
+    """SQL of a number that looks random, by key and what is chosen; Spark and DuckDB agree on it."""
+    return f"({key} * {7919 + 12_347 * CHOICES.index(about)} % 1000003 * 613 % 10007)"
+
+
+def pick(key: str, about: str, *options: str) -> str:
+    """SQL of one of some texts."""
+    return f"CASE {mixed(key, about)} % {len(options)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(options[:-1])) + f" ELSE '{options[-1]}' END"
 
 
 def lines_of(*parts: str) -> str:
@@ -47,21 +56,21 @@ def lines_of(*parts: str) -> str:
 def skill(key: str) -> dict[str, str]:
     """Three skills by key: as the text has them, and their names in the dictionary."""
     return {
-        "s1": pick(key, "Python", "Java", "golang", "Rust", "SQL"), "c1": pick(key, "Python", "Java", "Go", "Rust", "SQL"),
-        "s2": pick(key, "faiss", "MySQL", "redis", "PyTorch"), "c2": pick(key, "FAISS", "MySQL", "Redis", "PyTorch"),
-        "s3": pick(key, "docker", "k8s", "FastAPI"), "c3": pick(key, "Docker", "Kubernetes", "FastAPI"),
+        "s1": pick(key, "s1", "Python", "Java", "golang", "Rust", "SQL"), "c1": pick(key, "s1", "Python", "Java", "Go", "Rust", "SQL"),
+        "s2": pick(key, "s2", "faiss", "MySQL", "redis", "PyTorch"), "c2": pick(key, "s2", "FAISS", "MySQL", "Redis", "PyTorch"),
+        "s3": pick(key, "s3", "docker", "k8s", "FastAPI"), "c3": pick(key, "s3", "Docker", "Kubernetes", "FastAPI"),
     }
 
 
 K = "c_custkey"
 #: What a candidate's text says.
 CANDIDATE = {
-    "doc_id": K, "nation": "c_nationkey", "name": pick(K, "张三", "李小红", "王伟", "赵敏"), **skill(K),
-    "head": "CASE WHEN c_custkey % 2 = 0 THEN '姓名：' ELSE '' END || " + pick(K, "张三", "李小红", "王伟", "赵敏"),
-    "edu_head": pick(K, "教育背景", "## 教育经历", "【教育背景】", "一、教育背景"), "school": pick(K, "北京大学", "清华大学", "浙江大学", "南京大学", "武汉大学"),
-    "major": pick(K, "软件工程", "人工智能", "自动化"), "degree": pick(K, "本科", "硕士", "博士", "大专"), "level": f"CAST({pick(K, '2', '3', '4', '1')} AS INT)",
-    "grad": f"CAST(2016 + {K} % 12 AS INT)", "skill_head": pick(K, "专业技能", "__专业技能__", "技能清单"), "n3": f"CAST(1 - {K} % 2 AS INT)",
-    "kind": pick(K, "work", "internship"), "work_head": pick(K, "工作经历（2 段）", "实习经历"), "y1": f"CAST(2017 + {K} % 3 AS INT)", "n2": f"CAST(CASE WHEN {K} % 3 = 0 THEN 0 ELSE 2 END AS INT)",
+    "doc_id": K, "nation": "c_nationkey", "name": pick(K, "name", "张三", "李小红", "王伟", "赵敏"), **skill(K),
+    "head": f"CASE WHEN {mixed(K, 'head')} % 2 = 0 THEN '姓名：' ELSE '' END || " + pick(K, "name", "张三", "李小红", "王伟", "赵敏"),
+    "edu_head": pick(K, "edu", "教育背景", "## 教育经历", "【教育背景】", "一、教育背景"), "school": pick(K, "school", "北京大学", "清华大学", "浙江大学", "南京大学", "武汉大学"),
+    "major": pick(K, "major", "软件工程", "人工智能", "自动化"), "degree": pick(K, "degree", "本科", "硕士", "博士", "大专"), "level": f"CAST({pick(K, 'degree', '2', '3', '4', '1')} AS INT)",
+    "grad": f"CAST(2016 + {mixed(K, 'grad')} % 12 AS INT)", "skill_head": pick(K, "skill_head", "专业技能", "__专业技能__", "技能清单"), "n3": f"CAST(1 - {mixed(K, 'n3')} % 2 AS INT)",
+    "kind": pick(K, "kind", "work", "internship"), "work_head": pick(K, "kind", "工作经历（2 段）", "实习经历"), "y1": f"CAST(2017 + {mixed(K, 'y1')} % 3 AS INT)", "n2": f"CAST(CASE WHEN {mixed(K, 'n2')} % 3 = 0 THEN 0 ELSE 2 END AS INT)",
 }
 _EDU = "school || ' ' || major || ' ' || degree || '，' || CAST(grad AS STRING) || '年毕业'"
 _E1 = "CAST(y1 AS STRING) || '.03 - ' || CAST(y1 + 2 AS STRING) || '.06 | 某某科技公司 | 后端工程师'"
@@ -73,8 +82,8 @@ CANDIDATE_TEXT = lines_of("head", "'电话 13800000000'", "edu_head", _EDU, "ski
 J = "s_suppkey"
 #: What a job's text says.
 JOB = {
-    "doc_id": J, "nation": "s_nationkey", "company": "s_name", **skill(J), "title": pick(J, "后端工程师", "算法工程师", "高级数据开发"), "seniority": pick(J, "", "", "高级"),
-    "years": f"CAST(1 + {J} % 6 AS INT)", "degree": pick(J, "本科", "硕士", "大专"), "level": f"CAST({pick(J, '2', '3', '1')} AS INT)", "nd": f"CAST(1 - {J} % 2 AS INT)",
+    "doc_id": J, "nation": "s_nationkey", "company": "s_name", **skill(J), "title": pick(J, "title", "后端工程师", "算法工程师", "高级数据开发"), "seniority": pick(J, "title", "", "", "高级"),
+    "years": f"CAST(1 + {mixed(J, 'years')} % 6 AS INT)", "degree": pick(J, "degree", "本科", "硕士", "大专"), "level": f"CAST({pick(J, 'degree', '2', '3', '1')} AS INT)", "nd": f"CAST(1 - {mixed(J, 'nd')} % 2 AS INT)",
 }
 JOB_TEXT = lines_of(
     "title", "'公司：' || company", "'岗位职责'", "'1. 负责 ' || s3 || ' 平台开发'", "'任职要求：'", "'1. 必须熟悉 ' || s1 || '，' || CAST(years AS STRING) || ' 年以上经验'",
