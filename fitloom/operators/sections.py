@@ -115,6 +115,24 @@ def sections(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_
     return rows.withColumn("end_offset", F.coalesce(F.lead("start_offset").over(after), F.col("_end"))).drop("_end")
 
 
+def kinds(secs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``(*keys, kinds)``: the kinds of a document's sections in the order of their first, what precedes all headings left out."""
+    first = secs.where("sec_no > 0").groupBy(*keys, "kind").agg(F.min("sec_no").alias("_at"))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "kind"))), lambda x: x["kind"]).alias("kinds"))
+
+
+def first(secs: DataFrame, wanted: list[str], keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The first section of some kinds of each document that has one; all columns."""
+    rest = [c for c in secs.columns if c not in (*keys, "sec_no")]
+    found = secs.where(F.col("kind").isin(wanted)).groupBy(*keys).agg(F.min(F.struct("sec_no", *rest)).alias("_s"))
+    return found.select(*keys, "_s.*").select(secs.columns)
+
+
+def having(docs: DataFrame, secs: DataFrame, wanted: list[str], keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``docs`` that have a section of some kinds."""
+    return docs.join(secs.where(F.col("kind").isin(wanted)).select(*keys).distinct(), list(keys), "left_semi")
+
+
 def text_of(secs: DataFrame, kinds: list[str], keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The bodies of sections of some kinds, joined in order."""
     return secs.where(F.col("kind").isin(kinds) & (F.col("body") != "")).groupBy(*keys).agg(

@@ -15,7 +15,7 @@ from fitloom.functions import dates as D
 from fitloom.functions import numeric as N
 from fitloom.functions import text as T
 from fitloom.operators import dictionary as DI
-from fitloom.operators import compilation, experience, merging, mentions, parsing, report
+from fitloom.operators import batch, compilation, experience, merging, mentions, parsing, report
 from fitloom.operators import sections as SE
 from fitloom.plans.star import table, values
 from fitloom.sources import payloads, skills
@@ -326,12 +326,12 @@ def experience_items(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def parsed(spark: SparkSession, d: str) -> tuple[DataFrame, dict, dict, tuple]:
+def parsed(spark: SparkSession, d: str, resumes: bool = True) -> tuple[DataFrame, dict, dict, tuple]:
     dims = skills.default_dictionary(spark)
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("jd_id"), F.col("s_nationkey").alias("n"))
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("resume_id"), F.col("c_nationkey").alias("m"))
     pairs = s.join(c, F.col("n") == F.col("m")).select("jd_id", "resume_id")
-    return pairs, parsing.parse_jd(jobs(spark, d), dims), parsing.parse_resume(candidates(spark, d), dims, AS_OF), dims
+    return pairs, parsing.parse_jd(jobs(spark, d), dims), parsing.parse_resume(candidates(spark, d), dims, AS_OF) if resumes else {}, dims
 
 
 def _tenths(x: str) -> str:
@@ -405,6 +405,20 @@ def match_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(WITH + ", " + _HELD + _SCORES + f""", r AS (SELECT w.*, {_OVERALL} AS overall, c.name FROM wide w JOIN cv c ON c.doc_id = w.resume_id WHERE resume_id % 5 <> 4)
+ SELECT jd_id, CAST(row_number() OVER (PARTITION BY jd_id ORDER BY overall DESC, resume_id DESC) AS INTEGER) AS rank, resume_id, CASE WHEN resume_id % 3 = 0 THEN 'N' || resume_id ELSE name END AS name, overall,
+ CASE WHEN overall >= 85 THEN 'A' WHEN overall >= 70 THEN 'B' WHEN overall >= 55 THEN 'C' ELSE 'D' END AS verdict, must_ratio, missing AS missing_skills, string_split({_SAYS["strengths"]}, '|')[1] AS top_strength FROM r""")
+def batch_items(spark: SparkSession, d: str) -> DataFrame:
+    """Requests by text, by stored id, and every fifth by an id that isn't stored; a name is given for every third."""
+    pairs, jd, _, dims = parsed(spark, d, resumes=False)
+    cv = candidates(spark, d)
+    text = F.when(F.col("doc_id") % 2 == 0, F.col("text")).when(F.col("doc_id") % 3 == 0, F.lit(" "))
+    requests = cv.select(F.col("doc_id").alias("resume_id"), (-F.col("doc_id")).alias("seq"), F.when(F.col("doc_id") % 5 != 4, text).alias("text"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("N"), "doc_id")).alias("name"))
+    stored = cv.where("doc_id % 5 <> 4").select(F.col("doc_id").alias("id"), "text")
+    b = batch.batch(requests, stored, pairs, jd, dims, AS_OF)
+    return b.withColumn("missing_skills", F.array_join("missing_skills", ","))
+
+
 def _asks(kind: str, texts: tuple[str, ...], at: str) -> str:
     return f"WHEN kind = '{kind}' THEN replace(CASE {at} % 2 WHEN 0 THEN '{texts[0]}' ELSE '{texts[1]}' END, '%s', skill)"
 
