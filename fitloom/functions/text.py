@@ -1,6 +1,6 @@
 """Text expressions: normalising, bullets, headings, sentences, evidence.  All are Spark columns.
 
-The only Python is NFC composition, which Spark lacks; it is skipped for ASCII texts.
+The only Python is NFC composition, which Spark lacks; all texts pass through it in Arrow batches.
 """
 
 from __future__ import annotations
@@ -190,4 +190,7 @@ def clean_list(col: Column, most_chars: int = 60, most: int = 40) -> Column:
     """A separated text as names: trimmed, unquoted, without repeats whatever their case, without overlong ones."""
     parts = F.transform(F.split(F.coalesce(col, F.lit("")), r"[,，、;；\n|]"), lambda x: F.regexp_replace(F.regexp_replace(strip(x), r"""^["'“”]+|["'“”]+$""", ""), rf"{WHITE}+", " "))
     kept = F.filter(parts, lambda x: (F.length(x) > 0) & (F.length(x) <= most_chars))
-    return let(kept, lambda k: F.slice(F.filter(k, lambda x, i: F.array_position(F.transform(k, F.lower), F.lower(x)) == i + 1), 1, most))
+    # Sorted by name, repeats stand together, the first of the text in front; those stay, and go back to their order.
+    by_name = F.array_sort(F.transform(kept, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
+    first = let(by_name, lambda s: F.filter(s, lambda e, i: (i == 0) | (F.get(s, i - 1)["k"] != e["k"])))
+    return F.slice(F.transform(F.array_sort(F.transform(first, lambda e: F.struct(e["i"], e["x"]))), lambda e: e["x"]), 1, most)

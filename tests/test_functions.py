@@ -50,6 +50,8 @@ def test_lines_and_sentences(spark):
     assert one(spark, T.shorten(F.lit("x" * 70))) == "x" * 57 + "..."
     assert one(spark, T.join_names(F.array(*map(F.lit, "abc")), 2)) == "a、b 等 3 项" and one(spark, T.join_names(F.array().cast("array<string>"), 2)) == "无"
     assert one(spark, T.clean_list(F.lit('A, "a"、B；\n' + "z" * 61))) == ["A", "B"]
+    assert one(spark, T.clean_list(F.lit("b,A,c,a,B,,C,d"), 60, 3)) == ["b", "A", "c"]
+    assert len(one(spark, T.clean_list(F.lit(",".join(f"n{i % 50_000}" for i in range(100_000))), 60, 100_000))) == 50_000
 
 
 def test_evidence_and_phrases(spark):
