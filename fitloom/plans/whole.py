@@ -1,7 +1,8 @@
 """The text operators over the whole table ``documents``: its texts, lines, mentions and words.
 
-The queries of the same operators in ``texts`` run on a few typed-in rows, as their SQL does;
-here every row of ``documents`` counts, with its nulls, long texts and repeated lines.
+Every row counts, with its nulls, long texts and repeated lines.  Where SQL can't tell what
+an operator has to find in such texts, tests compare it with brute force; of the functions
+here ``catalog`` leaves out those that ``corpus`` runs over the same texts and more.
 """
 
 from __future__ import annotations
@@ -21,6 +22,16 @@ from fitloom.sources import payloads
 
 QUERIES: dict = {}
 
+_ALIASES = ", ".join(f"('{a}', '{c}', {100 * i + j})" for i, (c, _, al, _) in enumerate(WORDS) for j, a in enumerate(dict.fromkeys([*al, c.lower()])))
+_TERMS = rf"""WITH l AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+') AS l FROM documents),
+ t AS (SELECT doc_id, unnest(l) AS term, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos FROM l),
+ a AS (SELECT alias, arg_min(canonical, n) AS canonical FROM (VALUES {_ALIASES}) v(alias, canonical, n) GROUP BY 1)
+"""
+ORACLES = {
+    "whole_canonical_lookup": _TERMS + "SELECT doc_id, pos, term, canonical FROM t LEFT JOIN a ON lower(trim(term)) = alias",
+    "whole_normalize_list": _TERMS + "SELECT doc_id, coalesce(canonical, trim(term)) AS name, min(pos) AS pos FROM t LEFT JOIN a ON lower(trim(term)) = alias WHERE trim(term) <> '' GROUP BY 1, 2",
+}
+
 
 def query(f):
     QUERIES[f.__name__] = f

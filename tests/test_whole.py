@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from fitloom.functions import patterns as PT
 from fitloom.functions import vocab as V
 from fitloom.plans import texts, whole
 from tests import rows as typed
@@ -101,7 +102,7 @@ def test_dates_and_years(spark, corpus):
     for k, x in ls.items():
         m = rx.search(x)
         if not m:
-            assert got[k] == (None,) * 4 or re.search(V.YEAR_SPAN, x, A)
+            assert got[k] == (None,) * 4 or re.search(PT.YEAR_SPAN, x, A)
             continue
         sy, sm, ey, em, now = m.groups()
         sy, ey, em = int(sy), 2025 if now else int(ey), 6 if now else int(em or 12)
@@ -109,7 +110,7 @@ def test_dates_and_years(spark, corpus):
             assert got[k] == (sy, ey, max(1, (ey - sy) * 12 + em - int(sm or 1) + 1), bool(now))
     for _, t, lo, hi in typed._NEED:
         assert {need[k] for k, x in ls.items() if x == t} == {(lo, hi)}
-    assert all(need[k] == (None, None) for k, x in ls.items() if not re.search(r"\d|[一二三四五六七八九十两]", x) and not re.search(V.NO_EXPERIENCE, x))
+    assert all(need[k] == (None, None) for k, x in ls.items() if not re.search(r"\d|[一二三四五六七八九十两]", x) and not re.search(PT.NO_EXPERIENCE, x))
 
 
 def test_words(spark, corpus):
