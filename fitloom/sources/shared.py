@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,9 @@ def folder(spark: SparkSession) -> str:
     if not found:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="fitloom-")
+        made = tempfile.mkdtemp(prefix="fitloom-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        found = "file://" + made
         spark.conf.set("fitloom.tables.dir", found)
     return f"{found.rstrip('/')}/fitloom-tables-{context.applicationId}"
 
