@@ -13,6 +13,7 @@ from fitloom.functions import text as T
 from fitloom.functions import vocab as V
 from fitloom.operators import dictionary as DI
 from fitloom.operators import mentions as M
+from fitloom.sources import shared
 
 MOST_DOMAINS, MOST_HIGHLIGHTS = 12, 10
 
@@ -36,13 +37,13 @@ def merge_skills(found: DataFrame, names: DataFrame, docs: DataFrame, dims: tupl
     first = found.groupBy("doc_id", "canonical").agg(F.min(F.struct("start", "end", "raw", "origin", "evidence", "level", "demand")).alias("m"), F.count("*").alias("n"), F.max((F.col("demand") != "nice").cast("int")).alias("_must"))
     model = DI.canonical_of(names, "name", dim_alias).withColumn("canonical", F.coalesce("canonical", "name"))
     model = model.groupBy("doc_id", "canonical").agg(F.min(F.struct("ord", "name", "demand")).alias("x"))
-    both = first.join(model, ["doc_id", "canonical"], "full")
+    both = first.join(shared.large(model), ["doc_id", "canonical"], "full")
     # Only new names read their texts, and take along what surrounds them.
-    new = placed(both.where("m is null").join(docs.select("doc_id", "text"), "doc_id", "left").select("doc_id", "canonical", F.col("x.name").alias("name"), "text"))
+    new = placed(both.where("m is null").join(shared.large(docs.select("doc_id", "text")), "doc_id", "left").select("doc_id", "canonical", F.col("x.name").alias("name"), "text"))
     s, e = F.col("start") - F.col("at"), F.col("end") - F.col("at")
     level = M.level_of(F.col("around"), s, e)["level"]
     spots = new.select("doc_id", "canonical", F.struct("start", "end", "line", T.evidence_around(F.col("around"), s, e).alias("evidence"), level.alias("level")).alias("spot"))
-    rows = both.join(spots, ["doc_id", "canonical"], "left")
+    rows = both.join(shared.large(spots), ["doc_id", "canonical"], "left")
     own = F.when(F.col("m").isNotNull(), F.when(F.col("_must") == 1, F.lit("must")).otherwise("nice"))
     source = F.when(F.col("m").isNull(), F.lit("llm")).when(F.col("x").isNotNull() | (F.col("n") > 1), F.lit("dict+llm")).otherwise("dict")
     rows = rows.select(
@@ -107,7 +108,7 @@ def educated(rule: Column, level: Column, model: Column, highest: bool) -> tuple
 def merge_job(jobs: DataFrame, clean: DataFrame) -> DataFrame:
     """``jobs`` with the open fields filled from ``clean`` (a sanitised payload by ``jd_id``); domains are united, ``soft_skills`` added."""
     p = clean.select("jd_id", *[F.col(c).alias(f"_{c}") for c in ("title", "company", "education", "min_years", "domains", "soft_skills", "seniority")])
-    j = jobs.join(p, "jd_id", "left")
+    j = jobs.join(shared.large(p), "jd_id", "left")
     education, level = educated(F.col("education"), F.col("education_level"), F.col("_education"), False)
     named_level = F.when(F.col("_seniority").isin(*V.SENIORITY), F.col("_seniority"))
     new = {
@@ -132,7 +133,7 @@ def soft_requirements(requirements: DataFrame, merged: DataFrame) -> DataFrame:
 def merge_resume(resumes: DataFrame, clean: DataFrame) -> DataFrame:
     """``resumes`` with a model's fields (by ``resume_id``): its name goes first, all else only fills what is open; highlights are added."""
     p = clean.select("resume_id", *[F.col(c).alias(f"_{c}") for c in ("name", "school", "major", "education", "graduation_year", "highlights", "domains", "total_years")])
-    r = resumes.join(p, "resume_id", "left")
+    r = resumes.join(shared.large(p), "resume_id", "left")
     education, level = educated(F.col("education"), F.col("education_level"), F.col("_education"), True)
     short = F.transform("_highlights", lambda x: T.shorten(x, 120))
     new = {

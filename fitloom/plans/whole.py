@@ -18,7 +18,7 @@ from fitloom.operators import mentions as M
 from fitloom.operators import sections as SE
 from fitloom.plans.star import table
 from fitloom.plans.texts import WORDS
-from fitloom.sources import payloads
+from fitloom.sources import payloads, shared
 
 QUERIES: dict = {}
 
@@ -49,7 +49,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 def spans(spark: SparkSession, d: str) -> DataFrame:
     """``(doc_id, canonical, s, e, text)``: every mention of ``WORDS`` with its text."""
     docs = documents(spark, d)
-    return DI.scan(docs, DI.from_rows(spark, WORDS)[1]).select("doc_id", "canonical", "s", "e").join(docs, "doc_id")
+    return DI.scan(docs, DI.from_rows(spark, WORDS)[1]).select("doc_id", "canonical", "s", "e").join(shared.large(docs), "doc_id")
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:
