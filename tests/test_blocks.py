@@ -64,3 +64,10 @@ def test_keys_are_dealt_to_tasks(spark, tmp_path):
     assert corpus.candidates(spark, f"file://{tmp_path}").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
     assert "BroadcastHashJoin" not in corpus.locate_mentions(spark, f"file://{tmp_path}")._jdf.queryExecution().sparkPlan().toString()
     assert shared.AT_ONCE < 10_000
+
+
+def test_dimensions_are_not_pivoted(spark):
+    """Parsed pairs keep their six scores in one row."""
+    from fitloom.plans import corpus
+
+    assert "Expand" not in _plan(corpus.pair_dimensions(spark, SF))
