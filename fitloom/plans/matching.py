@@ -199,9 +199,19 @@ eff AS (SELECT resume_id, CASE WHEN degree_expected THEN total_years ELSE """ +
 """
 
 
+#: Ranges that a task sorts, twice, at most about: ranges of copies are so alike that partitions small in bytes hold many.
+RANGES_OF_TASK = 500_000
+
+
+def dealt_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges dealt by candidate to more tasks as they grow; a number that is given is kept as it is, so tasks aren't brought together again by their bytes."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, d, "lineitem").count() // RANGES_OF_TASK))
+    return star.ranges(spark, d).repartition(tasks, "resume_id")
+
+
 def years(spark: SparkSession, d: str) -> DataFrame:
     # Dealt once by candidate, which serves both groupings.
-    r = star.ranges(spark, d).repartition("resume_id")
+    r = dealt_ranges(spark, d)
     kind = S.merged_months(r, ["resume_id", "kind"])
     of = lambda k, n: F.sum(F.when(F.col("kind") == k, F.col("months")).otherwise(0)).alias(n)
     y = S.merged_months(r, ["resume_id"]).join(kind.groupBy("resume_id").agg(of("F", "w"), of("O", "i")), "resume_id")
