@@ -140,11 +140,16 @@ def char_class(chars: str) -> str:
     return "".join("\\" + c if c in r"\[]^-&" else c for c in chars)
 
 
+def tail(col: Column, inside: str) -> Column:
+    """The characters of a class that a text ends with, sought backwards: a search for a text's end tries every place and takes the square of its length."""
+    return F.reverse(F.regexp_extract(F.reverse(col), f"^{inside}*", 0))
+
+
 def evidence_around(text: Column, start: Column, end: Column, span: int = 40) -> Column:
     """The text around [start, end) up to ``span`` characters, aligned to sentence and line ends, at most 160 long."""
     ends = char_class(V.SENTENCE_END + "\n")
     low = F.greatest(F.lit(0), start - span)
-    left = F.regexp_extract(F.substr(text, low + 1, start - low), rf"[^{ends}]*\z", 0)
+    left = tail(F.substr(text, low + 1, start - low), f"[^{ends}]")
     right = F.regexp_extract(F.substr(text, end + 1, F.lit(span)), rf"^[^{ends}]*[{ends}]?", 0)
     t = F.regexp_replace(strip(F.concat(left, F.substr(text, start + 1, end - start), right)), rf"{WHITE}+", " ")
     return F.when(F.length(t) > 160, F.concat(F.left(t, F.lit(157)), F.lit("..."))).otherwise(t)
@@ -154,7 +159,7 @@ def context_phrase(text: Column, index: Column, length: Column, left: int = 6, r
     """A word with up to ``left`` and ``right`` characters around it, not across a phrase border."""
     inside = f"[^{char_class(V.PHRASE_BORDER)}]"
     low = F.greatest(F.lit(0), index - left)
-    before = F.regexp_extract(F.substr(text, low + 1, index - low), rf"{inside}*\z", 0)
+    before = tail(F.substr(text, low + 1, index - low), inside)
     after = F.regexp_extract(F.substr(text, index + length + 1, F.lit(right)), rf"^{inside}*", 0)
     return strip(F.concat(before, F.substr(text, index + 1, length), after))
 
@@ -162,8 +167,7 @@ def context_phrase(text: Column, index: Column, length: Column, left: int = 6, r
 def clause_at(text: Column, start: Column, end: Column) -> Column:
     """The clause of a line around [start, end): between the nearest borders; enumeration commas don't count."""
     borders = char_class(V.CLAUSE_BORDER + "\n")
-    # Backwards from the start: a search for the clause's end would take the square of a long clause's length.
-    before = F.reverse(F.regexp_extract(F.reverse(F.substr(text, F.lit(1), start)), rf"^[^{borders}]*", 0))
+    before = tail(F.substr(text, F.lit(1), start), f"[^{borders}]")
     after = F.regexp_extract(F.substr(text, end + 1), rf"^[^{borders}]*", 0)
     return strip(F.concat(before, F.substr(text, start + 1, end - start), after))
 

@@ -53,8 +53,9 @@ def level_of(text: Column, start: Column, end: Column) -> Column:
             ),
         )
     )
-    best = F.array_min(found)
-    return F.when(F.size(found) > 0, F.struct(best["level"].alias("level"), best["score"].alias("level_score")))
+    nearest = T.let(F.array_min(found), lambda best: F.when(best.isNotNull(), F.struct(best["level"].alias("level"), best["score"].alias("level_score"))))
+    # Most windows hold no such word and are not looked at closer.
+    return F.when(window.rlike("|".join(V.LEVEL_WORDS)), nearest)
 
 
 def locate(docs: DataFrame, dim_alias: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
