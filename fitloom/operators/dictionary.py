@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -203,9 +203,46 @@ class Compiled:
         return _MATCHERS[self.key]
 
 
+#: What a scan returns of each mention, and what it tells of its surroundings.
+PLACE = "canonical string, raw string, s int, e int"
+SURROUNDINGS = PLACE + ", line_no int, clause string, around string, at int"
+#: Mentions, and characters of their strings, that a worker hands on at once.
+MENTIONS_AT_ONCE, CHARS_AT_ONCE = 20_000, 4 << 20
+
+
+def scanned(docs: DataFrame, dim_alias: DataFrame, text: str, keys: tuple[str, ...], columns: str, rows_of: Callable[[str, list], Iterator[tuple]]) -> DataFrame:
+    """``(*keys, *columns)``: what ``rows_of`` tells of each text and its mentions; a worker holds a bounded number of rows."""
+    compiled, names = Compiled(dim_alias), list(keys)
+    fields = [c.split() for c in columns.split(", ")]
+    kinds = [pa.string() if kind == "string" else pa.int32() for _, kind in fields]
+    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys) + ", " + columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = compiled.matcher()
+        for b in shared.slices(batches):
+
+            def out(at: list, rows: list, b: pa.RecordBatch = b) -> pa.RecordBatch:
+                own = [b.column(k).take(pa.array(at, pa.int64())) for k in range(len(names))]
+                return pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*names, *(n for n, _ in fields)])
+
+            at, rows, chars = [], [], 0
+            for i, t in enumerate(b.column(len(names)).to_pylist()):
+                for row in rows_of(t, m.scan(t)) if t else ():
+                    at.append(i)
+                    rows.append(row)
+                    chars += sum(len(x) for x in row if type(x) is str)
+                    if len(rows) >= MENTIONS_AT_ONCE or chars >= CHARS_AT_ONCE:
+                        yield out(at, rows)
+                        at, rows, chars = [], [], 0
+            if rows:
+                yield out(at, rows)
+
+    return docs.select(*names, text).mapInArrow(run, schema)
+
+
 def scan(docs: DataFrame, dim_alias: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``(*keys, canonical, raw, s, e)``: mentions with offsets in the whole text; one pass over the texts, no shuffle."""
-    return scan_around(docs, dim_alias, text, keys).select(*keys, "canonical", "raw", "s", "e")
+    return scanned(docs, dim_alias, text, keys, PLACE, lambda t, found: ((canonical, t[s:e], s, e) for s, e, canonical in found))
 
 
 #: Characters kept on either side of a mention.
@@ -213,40 +250,29 @@ AROUND = 40
 CLAUSE, NEWLINE = re.compile(f"[{re.escape(V.CLAUSE_BORDER)}]"), re.compile("\n")
 
 
+def surroundings(t: str, found: list[tuple[int, int, str]]) -> Iterator[tuple]:
+    """A text's mentions with line number, clause and the text around."""
+    if not found:
+        return
+    starts = [0, *(x.end() for x in NEWLINE.finditer(t))]
+    line_no, borders = -1, []
+    for s, e, canonical in found:
+        now = bisect_right(starts, s) - 1
+        if now != line_no:
+            line_no, base = now, starts[now]
+            line = t[base : starts[now + 1] - 1 if now + 1 < len(starts) else len(t)]
+            borders = [-1, *(x.start() for x in CLAUSE.finditer(line)), len(line)]
+        left, right = borders[bisect_left(borders, s - base) - 1] + 1, borders[bisect_left(borders, e - base)]
+        low = max(0, s - AROUND)
+        yield canonical, t[s:e], s, e, line_no, line[left:right].strip(), t[low : e + AROUND], low
+
+
 def scan_around(docs: DataFrame, dim_alias: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``scan`` with each mention's line number, its clause, and the text around it (``around`` begins ``at`` in the text).
 
     What later steps look at travels with the mention, so that none of them reads the text again.
     """
-    compiled, names = Compiled(dim_alias), list(keys)
-    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys) + ", canonical string, raw string, s int, e int, line_no int, clause string, around string, at int"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = compiled.matcher()
-        for b in shared.slices(batches):
-            at, rows = [], []
-            for i, t in enumerate(b.column(len(names)).to_pylist()):
-                found = m.scan(t or "")
-                if not found:
-                    continue
-                starts = [0, *(x.end() for x in NEWLINE.finditer(t))]
-                line_no, borders = -1, []
-                for s, e, canonical in found:
-                    now = bisect_right(starts, s) - 1
-                    if now != line_no:
-                        line_no, base = now, starts[now]
-                        line = t[base : starts[now + 1] - 1 if now + 1 < len(starts) else len(t)]
-                        borders = [-1, *(x.start() for x in CLAUSE.finditer(line)), len(line)]
-                    left, right = borders[bisect_left(borders, s - base) - 1] + 1, borders[bisect_left(borders, e - base)]
-                    low = max(0, s - AROUND)
-                    at.append(i)
-                    rows.append((canonical, t[s:e], s, e, line_no, line[left:right].strip(), t[low : e + AROUND], low))
-            own = [b.column(k).take(pa.array(at, pa.int64())) for k in range(len(names))]
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32())
-            cols = zip(*rows, strict=True) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*names, "canonical", "raw", "s", "e", "line_no", "clause", "around", "at"])
-
-    return docs.select(*names, text).mapInArrow(run, schema)
+    return scanned(docs, dim_alias, text, keys, SURROUNDINGS, surroundings)
 
 
 def from_rows(spark: SparkSession, entries: list[tuple[str, str, list[str], list[str]]]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -256,10 +282,16 @@ def from_rows(spark: SparkSession, entries: list[tuple[str, str, list[str], list
         raise ValueError("a canonical name occurs twice")
     aliases = [(a, c, 100 * i + j) for i, (c, _, al, _) in enumerate(entries) for j, a in enumerate(dict.fromkeys([*al, c.lower()]))]
     parents = [(c, p) for c, _, _, ps in entries for p in ps]
-    return (
-        spark.createDataFrame([(c, k) for c, k, _, _ in entries], "canonical string, category string"),
-        spark.createDataFrame(aliases, "alias string, canonical string, ord int"),
-        spark.createDataFrame(parents, "child string, parent string"),
-    )
 
+    def frame(rows: list[tuple], columns: str) -> DataFrame:
+        # By way of Arrow: a list of rows would go through Python workers of its own, which stay beside those of the scan.
+        fields = [c.split() for c in columns.split(", ")]
+        kinds = [pa.string() if kind == "string" else pa.int32() for _, kind in fields]
+        made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)]
+        return spark.createDataFrame(pa.table(made, names=[n for n, _ in fields]), columns)
 
+    return (
+        frame([(c, k) for c, k, _, _ in entries], "canonical string, category string"),
+        frame(aliases, "alias string, canonical string, ord int"),
+        frame(parents, "child string, parent string"),
+    )

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,15 +53,32 @@ def large(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-#: Documents that a worker looks at at once, so that its memory doesn't grow with what a batch holds.
-AT_ONCE = 256
+#: Documents, and bytes of their texts, that a worker looks at at once, so that its memory doesn't grow with what a batch holds.
+AT_ONCE, BYTES_AT_ONCE = 256, 4 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in pieces of at most ``AT_ONCE`` rows."""
+    """Arrow batches, whose last column is a text, in pieces of at most ``AT_ONCE`` rows and ``BYTES_AT_ONCE`` (a longer text is a piece of its own).
+
+    What a batch took is handed back to the system before the next one is read.
+    """
     for b in batches:
-        for at in range(0, b.num_rows, AT_ONCE):
-            yield b.slice(at, AT_ONCE)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, min(at + AT_ONCE, int(np.searchsorted(ends, before + BYTES_AT_ONCE, "right"))))
+            yield b.slice(at, to - at)
+            at = to
+        del b
+        release()
+
+
+def release() -> None:
+    """Hand freed memory back to the system, so that an idle worker doesn't hold what its last task needed."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
