@@ -24,8 +24,8 @@ from fitloom.sources import shared
 OTHER = "其它"
 #: Aliases that a task compiles at most, and beginnings of aliases for which they are broadcast.
 MOST_ALIASES, MOST_HEADS = 500_000, 20_000
-#: Characters up to which a line's places are reached by walking.
-SHORT = 600
+#: Characters up to which a line's places are reached by walking; beginnings of aliases up to which a line is cut before them.
+SHORT, FEW_HEADS = 600, 64
 CJK = r"[一-鿿]"
 ORDER = "struct<n:int,ord:bigint,alias:string>"
 
@@ -83,20 +83,41 @@ def boundary_ok(left: Column, right: Column, is_cjk: Column) -> Column:
     return is_cjk | (~left.rlike("[A-Za-z0-9_+#.]") & ~right.rlike("[A-Za-z_+#.]"))
 
 
-def places(size: int, heads: list[str], longest: int) -> Column:
+def cut(heads: list[str], anywhere: bool) -> str | None:
+    """A pattern of the empty places before which a short line is cut, so that all places that count are cuts; None for each place.
+
+    A place counts if one of ``heads`` follows and, unless aliases may stand ``anywhere``, no letter precedes.
+    Many heads are not looked for here.
+    """
+    border = "" if anywhere else "(?<![A-Za-z0-9_+#.])"
+    if len(heads) <= FEW_HEADS:
+        # Cases are folded in the heads alone: the border's letters are A-Z and a-z, not those that fold to them.
+        return f"{border}(?=(?iu:" + "|".join("".join(c if c.isalnum() else "\\" + c for c in h) for h in sorted(heads)) + "))"
+    return border + "(?=(?s:.))" if border else None
+
+
+def places(size: int, heads: list[str], longest: int, anywhere: bool = True) -> Column:
     """The places of ``line`` whose first ``size`` characters are among ``heads``, each with what follows it.
 
-    A text is walked from its beginning to reach a place, so long lines are cut into characters first.
+    A text is walked from its beginning to reach a place, so long lines are cut into characters
+    first.  Short ones are cut where a place can count (``cut``) and only those places are looked at.
     """
 
-    def by(piece, of: Column) -> Column:
+    def by(piece, places: Column) -> Column:
         head = lambda p: F.lower(piece(p, size))
         one = lambda p: F.struct(p.alias("p"), head(p).alias("_k"), F.when(p > 1, piece(p - 1, 1)).otherwise("").alias("left"), piece(p, longest + 1).alias("piece"))
-        return F.transform(F.filter(F.sequence(F.lit(1), of), lambda p: head(p).isin(heads)), one)
-
-    line = F.col("line")
-    short = by(lambda p, n: F.substr(line, p, F.lit(n)), F.length(line))
-    long = T.let(F.split(line, ""), lambda chars: by(lambda p, n: F.array_join(F.slice(chars, p, n), ""), F.size(chars)))
+        return F.transform(F.filter(places, lambda p: head(p).isin(heads)), one)
+
+    line, pattern = F.col("line"), cut(heads, anywhere)
+    # Where each part begins; a fold over the few parts of a line of at most `SHORT` characters.
+    begins = F.aggregate(
+        F.split(line, pattern or ""),
+        F.struct(F.lit(1).alias("p"), F.array().cast("array<int>").alias("all")),
+        lambda acc, x: F.struct((acc["p"] + F.length(x)).alias("p"), F.concat(acc["all"], F.array(acc["p"])).alias("all")),
+        lambda acc: acc["all"],
+    )
+    short = by(lambda p, n: F.substr(line, p, F.lit(n)), begins if pattern else F.sequence(F.lit(1), F.length(line)))
+    long = T.let(F.split(line, ""), lambda chars: by(lambda p, n: F.array_join(F.slice(chars, p, n), ""), F.sequence(F.lit(1), F.size(chars))))
     return F.when(F.length(line) <= SHORT, short).otherwise(long)
 
 
@@ -111,10 +132,11 @@ def candidates(lines: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFra
     found = []
     for size in (1, 2):
         own = aliases.where(F.col("len") == 1 if size == 1 else F.col("len") > 1).withColumn("_k", F.substr("alias", F.lit(1), F.lit(size)))
-        heads = [r["_k"] for r in own.select("_k").distinct().collect()]
+        begun = own.groupBy("_k").agg(F.max("is_cjk").alias("cjk")).collect()
+        heads, anywhere = [r["_k"] for r in begun], any(r["cjk"] for r in begun)
         if not heads:
             continue
-        at = lines.where(F.length("line") >= size).select(*keys, F.explode(places(size, heads, longest)).alias("x")).select(*keys, "x.*")
+        at = lines.where(F.length("line") >= size).select(*keys, F.explode(places(size, heads, longest, anywhere)).alias("x")).select(*keys, "x.*")
         found.append(at.join(F.broadcast(own) if len(heads) <= MOST_HEADS else own, "_k"))
     if not found:
         return lines.where("false").select(*keys, F.lit("").alias("canonical"), F.lit(None).cast(ORDER).alias("compile_ord"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("raw"))

@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from fitloom.functions import text as T
+from fitloom.operators import dictionary as DI
 from fitloom.plans import matching
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +29,21 @@ def test_a_tail_is_sought_backwards(spark):
     long = spark.range(1).select(T.tail(F.concat(F.repeat(F.lit("x"), 300_000), F.lit(".y")), "[^.]").alias("x"))
     began = time.time()
     assert long.first().x == "y" and time.time() - began < 20
+
+
+def test_short_lines_are_cut_where_aliases_begin(spark, monkeypatch):
+    """The native scan looks only at places that can count, and finds what a look at every place finds."""
+    entries = [("A", "x", ["the", "c++", "k8s", "straße", "σας", ".net", "th"], []), ("B", "x", ["向量检索", "检索x", "x检索"], []), ("C", "x", ["q"], [])]
+    texts = ["The the  THE. c++ C++, xthe the9 the_", "K8S K8s", "STRASSE straße STRAẞE", "ΣΑΣ σας", "😀the 😀 .NET a.net", "用x检索x向量检索the向量检索", "", "q Q xq q", "the " * 140, "t", "İthe İ the", "thethe the the\rthe"]
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, line string")
+    found = lambda e: sorted(map(tuple, DI.scan_native(lines, DI.from_rows(spark, e)[1], ["doc_id"]).collect()))
+    for e in (entries, [entries[0], entries[2]], [entries[0]], [entries[1]]):
+        monkeypatch.setattr(DI, "FEW_HEADS", 64)
+        few = found(e)
+        monkeypatch.setattr(DI, "FEW_HEADS", 0)
+        many = found(e)
+        monkeypatch.setattr(DI, "cut", lambda heads, anywhere: None)
+        assert few == many == found(e) and few
+        monkeypatch.undo()
+    # A line without any place that counts is one part, whatever its length.
+    assert spark.range(1).select(F.size(F.split(F.lit("other earth xthe " * 30), DI.cut(["th"], False)))).first()[0] == 1
