@@ -24,7 +24,7 @@ from fitloom.sources import shared
 OTHER = "其它"
 #: Aliases that a task compiles at most, and beginnings of aliases for which they are broadcast.
 MOST_ALIASES, MOST_HEADS = 500_000, 20_000
-#: Characters up to which a line's places are reached by walking; beginnings of aliases up to which a line is cut before them.
+#: Characters of a part of a line, whose places are reached by walking; beginnings of aliases up to which a part is cut before them.
 SHORT, FEW_HEADS = 600, 64
 CJK = r"[一-鿿]"
 ORDER = "struct<n:int,ord:bigint,alias:string>"
@@ -84,7 +84,7 @@ def boundary_ok(left: Column, right: Column, is_cjk: Column) -> Column:
 
 
 def cut(heads: list[str], anywhere: bool) -> str | None:
-    """A pattern of the empty places before which a short line is cut, so that all places that count are cuts; None for each place.
+    """A pattern of the empty places before which a part of a line is cut, so that all places that count are cuts; None for each place.
 
     A place counts if one of ``heads`` follows and, unless aliases may stand ``anywhere``, no letter precedes.
     Many heads are not looked for here.
@@ -96,29 +96,43 @@ def cut(heads: list[str], anywhere: bool) -> str | None:
     return border + "(?=(?s:.))" if border else None
 
 
-def places(size: int, heads: list[str], longest: int, anywhere: bool = True) -> Column:
-    """The places of ``line`` whose first ``size`` characters are among ``heads``, each with what follows it.
+def parts(lines: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """``(*keys, off, lead, own, line)``: lines in parts of ``own`` characters from ``off`` on, with ``lead`` characters before them and as many after as an alias may need.
 
-    A text is walked from its beginning to reach a place, so long lines are cut into characters
-    first.  Short ones are cut where a place can count (``cut``) and only those places are looked at.
+    A text is walked from its beginning to reach a place in it, so no part may be long.
     """
+    n, line = max(SHORT, longest + 1), F.col("line")
+    part = lambda off, lead, own, text: F.struct(off.cast("int").alias("off"), F.lit(lead).alias("lead"), F.length(own).alias("own"), text.alias("line"))
+    whole = F.array(part(F.lit(0), 0, line, line))
+    after = lambda c, i: F.coalesce(F.substr(F.get(c, i + 1), F.lit(1), F.lit(longest + 1)), F.lit(""))
+    cuts = T.let(
+        F.regexp_extract_all(line, F.lit(f"(?s).{{1,{n}}}"), F.lit(0)),
+        lambda c: F.transform(
+            c,
+            lambda x, i: F.when(i == 0, part(i, 0, x, F.concat(x, after(c, i)))).otherwise(part(i * n, 1, x, F.concat(F.substr(F.get(c, i - 1), F.lit(-1), F.lit(1)), x, after(c, i)))),
+        ),
+    )
+    return lines.select(*keys, F.explode(F.when(F.length(line) <= n, whole).otherwise(cuts)).alias("x")).select(*keys, "x.*")
 
-    def by(piece, places: Column) -> Column:
-        head = lambda p: F.lower(piece(p, size))
-        one = lambda p: F.struct(p.alias("p"), head(p).alias("_k"), F.when(p > 1, piece(p - 1, 1)).otherwise("").alias("left"), piece(p, longest + 1).alias("piece"))
-        return F.transform(F.filter(places, lambda p: head(p).isin(heads)), one)
 
+def places(size: int, heads: list[str], longest: int, anywhere: bool = True) -> Column:
+    """The places of a part's own characters where one of ``heads``, of ``size`` characters, begins, each with what follows it.
+
+    The part is cut where a place can count (``cut``) and only those places are looked at.
+    """
     line, pattern = F.col("line"), cut(heads, anywhere)
-    # Where each part begins; a fold over the few parts of a line of at most `SHORT` characters.
+    piece = lambda p, n: F.substr(line, p, F.lit(n))
+    head = lambda p: F.lower(piece(p, size))
+    one = lambda p: F.struct((F.col("off") + p - F.col("lead")).alias("p"), head(p).alias("_k"), F.when(p > 1, piece(p - 1, 1)).otherwise("").alias("left"), piece(p, longest + 1).alias("piece"))
+    # Where each piece begins; a fold over the few pieces of a part.
     begins = F.aggregate(
         F.split(line, pattern or ""),
         F.struct(F.lit(1).alias("p"), F.array().cast("array<int>").alias("all")),
         lambda acc, x: F.struct((acc["p"] + F.length(x)).alias("p"), F.concat(acc["all"], F.array(acc["p"])).alias("all")),
         lambda acc: acc["all"],
     )
-    short = by(lambda p, n: F.substr(line, p, F.lit(n)), begins if pattern else F.sequence(F.lit(1), F.length(line)))
-    long = T.let(F.split(line, ""), lambda chars: by(lambda p, n: F.array_join(F.slice(chars, p, n), ""), F.sequence(F.lit(1), F.size(chars))))
-    return F.when(F.length(line) <= SHORT, short).otherwise(long)
+    at = begins if pattern else F.sequence(F.lit(1), F.length(line))
+    return F.transform(F.filter(at, lambda p: (p > F.col("lead")) & (p <= F.col("lead") + F.col("own")) & head(p).isin(heads)), one)
 
 
 def candidates(lines: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:
@@ -129,6 +143,7 @@ def candidates(lines: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFra
     (on the first for aliases of one), so no line is compared with the whole dictionary.
     """
     longest = aliases.agg(F.max("len")).first()[0] or 1
+    lines = parts(lines, keys, longest)
     found = []
     for size in (1, 2):
         own = aliases.where(F.col("len") == 1 if size == 1 else F.col("len") > 1).withColumn("_k", F.substr("alias", F.lit(1), F.lit(size)))

@@ -47,3 +47,17 @@ def test_short_lines_are_cut_where_aliases_begin(spark, monkeypatch):
         monkeypatch.undo()
     # A line without any place that counts is one part, whatever its length.
     assert spark.range(1).select(F.size(F.split(F.lit("other earth xthe " * 30), DI.cut(["th"], False)))).first()[0] == 1
+
+
+def test_long_lines_come_in_parts(spark, monkeypatch):
+    """Aliases across the parts' ends are found once, at their places in the whole line, whatever the parts' size."""
+    alias = DI.from_rows(spark, [("A", "x", ["the", "general public license", "😀x", "q"], []), ("B", "x", ["向量检索"], [])])[1]
+    texts = ["xthe the general public license q" * 3, "the 😀x 向量检索 xqx q " * 9, "the " * 40, "a" * 90 + " q"]
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, line string")
+    found = lambda: sorted(map(tuple, DI.scan_native(lines, alias, ["doc_id"]).select("doc_id", "canonical", "s", "e", "raw").collect()))
+    want = found()
+    assert all(texts[d][s:e] == raw for d, _, s, e, raw in want) and len(want) > 50
+    monkeypatch.setattr(DI, "SHORT", 5)
+    assert found() == want == sorted((r.doc_id, r.canonical, r.s, r.e, r.raw) for r in DI.scan(lines, alias, "line").collect())
+    n = DI.parts(lines, ["doc_id"], 6).groupBy("doc_id").agg(F.sum("own").alias("n"), F.max(F.length("line")).alias("most")).collect()
+    assert {r.doc_id: r.n for r in n} == {i: len(t) for i, t in enumerate(texts)} and max(r.most for r in n) <= 1 + 7 + 7
