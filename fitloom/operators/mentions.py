@@ -64,7 +64,7 @@ def locate(docs: DataFrame, dim_alias: DataFrame, text: str = "text", keys: tupl
     Mentions meet the kinds of their lines by line number; no text is shuffled with them.
     """
     found = dictionary.scan_around(docs, dim_alias, text, keys)
-    kinds = sections.tagged_lines(docs, text, keys).select(*keys, "line_no", "kind")
+    kinds = sections.tagged_lines(docs, text, keys, offsets=False).select(*keys, "line_no", "kind")
     m = found.join(shared.large(kinds), [*keys, "line_no"])
     t, s, e = F.col("around"), F.col("s") - F.col("at"), F.col("e") - F.col("at")
     return m.select(

@@ -73,10 +73,15 @@ def lines(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id"
 LINE_COLUMNS = ("line_no", "start_offset", "end_offset", "line")
 
 
-def tagged_lines(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``lines`` with the number (0 for what stands before the first heading), kind and title of their section."""
+def numbered(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``(*keys, line_no, line)``: ``lines`` for those who need no offsets, in generated code alone."""
+    return docs.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line"))
+
+
+def tagged_lines(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), offsets: bool = True) -> DataFrame:
+    """``lines`` (without ``offsets``: ``numbered``) with the number (0 for what stands before the first heading), kind and title of their section."""
     own = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    h = lines(docs, text, keys).withColumns({"_in": inline_heading(F.col("line")), "_h": heading(F.col("line"))})
+    h = (lines if offsets else numbered)(docs, text, keys).withColumns({"_in": inline_heading(F.col("line")), "_h": heading(F.col("line"))})
     h = h.withColumns(
         {
             "is_heading": F.col("_in").isNotNull() | F.col("_h").isNotNull(),
@@ -85,10 +90,7 @@ def tagged_lines(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("
     ).withColumn("_k", F.when(F.col("_in").isNotNull(), F.col("_k")).otherwise(F.col("_h")))
     return h.select(
         *keys,
-        "line_no",
-        "start_offset",
-        "end_offset",
-        "line",
+        *(LINE_COLUMNS if offsets else ("line_no", "line")),
         "is_heading",
         F.col("_in.rest").alias("inline_rest"),
         F.sum(F.col("is_heading").cast("int")).over(own).alias("sec_no"),
@@ -97,21 +99,22 @@ def tagged_lines(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("
     )
 
 
-def sections(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def sections(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), offsets: bool = True) -> DataFrame:
     """``(*keys, sec_no, kind, title, start_line, end_line, start_offset, end_offset, heading_line, body)``; section 0 is the preamble.
 
-    A section ends where the next heading begins, the last one with the text.
+    A section ends where the next heading begins, the last one with the text.  Without ``offsets`` those two columns are left out, and no Python runs.
     """
-    t = tagged_lines(docs, text, keys)
+    t = tagged_lines(docs, text, keys, offsets)
     body = F.when(~F.col("is_heading"), F.col("line")).otherwise(F.col("inline_rest"))
     rows = t.groupBy(*keys, "sec_no", "kind", "title").agg(
         F.min("line_no").alias("start_line"),
         F.max("line_no").alias("end_line"),
-        F.min("start_offset").alias("start_offset"),
-        F.max("end_offset").alias("_end"),
+        *((F.min("start_offset").alias("start_offset"), F.max("end_offset").alias("_end")) if offsets else ()),
         F.coalesce(F.max(F.when(F.col("is_heading"), F.col("line"))), F.lit("")).alias("heading_line"),
         T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(body.isNotNull(), F.struct("line_no", body.alias("b"))))), lambda x: x["b"]), "\n")).alias("body"),
     )
+    if not offsets:
+        return rows
     after = Window.partitionBy(*keys).orderBy("sec_no")
     return rows.withColumn("end_offset", F.coalesce(F.lead("start_offset").over(after), F.col("_end"))).drop("_end")
 

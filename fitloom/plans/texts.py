@@ -86,7 +86,7 @@ r0 AS (SELECT doc_id, line_no, canonical, ord, p-1 AS s, p-1+length(alias) AS e
 @query(_SCAN + "SELECT doc_id, canonical, count(*) AS n, CAST(sum(s) AS BIGINT) AS s_sum FROM h GROUP BY 1,2")
 def dict_scan(spark: SparkSession, d: str) -> DataFrame:
     _, alias, _ = DI.from_rows(spark, WORDS)
-    lines = SE.lines(table(spark, d, "documents")).select("doc_id", "line_no", "line")
+    lines = SE.numbered(table(spark, d, "documents"))
     return DI.scan_native(lines, alias, ["doc_id", "line_no"]).groupBy("doc_id", "canonical").agg(F.count("*").alias("n"), F.sum("s").alias("s_sum"))
 
 

@@ -43,7 +43,7 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    return SE.lines(documents(spark, d)).select("doc_id", "line_no", "line")
+    return SE.numbered(documents(spark, d))
 
 
 def spans(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +69,7 @@ def whole_strip_bullet(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def whole_sections(spark: SparkSession, d: str) -> DataFrame:
-    return SE.sections(documents(spark, d)).select("doc_id", "sec_no", "kind", "start_line", "end_line", "body")
+    return SE.sections(documents(spark, d), offsets=False).select("doc_id", "sec_no", "kind", "start_line", "end_line", "body")
 
 
 @query
@@ -79,7 +79,7 @@ def whole_locate_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def whole_judge_demand(spark: SparkSession, d: str) -> DataFrame:
-    return SE.tagged_lines(documents(spark, d)).select("doc_id", "line_no", "kind", D.demand(F.col("line"), F.col("kind")).alias("demand"))
+    return SE.tagged_lines(documents(spark, d), offsets=False).select("doc_id", "line_no", "kind", D.demand(F.col("line"), F.col("kind")).alias("demand"))
 
 
 @query

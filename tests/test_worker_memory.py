@@ -3,6 +3,8 @@
 import pyarrow as pa
 
 from fitloom.operators import dictionary as DI
+from fitloom.operators import sections as SE
+from fitloom.plans import whole
 from fitloom.plans.texts import WORDS
 from fitloom.sources import shared
 
@@ -37,3 +39,15 @@ def test_mentions_of_a_long_line_come_in_pieces(spark, monkeypatch):
         sizes.append((b.num_rows, b.nbytes))
     assert sum(n for n, _ in sizes) == 4001 and max(size for _, size in sizes) < 6 << 20
     assert DI.scan(docs, alias).count() == 4001
+
+
+def test_lines_without_offsets_need_no_workers(spark, tmp_path):
+    rows = [(1, None), (2, ""), (3, "\n"), (4, "a\r\nb\n\n"), (5, "\n\n技能：x\n😀 y\x00z\n"), (6, "l\n" * 3000 + "教育背景\nz"), (7, "一" * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("whole_sections", "whole_judge_demand", "whole_clean_heading", "whole_strip_bullet", "whole_date_ranges", "whole_years_requirement"):
+        assert "MapInArrow" not in whole.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+    assert same(SE.numbered(docs), SE.lines(docs))
+    assert same(SE.sections(docs, offsets=False), SE.sections(docs))
+    assert same(SE.tagged_lines(docs, offsets=False), SE.tagged_lines(docs))
