@@ -93,7 +93,10 @@ def stirred(x: np.ndarray) -> np.ndarray:
 
 def slots_of(contexts: np.ndarray, nodes: np.ndarray, bits: int) -> np.ndarray:
     """Slots below 2 ** bits of stirred contexts and multiplied nodes."""
-    return (((contexts ^ nodes) * A) >> np.uint64(64 - bits)).astype(np.int64)
+    x = contexts ^ nodes
+    x *= A
+    x >>= np.uint64(64 - bits)
+    return x.view(np.int64)
 
 
 # ---------------------------------------------------------------------------
@@ -123,7 +126,12 @@ def squash(z: np.ndarray) -> np.ndarray:
 
 
 def support_of(n: np.ndarray) -> np.ndarray:
-    return LUT[np.minimum(n, 16).astype(np.int8)]
+    return LUT.take(np.minimum(n, 16).astype(np.int8))
+
+
+def crossed(w: list[np.ndarray]) -> np.ndarray:
+    """The sums of both gates' weights by input and pair of gates (the first's value times sides, plus the second's), so that a bit looks up one number an input."""
+    return (w[0].astype(np.float32)[:, :, None] + w[1].astype(np.float32)[:, None, :]).reshape(len(w[0]), -1)
 
 
 def cell_of(z: np.ndarray, side: np.ndarray) -> np.ndarray:
@@ -142,17 +150,22 @@ class Learner:
         self.seen = 0
 
     def predict(self, slots: list[np.ndarray], side: np.ndarray) -> tuple:
-        """Inputs, gates and the mixed logit of each bit."""
+        """Inputs, pairs of gates and the mixed logit of each bit."""
         pairs = self.counts.view(np.uint64)
-        n = [pairs[s].view(np.float32).reshape(-1, 2) for s in slots]
-        x = [np.log((c[:, 1] + np.float32(0.4)) / (c[:, 0] + np.float32(0.4))) for c in n]
+        x, seen = [], {}
+        for m, s in enumerate(slots):
+            c = pairs.take(s).view(np.float32).reshape(-1, 2)
+            if m in self.layout.watched:
+                seen[m] = support_of(c[:, 0] + c[:, 1])
+            c += np.float32(0.4)
+            v = c[:, 1] / c[:, 0]
+            x.append(np.log(v, out=v))
         i, j = self.layout.watched
-        gate = support_of(n[i][:, 0] + n[i][:, 1]).astype(np.int64) * SUPPORT + support_of(n[j][:, 0] + n[j][:, 1])
-        a, b = (w.astype(np.float32) for w in self.w)
+        gates = (seen[i] * np.int8(SUPPORT) + seen[j]) * np.int64(self.layout.sides) + side
         z = np.zeros(len(side), np.float32)
-        for m, v in enumerate(x):
-            z += v * (a[m][gate] + b[m][side])
-        return x, gate, np.clip(z, -11, 11, out=z)
+        for v, w in zip(x, crossed(self.w), strict=True):
+            z += v * w.take(gates)
+        return x, gates, np.clip(z, -11, 11, out=z)
 
     def learn(self, bit: np.ndarray, slots: list[np.ndarray], side: np.ndarray) -> np.ndarray:
         """Predict the bits, move the weights, count; the probabilities of a one before the map."""
@@ -164,18 +177,18 @@ class Learner:
         return p
 
     def move(self, bit: np.ndarray, slots: list[np.ndarray], side: np.ndarray) -> np.ndarray:
-        x, gate, z = self.predict(slots, side)
+        x, gates, z = self.predict(slots, side)
         p = squash(z)
         err = bit.astype(np.float32) - p
         for m, v in enumerate(x):
-            pull = err * v
-            for w, sq, g in zip(self.w, self.sq, (gate, side), strict=True):
-                grad = np.bincount(g, pull, w.shape[1])
+            pull = np.bincount(gates, err * v, self.w[0].shape[1] * self.layout.sides).reshape(-1, self.layout.sides)
+            for w, sq, grad in zip(self.w, self.sq, (pull.sum(1), pull.sum(0)), strict=True):
                 sq[m] += grad * grad
                 w[m] += RATE * grad / np.sqrt(sq[m])
         cell = cell_of(z, side)
-        self.map[0] += np.bincount(cell, bit, len(self.map[0]))
-        self.map[1] += np.bincount(cell, minlength=len(self.map[1]))
+        found = np.bincount(2 * cell + bit, minlength=2 * len(self.map[0])).reshape(-1, 2)
+        self.map[0] += found[:, 1]
+        self.map[1] += found.sum(1)
         return p
 
     def pieces(self) -> Iterator[tuple[int, bytes]]:
@@ -207,6 +220,7 @@ class Mixer:
         w = (tail[:b] / (GRAIN * float(max(1, tail[-1])))).astype(np.float32) if tail[-1] else np.concatenate((np.full(a, 0.3, np.float32), np.zeros(b - a, np.float32)))
         w /= LOGIT
         self.w = [w[:a].reshape(k, -1), w[a:].reshape(k, -1)]
+        self.crossed = crossed(self.w)
         ones, all_ = tail[b:c], tail[c : 2 * c - b]
         middle = squash(np.tile(np.arange(BUCKETS), layout.sides) * (22 / (BUCKETS - 1)) - 11)
         self.correction = (0.5 * ((ones + 20 * middle) / (all_ + 20) - middle)).astype(np.float32)
@@ -214,16 +228,16 @@ class Mixer:
     def cost(self, bit: np.ndarray, slots: list[np.ndarray], side: np.ndarray) -> np.ndarray:
         """Minus log10 of each bit's probability."""
         i, j = self.layout.watched
-        gate = self.support[slots[i]].astype(np.int64) * SUPPORT + self.support[slots[j]]
-        a, b = self.w
+        gates = (self.support.take(slots[i]) * np.int8(SUPPORT) + self.support.take(slots[j])) * np.int64(self.layout.sides) + side
         z = np.zeros(len(bit), np.float32)
-        for m, s in enumerate(slots):
-            z += self.logit[s] * (a[m][gate] + b[m][side])
+        for s, w in zip(slots, self.crossed, strict=True):
+            z += self.logit.take(s) * w.take(gates)
         np.clip(z, -11, 11, out=z)
         p = squash(z)
         p += self.correction[cell_of(z, side)]
         np.clip(p, 1e-5, 1 - 1e-5, out=p)
-        return -np.log10(np.where(bit == 1, p, 1 - p))
+        p = np.abs(p - (1 - bit).astype(np.float32))
+        return np.log(p, out=p) * np.float32(-1 / math.log(10))
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -352,9 +366,9 @@ class Codes:
         size = self.size[symbols]
         ends = np.cumsum(size)
         owner = np.repeat(np.arange(len(symbols)), size)
-        depth = np.arange(ends[-1] if len(size) else 0) - np.repeat(ends - size, size)
-        at = np.repeat(self.start[symbols], size) + depth
-        return owner, self.node[at], self.bit[at], depth
+        depth = np.arange(ends[-1] if len(size) else 0) - (ends - size).take(owner)
+        at = self.start[symbols].take(owner) + depth
+        return owner, self.node.take(at), self.bit.take(at), depth
 
 
 @dataclass
@@ -416,6 +430,8 @@ class Reader:
         self.head = head
         self.index = {w: i for i, w in enumerate(head.words)}
         self.offsets = head.layout.offsets
+        # By language, with a last word that tells nothing.
+        self.speaks = np.ascontiguousarray(np.concatenate((head.speaks, np.zeros((1, head.langs), np.int64))).T)
 
     def look_up(self, words: list[bytes | None], ends: list[int]) -> np.ndarray:
         """Each word's index in the head, -1 - its guessed language, or ``END`` for ends."""
@@ -441,25 +457,34 @@ class Reader:
         one[heads] = 0
         two[heads] = 0
         two[1:][heads[:-1]] = 0
-        told = np.zeros((n, self.head.langs), np.int64)
-        known = found >= 0
-        told[known] = self.head.speaks[found[known]]
-        before = np.cumsum(told, axis=0) - told
         text = np.cumsum(heads)
-        base = np.zeros((int(text[-1]) + 1, self.head.langs), np.int64)
-        base[text[starts]] = before[starts]
+        carried = np.zeros(self.head.langs, np.int64)
         if carry is not None and not heads[0]:
             one[0], two[0] = carry[:2]
             if n > 1 and not heads[1]:
                 two[1] = carry[0]
-            base[0] = -carry[2]
-        before -= base[text]
-        margin = np.zeros(n)
-        if self.head.langs > 1:
-            best = np.partition(before, self.head.langs - 2, axis=1)[:, -2:]
-            margin = best[:, 1] - best[:, 0]
+            carried = carry[2]
+        # Language by language: the best so far, the second and which one the best is.
+        word = np.where(found >= 0, found, len(self.head.words))
+        base, after = np.zeros(int(text[-1]) + 1, np.int64), np.zeros(self.head.langs, np.int64)
+        best = second = which = None
+        for k, speaks in enumerate(self.speaks):
+            told = speaks.take(word)
+            before = np.cumsum(told)
+            before -= told
+            base[text[starts]] = before[starts]
+            base[0] = -carried[k]
+            before -= base.take(text)
+            after[k] = before[-1] + told[-1]
+            if k == 0:
+                best, second, which = before, np.full(n, NEVER), np.zeros(n, np.int64)
+            else:
+                np.maximum(second, np.minimum(best, before), out=second)
+                which[before > best] = k
+                best = np.maximum(best, before)
+        margin = best - second if self.head.langs > 1 else np.zeros(n)
         sure = (margin > 700).astype(np.int64) + (margin > 2500) + (margin > 6000)
-        return one, two, before.argmax(1) * 4 + sure, (ids[-1], one[-1], before[-1] + told[-1])
+        return one, two, which * 4 + sure, (ids[-1], one[-1], after)
 
     def slots(self, symbols: np.ndarray, one: np.ndarray, two: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
         """Owner, bit, slots by input and second gate of each bit of the symbols' codes."""
@@ -467,13 +492,14 @@ class Reader:
         o, n = self.offsets, self.head.codes.nodes
         a, b, s = one.astype(np.uint64), two.astype(np.uint64), state.astype(np.uint64)
         spread = node.astype(np.uint64) * B
-        slots = [node, o[1] + (state * n)[owner] + node]
+        slots = [node, (o[1] + state * n).take(owner) + node]
         for i, key in enumerate((a * A + np.uint64(1), (a * A + b) * A + np.uint64(2), (b * A + s) * A + np.uint64(3))):
-            slots.append(slots_of(stirred(key)[owner], spread, self.head.bits) + o[2 + i])
-        return owner, bit, slots, (state % 4 * 8)[owner] + np.minimum(depth, 7)
+            slots.append(slots_of(stirred(key).take(owner), spread, self.head.bits))
+            slots[-1] += o[2 + i]
+        return owner, bit, slots, (state % 4 * 8).take(owner) + np.minimum(depth, 7)
 
 
-END = -1_000_000
+END, NEVER = -1_000_000, -(1 << 62)
 
 
 def symbols_of(found: np.ndarray, table: np.ndarray) -> np.ndarray:

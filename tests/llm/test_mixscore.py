@@ -212,3 +212,36 @@ def test_held_out_gain(spark, sf, least):
     docs = table(spark, "/root/testdata/" + sf, "documents")
     r = mixscore.score(docs).where("held_out").selectExpr("sum(score) s", "sum(base_score) b", "sum(n_tokens) n").first()
     assert (r.s - r.b) / r.n > least
+
+
+def test_a_bit_looks_up_one_weight_an_input():
+    rng = np.random.default_rng(3)
+    w = [rng.normal(size=(3, 25)), rng.normal(size=(3, 8))]
+    both = mixscore.crossed(w)
+    gate, side = rng.integers(0, 25, 200), rng.integers(0, 8, 200)
+    assert np.allclose(both[:, gate * 8 + side], w[0][:, gate] + w[1][:, side], atol=1e-6)
+
+
+@pytest.mark.parametrize("langs", [1, 2, 5])
+def test_languages_of_earlier_words(langs):
+    """The state against sums over each text, whatever the runs; of equal languages the first one counts."""
+    rng = np.random.default_rng(langs)
+    counts = rng.integers(0, 40, (60, langs)) + 1
+    head = mixscore.build_head([b"w%d" % i for i in range(60)], counts, 10, np.ones(langs, np.int64), [0] * mixscore.SUFFIXES, 1, 1000)
+    reader, texts = mixscore.Reader(head), [rng.integers(-1, 60, n) for n in (0, 1, 2, 50, 400)]
+    found = np.concatenate([np.append(t, mixscore.END) for t in texts])
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    want = []
+    for t in texts:
+        for i in range(len(t) + 1):
+            told = sum((head.speaks[x] for x in t[:i] if x >= 0), np.zeros(langs, np.int64))
+            margin = np.diff(np.sort(told)[-2:])[0] if langs > 1 else 0
+            want.append(4 * int(told.argmax()) + int(sum(margin > x for x in (700, 2500, 6000))))
+    for size in (len(found), 7):
+        got, carry = [], None
+        for at in range(0, len(found), size):
+            part = starts[(starts >= at) & (starts < at + size)] - at
+            _, _, state, carry = reader.contexts(found[at : at + size], part, carry)
+            got += state.tolist()
+        assert got == want
+    assert reader.speaks.flags.c_contiguous and reader.speaks.shape == (langs, 61)
