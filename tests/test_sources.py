@@ -36,6 +36,22 @@ def test_store(spark, tmp_path):
     assert store.load(spark, str(tmp_path / "out")).count() == 1
 
 
+def test_many_records_of_a_file(spark, tmp_path):
+    """All records of a file come back, however many a task wrote; a file of other names is one record or a list."""
+    path = tmp_path / "in"
+    docs = spark.range(200).selectExpr("substr(sha2(cast(id as string), 256), 1, 12) AS id", "concat('line\n{', id, '}') AS text", "'n' AS name").coalesce(1)
+    store.save(docs, str(path))
+    store.save(docs.limit(3), str(path))
+    one = {"id": "0123456789ab", "text": "a\n{b"}
+    (path / "one.json").write_text(json.dumps(one, indent=2))
+    (path / "list.json").write_text(json.dumps([one, {**one, "id": "0123456789ac"}], indent=2))
+    (path / "part-00000-x.json").write_text(json.dumps(one) + "\n{broken\n" + json.dumps(one))
+    got = store.load(spark, str(path))
+    assert got.count() == 208 and got.select("id").distinct().count() == 202
+    assert {r.text for r in got.where("name <> 'n'").collect()} == {one["text"]}
+    assert sorted(r.text for r in got.where("name = 'n'").dropDuplicates(["id"]).collect()) == sorted(r.text for r in docs.collect())
+
+
 def test_payloads(spark):
     rows = [(1, 'x {"name": "A", "graduation_year": "2027届", "skills": "a，b，A", "highlights": ["h1", "h1"]} y'), (2, "none"), (3, '{"graduation_year": true}')]
     got = {r.id: r for r in payloads.sanitize_resume(spark.createDataFrame(rows, "id int, p string"), "p").collect()}
