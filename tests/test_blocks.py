@@ -71,3 +71,22 @@ def test_dimensions_are_not_pivoted(spark):
     from fitloom.plans import corpus
 
     assert "Expand" not in _plan(corpus.pair_dimensions(spark, SF))
+
+
+def test_lists_of_alike_candidates(spark, tmp_path):
+    """Lists that go on in the next Arrow batch give all pairs of their block; a pair takes little room in files."""
+    j, r, c = matching.sides(spark, SF)
+    some, size = [F.col(f"`{x}`") for x in r.columns if x not in ("resume_id", "nation")], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    r = shared.stored(r.crossJoin(spark.range(100)).select((F.col("resume_id") * 100 + F.col("id")).alias("resume_id"), F.when(F.col("resume_id") == 9, None).otherwise(F.col("nation") % 2).alias("nation"), *some), "r")
+    j = shared.stored(j.crossJoin(spark.range(5)).withColumn("jd_id", F.col("jd_id") * 5 + F.col("id")).drop("id").withColumn("nation", F.col("nation") % 2), "j")
+    before = spark.conf.get(size)
+    spark.conf.set(size, "100")
+    try:
+        path = str(tmp_path / "pairs")
+        P.all_pairs(j, r, "nation", c).write.parquet(path)
+    finally:
+        spark.conf.set(size, before)
+    got, whole = spark.read.parquet(path), B.pairs(j, r, "nation", c, P.PLANES, B.dimensions(), B.DIMS)
+    digest = lambda df: tuple(df.selectExpr("count(*)", "sum(CAST(xxhash64(*) AS DECIMAL(38,0)))").first())
+    assert digest(got) == digest(whole) and got.count() == j.join(r, "nation").count() > 300_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < got.count()
